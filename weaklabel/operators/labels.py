@@ -7,10 +7,11 @@ third of the corpus."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import TWO_32, hash32, uniform01
+from ..functions.vectors import hash32, uniform01
+from ..session import keep
 
 DEFAULT_SEED = 42
 
@@ -87,33 +88,57 @@ def _kth_key_per_group(keys: DataFrame, by: str, target: DataFrame, bits: int =
             .select(by, F.col("_h").alias("_kh"), F.col("doc_id").alias("_kid")))
 
 
+def _selected(kth_joined: DataFrame) -> Column:
+    """A row is sampled iff its ``(_h, doc_id)`` is at most its label's k-th key."""
+    return F.coalesce(
+        (F.col("_h") < F.col("_kh")) | ((F.col("_h") == F.col("_kh")) & (F.col("doc_id") <= F.col("_kid"))),
+        F.lit(False))
+
+
 def stratified_sample(corpus: DataFrame, keep_p: float, seed: int = DEFAULT_SEED,
                       by: str = "label", bits: int = 16) -> DataFrame:
     """Exactly ``round_half_even(keep_p * n)`` documents per label, the
     ones with the smallest ``md5(seed-doc_id)`` (ties by ``doc_id``).
     Returns the corpus rows with ``is_sampled``; no document is dropped."""
-    keyed = corpus.withColumn("_h", hash32(seed, F.col("doc_id")))
+    keyed = corpus.select(by, "doc_id").withColumn("_h", hash32(seed, F.col("doc_id")))
     sizes = (keyed.groupBy(by).agg(F.count(F.lit(1)).alias("_tot"))
              .select(by, F.bround(F.lit(float(keep_p)) * F.col("_tot"), 0).cast("bigint").alias("_target"))
              .where("_target > 0"))
-    kth = _kth_key_per_group(keyed.select(by, "doc_id", "_h"), by, sizes, bits)
-    sel = F.coalesce(
-        (F.col("_h") < F.col("_kh")) | ((F.col("_h") == F.col("_kh")) & (F.col("doc_id") <= F.col("_kid"))),
-        F.lit(False))
-    return keyed.join(kth, by, "left").withColumn("is_sampled", sel).drop("_h", "_kh", "_kid")
+    kth = keep(_kth_key_per_group(keyed, by, sizes, bits))
+    return (corpus.withColumn("_h", hash32(seed, F.col("doc_id"))).join(kth, by, "left")
+            .withColumn("is_sampled", _selected(kth)).drop("_h", "_kh", "_kid"))
+
+
+def split_plan(corpus: DataFrame, bottom_p: float = 0.5, full_k: int = 5, keep_p: float = 0.1,
+               seed: int = DEFAULT_SEED, bits: int = 16) -> DataFrame:
+    """L1-L5 as one small table, one row per label: ``(label, n, removed,
+    _kh, _kid)`` — whether the label was removed, and the k-th key of its
+    sample. It is computed from ``(doc_id, label)`` only and cached, so the
+    corpus itself is read once more, by the final join."""
+    ids = corpus.select("doc_id", "label")
+    counts = keep(label_counts(ids))
+    removed = sample_rare_labels(rare_labels(counts, bottom_p), full_k, seed)
+    info = (counts.join(removed.withColumn("removed", F.lit(True)), "label", "left")
+            .withColumn("removed", F.coalesce("removed", F.lit(False)))
+            .withColumn("_target", F.when(F.col("removed"), F.lit(0)).otherwise(
+                F.bround(F.lit(float(keep_p)) * F.col("n"), 0)).cast("bigint")))
+    info = keep(info)
+    keyed = ids.withColumn("_h", hash32(seed, F.col("doc_id")))
+    kth = _kth_key_per_group(keyed, "label", info.where("_target > 0").select("label", "_target"), bits)
+    return keep(info.join(kth, "label", "left").select("label", "n", "removed", "_kh", "_kid"))
 
 
 def label_split(corpus: DataFrame, bottom_p: float = 0.5, full_k: int = 5, keep_p: float = 0.1,
                 seed: int = DEFAULT_SEED) -> DataFrame:
     """Add ``split`` in ('labeled', 'unlabeled'). Documents of removed
-    labels and unsampled documents are unlabelled. Every row is kept."""
-    removed = sample_rare_labels(rare_labels(label_counts(corpus), bottom_p), full_k, seed)
-    flagged = corpus.join(removed.withColumn("_removed", F.lit(True)), "label", "left")
-    kept = flagged.where(F.col("_removed").isNull()).drop("_removed")
-    gone = flagged.where(F.col("_removed")).drop("_removed").withColumn("is_sampled", F.lit(False))
-    both = stratified_sample(kept, keep_p, seed).unionByName(gone)
-    return (both.withColumn("split", F.when(F.col("is_sampled"), "labeled").otherwise("unlabeled"))
-            .drop("is_sampled"))
+    labels and unsampled documents are unlabelled. Every row is kept; the
+    per-label plan is a broadcast-size table (one row per label)."""
+    plan = split_plan(corpus, bottom_p, full_k, keep_p, seed)
+    joined = (corpus.withColumn("_h", hash32(seed, F.col("doc_id")))
+              .join(plan.select("label", "removed", "_kh", "_kid"), "label", "left"))
+    labeled = ~F.coalesce(F.col("removed"), F.lit(False)) & _selected(joined)
+    return (joined.withColumn("split", F.when(labeled, "labeled").otherwise("unlabeled"))
+            .drop("_h", "removed", "_kh", "_kid"))
 
 
 def label_sets(split_corpus: DataFrame) -> DataFrame:

@@ -35,3 +35,35 @@ def lang_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lang_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lb.label_split(lang_prepared(spark, sf_dir), **LANG_SPLIT)
+
+
+def lang_chain(spark: SparkSession, sf_dir: str, threshold: float | None = None) -> dict:
+    """The whole classification chain on the language corpus with word
+    vectors SQL can repeat (hash vectors over the >= MIN_COUNT vocabulary).
+    Unconfident documents are grouped by their nearest class, a grouping
+    SQL can repeat, in place of the mixture model (which the ML checks run)."""
+    from ..operators import embeddings as em
+    from ..operators import similarity as sim
+    from ..operators import terms as tm
+    from ..operators import naming as nm
+
+    split = lang_split(spark, sf_dir)
+    existing = lb.existing_labels(split)
+    seeds = tm.get_seed_words(split, SEED_K, False)
+    vocab = em.min_count_vocab(split, MIN_COUNT)
+    wv = fx.hash_word_vectors(vocab, VEC_DIM)
+    unl = split.where("split = 'unlabeled'")
+    dv = em.doc_vectors(unl, wv)
+    cv = em.class_vectors(seeds, wv, existing)
+    scored = sim.classify(dv, cv)
+    t = THRESHOLD if threshold is None else threshold
+    split_conf = sim.confidence_split(scored, t)
+    docs = unl.select("doc_id", "label", "tokens")
+    judged = docs.join(split_conf.select("doc_id", "max_sim", "class_idx", "best_label", "is_confident"), "doc_id")
+    unconf = judged.where(~F.col("is_confident")).withColumn("cluster", F.col("class_idx"))
+    names = tm.cluster_names(unconf.select("doc_id", "tokens", "cluster"), "cluster", 8)
+    new = nm.new_class_predictions(unconf, names)
+    preds = nm.full_predictions(judged.where("is_confident"), new)
+    return dict(split=split, existing=existing, seeds=seeds, vocab=vocab, word_vectors=wv,
+                doc_vectors=dv, class_vectors=cv, scored=split_conf, judged=judged,
+                unconfident=unconf, names=names, new_classes=new, predictions=preds)

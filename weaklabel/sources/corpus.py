@@ -18,6 +18,17 @@ CORPUS_SCHEMA = T.StructType([
 ])
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give a scan at least ``min_partitions`` (default: the cluster's
+    parallelism) tasks. A large input already has more splits than that and
+    is returned as is, with no shuffle; a small or single-row-group file is
+    spread round-robin so text work does not run on one core."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)
+
+
 def as_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "sentence",
               label_col: str = "label") -> DataFrame:
     """Rename to the corpus contract ``(doc_id, sentence, label)``."""
@@ -34,7 +45,7 @@ def load_corpus(spark: SparkSession, path: str, fmt: str = "parquet", id_col: st
     """Read a corpus from Parquet, JSON or CSV. Only the three needed
     columns reach the plan, so the scan prunes everything else."""
     df = spark.read.format(fmt).options(**options).load(path)
-    return as_corpus(df, id_col, text_col, label_col)
+    return spread(as_corpus(df, id_col, text_col, label_col))
 
 
 def duplicate_ids(corpus: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import hash_vector
+from .corpus import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,14 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def corpus_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as a corpus labelled by language (4 classes)."""
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", F.col("text").alias("sentence"), F.col("lang").alias("label"))
+    return spread(table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("text").alias("sentence"), F.col("lang").alias("label")))
 
 
 def corpus_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` labelled by source (20 classes, unrelated to words)."""
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", F.col("text").alias("sentence"), F.col("source").alias("label"))
+    return spread(table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("text").alias("sentence"), F.col("source").alias("label")))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
