@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
+from ..session import keep
 
 MAX_BROADCAST_BYTES = 256 << 20
 
@@ -28,6 +29,7 @@ def normalize_vectors(df: DataFrame, vec: str = "vector") -> DataFrame:
 
 def _blocks(classes: DataFrame, vec: str, max_bytes: int):
     """Collect the class matrix in blocks of bounded size (checked first)."""
+    classes = keep(classes)
     n, dim = classes.select(F.count(F.lit(1)), F.max(F.size(vec))).first()
     if not n:
         return []
@@ -141,11 +143,14 @@ def similarity_histogram(scored: DataFrame, col: str = "max_sim", bins: int = 10
     ``(bin, lo, hi, count, cum_pct)``; the cumulative share belongs to ``hi``."""
     spark = scored.sparkSession
     x = scored.where(F.col(col).isNotNull() & ~F.isnan(col)).select(F.col(col).alias("x"))
-    rng = x.select(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
-    mn0, mx0 = rng["lo"], rng["hi"]
-    same = mn0 == mx0
-    mn = F.when(same, mn0 - 0.5).otherwise(mn0)
-    mx = F.when(same, mx0 + 0.5).otherwise(mx0)
+    # two numbers reach the driver (one partial aggregate), then the bin rule
+    # is a constant expression that stays in generated code
+    mn0, mx0 = x.agg(F.min("x"), F.max("x")).first()
+    if mn0 is None:
+        return spark.createDataFrame([], "bin int, lo double, hi double, count bigint, cum_pct double")
+    if mn0 == mx0:
+        mn0, mx0 = mn0 - 0.5, mx0 + 0.5
+    mn, mx = F.lit(float(mn0)), F.lit(float(mx0))
     step = (mx - mn) / F.lit(float(bins))
 
     def edge(i):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import labels as lb
 from ..operators.preprocess import prepare_corpus
+from ..session import keep
 from ..sources import fixtures as fx
 
 # Settings of the reference's test run (stopwords kept, one class removed,
@@ -47,8 +48,8 @@ def lang_chain(spark: SparkSession, sf_dir: str, threshold: float | None = None)
     from ..operators import terms as tm
     from ..operators import naming as nm
 
-    split = lang_split(spark, sf_dir)
-    existing = lb.existing_labels(split)
+    split = keep(lang_split(spark, sf_dir))
+    existing = keep(lb.existing_labels(split))
     seeds = tm.get_seed_words(split, SEED_K, False)
     vocab = em.min_count_vocab(split, MIN_COUNT)
     wv = fx.hash_word_vectors(vocab, VEC_DIM)
@@ -57,7 +58,7 @@ def lang_chain(spark: SparkSession, sf_dir: str, threshold: float | None = None)
     cv = em.class_vectors(seeds, wv, existing)
     scored = sim.classify(dv, cv)
     t = THRESHOLD if threshold is None else threshold
-    split_conf = sim.confidence_split(scored, t)
+    split_conf = keep(sim.confidence_split(scored, t))
     docs = unl.select("doc_id", "label", "tokens")
     judged = docs.join(split_conf.select("doc_id", "max_sim", "class_idx", "best_label", "is_confident"), "doc_id")
     unconf = judged.where(~F.col("is_confident")).withColumn("cluster", F.col("class_idx"))

@@ -162,3 +162,52 @@ def li_ctes(src: str, nan_first: bool = False, prefix: str = "li") -> list[tuple
                     ln((SELECT count(*) FROM {p}_terms) / sum(a.occ) OVER (PARTITION BY a.term)) AS idf
              FROM {p}_pair a JOIN {p}_sizes s USING (label))) {keep}"""),
     ]
+
+
+# ----------------------------------------------------------- vector chain
+
+def vector_ctes(dim: int, min_count: int, seed_k: int, threshold: float) -> list[tuple[str, str]]:
+    """Hash word vectors over the >= min_count vocabulary, document and
+    class vectors, nearest class and confidence for the unlabelled part.
+    Expects ``split`` and ``existing`` (from split_ctes)."""
+    return class_tfidf_ctes() + top_ctes("tfidf", seed_k, False) + seed_ctes("top", seed_k) + [
+        ("vocab", f"""SELECT term, count(*) AS n_occ FROM (
+              SELECT {strip_punct('t')} AS term FROM (SELECT unnest(tokens) AS t FROM split))
+            WHERE term <> '' GROUP BY term HAVING count(*) >= {min_count}"""),
+        ("wv", f"SELECT term, {hash_vector('term', dim)} AS vector, n_occ FROM vocab"),
+        ("wv_long", "SELECT term, unnest(vector) AS x, generate_subscripts(vector, 1) - 1 AS dim FROM wv"),
+        ("unl", "SELECT doc_id, label, tokens FROM split WHERE split = 'unlabeled'"),
+        ("dt", "SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(tokens) AS term FROM unl) GROUP BY ALL"),
+        ("dv_long", """SELECT d.doc_id, w.dim, sum(d.n * w.x) / sum(d.n) AS x
+            FROM dt d JOIN wv_long w USING (term) GROUP BY d.doc_id, w.dim"""),
+        ("cv_long", """SELECT s.label, e.class_idx, w.dim, avg(w.x) AS x, count(*) AS n_seeds_found
+            FROM seeds s JOIN wv_long w USING (term) JOIN existing e USING (label) GROUP BY s.label, e.class_idx, w.dim"""),
+        ("dn", "SELECT doc_id, greatest(sqrt(sum(x * x)), 1e-12) AS nrm FROM dv_long GROUP BY doc_id"),
+        ("cn", "SELECT class_idx, greatest(sqrt(sum(x * x)), 1e-12) AS nrm FROM cv_long GROUP BY class_idx"),
+        ("sims", """SELECT d.doc_id, c.class_idx, c.label, sum((d.x / dn.nrm) * (c.x / cn.nrm)) AS sim
+            FROM dv_long d JOIN dn USING (doc_id) JOIN cv_long c USING (dim) JOIN cn ON c.class_idx = cn.class_idx
+            GROUP BY d.doc_id, c.class_idx, c.label"""),
+        ("best", """SELECT doc_id, class_idx, label AS best_label, sim AS max_sim FROM (
+            SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, class_idx) AS rn FROM sims)
+            WHERE rn = 1"""),
+        ("scored", f"""SELECT u.doc_id, u.label, u.tokens, b.max_sim, b.class_idx, b.best_label,
+              coalesce(b.max_sim >= {threshold}, false) AS is_confident
+            FROM unl u LEFT JOIN best b USING (doc_id)"""),
+    ]
+
+
+def naming_ctes() -> list[tuple[str, str]]:
+    """Unconfident documents grouped by nearest class, named by LI-cTF-IDF,
+    and the assembled predictions. Expects ``scored``."""
+    return [
+        ("unconf", "SELECT doc_id, label AS truth, tokens, class_idx AS cluster FROM scored WHERE NOT is_confident"),
+        ("unconf_l", "SELECT doc_id, CAST(cluster AS VARCHAR) AS label, tokens FROM unconf WHERE cluster IS NOT NULL"),
+    ] + li_ctes("unconf_l", prefix="nli") + top_ctes("nli", 8, False, "ntop") + seed_ctes("ntop", 8, "nseeds") + [
+        ("names", """SELECT CAST(l.label AS INTEGER) AS cluster, coalesce(s.term, 'cluster_' || l.label) AS name
+            FROM (SELECT DISTINCT label FROM unconf_l) l
+            LEFT JOIN (SELECT label, term FROM nseeds WHERE rank = 1) s USING (label)"""),
+        ("new_classes", """SELECT u.doc_id, u.truth, u.tokens, u.cluster, n.name AS prediction
+            FROM unconf u LEFT JOIN names n USING (cluster)"""),
+        ("preds", """SELECT doc_id, label AS truth, best_label AS prediction, true AS is_confident FROM scored WHERE is_confident
+            UNION ALL SELECT doc_id, truth, prediction, false FROM new_classes"""),
+    ]
