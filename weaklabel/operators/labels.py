@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import hash32, uniform01
-from ..session import keep
+from ..session import cut_lineage, keep
 
 DEFAULT_SEED = 42
 
@@ -104,7 +104,7 @@ def stratified_sample(corpus: DataFrame, keep_p: float, seed: int = DEFAULT_SEED
     sizes = (keyed.groupBy(by).agg(F.count(F.lit(1)).alias("_tot"))
              .select(by, F.bround(F.lit(float(keep_p)) * F.col("_tot"), 0).cast("bigint").alias("_target"))
              .where("_target > 0"))
-    kth = keep(_kth_key_per_group(keyed, by, sizes, bits))
+    kth = cut_lineage(_kth_key_per_group(keyed, by, sizes, bits), "sample-keys")
     return (corpus.withColumn("_h", hash32(seed, F.col("doc_id"))).join(kth, by, "left")
             .withColumn("is_sampled", _selected(kth)).drop("_h", "_kh", "_kid"))
 
@@ -125,7 +125,8 @@ def split_plan(corpus: DataFrame, bottom_p: float = 0.5, full_k: int = 5, keep_p
     info = keep(info)
     keyed = ids.withColumn("_h", hash32(seed, F.col("doc_id")))
     kth = _kth_key_per_group(keyed, "label", info.where("_target > 0").select("label", "_target"), bits)
-    return keep(info.join(kth, "label", "left").select("label", "n", "removed", "_kh", "_kid"))
+    return cut_lineage(info.join(kth, "label", "left").select("label", "n", "removed", "_kh", "_kid"),
+                       "split-plan")
 
 
 def label_split(corpus: DataFrame, bottom_p: float = 0.5, full_k: int = 5, keep_p: float = 0.1,

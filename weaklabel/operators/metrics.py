@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import cut_lineage
 
 
 def attach_truth(predictions: DataFrame, truth: DataFrame, check: bool = False) -> DataFrame:
@@ -32,7 +33,9 @@ def removed_rows(pred: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def confusion(pred: DataFrame) -> DataFrame:
-    return pred.groupBy("truth", "prediction").agg(F.count(F.lit(1)).alias("n"))
+    """``(truth, prediction, n)``: at most labels² rows, cached, since every
+    score reads it several times."""
+    return cut_lineage(pred.groupBy("truth", "prediction").agg(F.count(F.lit(1)).alias("n")), "confusion")
 
 
 def per_label_counts(conf: DataFrame, labels: DataFrame) -> DataFrame:
@@ -55,10 +58,11 @@ def _f1(tp, fp, fn):
     return F.when(den == 0, F.lit(0.0)).otherwise(2.0 * tp / den)
 
 
-def f1_scores(pred: DataFrame, labels: DataFrame, decimals: int | None = 3) -> DataFrame:
+def f1_scores(pred: DataFrame, labels: DataFrame, decimals: int | None = 3,
+              conf: DataFrame | None = None) -> DataFrame:
     """Micro and macro F1 over the listed labels (0 where undefined),
     half-even rounded. One row ``(micro_f1, macro_f1)``."""
-    c = per_label_counts(confusion(pred), labels)
+    c = per_label_counts(confusion(pred) if conf is None else conf, labels)
     agg = c.agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"),
                 F.avg(_f1(F.col("tp"), F.col("fp"), F.col("fn"))).alias("macro"))
     micro = _f1(F.col("tp"), F.col("fp"), F.col("fn"))
@@ -110,10 +114,14 @@ def label_term_frequencies(rows: DataFrame, side: str, top: int = 200, stopwords
 
 def accuracy_f1(pred: DataFrame, decimals: int | None = None) -> DataFrame:
     """M8: accuracy, macro F1 and micro F1 over every label seen in truth or
-    prediction. ``pred(truth, prediction)``."""
-    labels = pred.select(F.col("truth").alias("label")).union(pred.select(F.col("prediction").alias("label")))
-    f1 = f1_scores(pred, labels.where(F.col("label").isNotNull()), decimals)
-    acc = pred.agg(F.avg((F.col("truth") == F.col("prediction")).cast("double")).alias("accuracy"))
+    prediction. ``pred(truth, prediction)``; everything is read from the
+    confusion table."""
+    conf = confusion(pred)
+    labels = (conf.select(F.col("truth").alias("label"))
+              .union(conf.select(F.col("prediction").alias("label"))).where(F.col("label").isNotNull()))
+    f1 = f1_scores(pred, labels, decimals, conf=conf)
+    acc = conf.agg((F.sum(F.when(F.col("truth") == F.col("prediction"), F.col("n")).otherwise(0))
+                    / F.sum("n")).alias("accuracy"))
     return acc.select(
         "accuracy", f1.select("micro_f1").scalar().alias("micro_f1"),
         f1.select("macro_f1").scalar().alias("macro_f1"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import labels as lb
 from ..operators.preprocess import prepare_corpus
-from ..session import keep
+from ..session import cut_lineage
 from ..sources import fixtures as fx
 
 # Settings of the reference's test run (stopwords kept, one class removed,
@@ -48,23 +48,24 @@ def lang_chain(spark: SparkSession, sf_dir: str, threshold: float | None = None)
     from ..operators import terms as tm
     from ..operators import naming as nm
 
-    split = keep(lang_split(spark, sf_dir))
-    existing = keep(lb.existing_labels(split))
+    split = cut_lineage(lang_split(spark, sf_dir))
+    existing = cut_lineage(lb.existing_labels(split))
     seeds = tm.get_seed_words(split, SEED_K, False)
     vocab = em.min_count_vocab(split, MIN_COUNT)
-    wv = fx.hash_word_vectors(vocab, VEC_DIM)
+    wv = cut_lineage(fx.hash_word_vectors(vocab, VEC_DIM))
     unl = split.where("split = 'unlabeled'")
     dv = em.doc_vectors(unl, wv)
     cv = em.class_vectors(seeds, wv, existing)
     scored = sim.classify(dv, cv)
     t = THRESHOLD if threshold is None else threshold
-    split_conf = keep(sim.confidence_split(scored, t))
+    split_conf = cut_lineage(sim.confidence_split(scored, t))
     docs = unl.select("doc_id", "label", "tokens")
-    judged = docs.join(split_conf.select("doc_id", "max_sim", "class_idx", "best_label", "is_confident"), "doc_id")
-    unconf = judged.where(~F.col("is_confident")).withColumn("cluster", F.col("class_idx"))
-    names = tm.cluster_names(unconf.select("doc_id", "tokens", "cluster"), "cluster", 8)
+    judged = cut_lineage(docs.join(split_conf.select("doc_id", "max_sim", "class_idx", "best_label", "is_confident"),
+                            "doc_id"))
+    unconf = cut_lineage(judged.where(~F.col("is_confident")).withColumn("cluster", F.col("class_idx")))
+    names = cut_lineage(tm.cluster_names(unconf.select("doc_id", "tokens", "cluster"), "cluster", 8))
     new = nm.new_class_predictions(unconf, names)
-    preds = nm.full_predictions(judged.where("is_confident"), new)
+    preds = cut_lineage(nm.full_predictions(judged.where("is_confident"), new))
     return dict(split=split, existing=existing, seeds=seeds, vocab=vocab, word_vectors=wv,
                 doc_vectors=dv, class_vectors=cv, scored=split_conf, judged=judged,
                 unconfident=unconf, names=names, new_classes=new, predictions=preds)

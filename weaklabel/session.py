@@ -4,6 +4,7 @@ lineage cuts that go to the cluster's shared checkpoint folder."""
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -53,12 +54,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result is written to the shared checkpoint
-    folder, so a lost executor costs a re-read, not a recomputation of the
-    whole upstream plan."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once as Parquet under the shared checkpoint folder and
+    read it back. The returned DataFrame's plan is a plain scan: a lost
+    executor costs a re-read, not a recomputation of the upstream plan, and
+    later plans that reuse it stay small. Parquet keeps column pruning,
+    filter pushdown and size statistics for join planning."""
+    root = checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{root}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def keep(df: DataFrame) -> DataFrame:
