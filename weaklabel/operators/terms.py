@@ -32,13 +32,16 @@ def doc_term_counts(docs_terms: DataFrame) -> DataFrame:
             .groupBy("doc_id", "label", "term").agg(F.count(F.lit(1)).alias("n")))
 
 
-def concat_by_label(docs: DataFrame, col: str = "tokens") -> DataFrame:
-    """F1 public form: one text per label, documents in ``doc_id`` order.
-    (The scores below never build these strings; they count terms.)"""
+def class_documents(docs: DataFrame, col: str = "tokens") -> DataFrame:
+    """each class's documents joined into one "document". The joined
+    string is never built (it would put a whole class in one row); the
+    scores count terms per class instead, and this table gives the joined
+    document's size: ``(label, n_docs, n_tokens, n_chars)``, where
+    ``n_chars`` is the length of the documents joined by single spaces."""
     return (docs.groupBy("label")
-            .agg(F.array_sort(F.collect_list(F.struct("doc_id", F.array_join(col, " ").alias("t"))))
-                 .alias("_d"))
-            .select("label", F.array_join(F.transform("_d", lambda s: s["t"]), " ").alias("text")))
+            .agg(F.count(F.lit(1)).alias("n_docs"),
+                 F.sum(F.size(col)).cast("bigint").alias("n_tokens"),
+                 (F.sum(F.length(F.array_join(col, " "))) + F.count(F.lit(1)) - 1).cast("bigint").alias("n_chars")))
 
 
 def class_tfidf(docs_terms: DataFrame) -> DataFrame:

@@ -24,10 +24,11 @@ def doc_term_counts(spark, sf_dir):
     return tm.doc_term_counts(tm.with_terms(lang_prepared(spark, sf_dir)))
 
 
-@register("concat_by_label", S.with_(SPLIT, """SELECT label, array_to_string(list(t ORDER BY doc_id), ' ') AS text
-    FROM (SELECT label, doc_id, array_to_string(tokens, ' ') AS t FROM split WHERE split = 'labeled') GROUP BY label"""))
+@register("concat_by_label", S.with_(SPLIT, """SELECT label, count(*) AS n_docs, sum(len(tokens)) AS n_tokens,
+    length(string_agg(array_to_string(tokens, ' '), ' ' ORDER BY doc_id)) AS n_chars
+    FROM split WHERE split = 'labeled' GROUP BY label"""))
 def concat_by_label(spark, sf_dir):
-    return tm.concat_by_label(lang_split(spark, sf_dir).where("split = 'labeled'"))
+    return tm.class_documents(lang_split(spark, sf_dir).where("split = 'labeled'"))
 
 
 @register("class_tfidf", S.with_(TFIDF, f"SELECT label, term, tf, df, {S.e6('score')} AS score_e6 FROM tfidf"))

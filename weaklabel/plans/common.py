@@ -38,34 +38,82 @@ def lang_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lb.label_split(lang_prepared(spark, sf_dir), **LANG_SPLIT)
 
 
-def lang_chain(spark: SparkSession, sf_dir: str, threshold: float | None = None) -> dict:
+class _Chain:
+    """The classification chain on the language corpus, built on demand:
+    a check that needs only the vocabulary never runs the classifier. Each
+    step that later steps reuse is written once (lineage cut)."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, threshold: float | None):
+        self.spark, self.sf_dir = spark, sf_dir
+        self.threshold = THRESHOLD if threshold is None else threshold
+        self._memo: dict = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._memo:
+            self._memo[name] = getattr(self, "_" + name)()
+        return self._memo[name]
+
+    def _split(self):
+        return cut_lineage(lang_split(self.spark, self.sf_dir), "split")
+
+    def _existing(self):
+        return cut_lineage(lb.existing_labels(self["split"]), "existing")
+
+    def _seeds(self):
+        from ..operators import terms as tm
+        return cut_lineage(tm.get_seed_words(self["split"], SEED_K, False), "seeds")
+
+    def _vocab(self):
+        from ..operators import embeddings as em
+        return em.min_count_vocab(self["split"], MIN_COUNT)
+
+    def _word_vectors(self):
+        return cut_lineage(fx.hash_word_vectors(self["vocab"], VEC_DIM), "word-vectors")
+
+    def _unlabeled(self):
+        return self["split"].where("split = 'unlabeled'")
+
+    def _doc_vectors(self):
+        from ..operators import embeddings as em
+        return em.doc_vectors(self["unlabeled"], self["word_vectors"])
+
+    def _class_vectors(self):
+        from ..operators import embeddings as em
+        return em.class_vectors(self["seeds"], self["word_vectors"], self["existing"])
+
+    def _scored(self):
+        from ..operators import similarity as sim
+        scored = sim.classify(self["doc_vectors"], self["class_vectors"])
+        return cut_lineage(sim.confidence_split(scored, self.threshold), "scored")
+
+    def _judged(self):
+        docs = self["unlabeled"].select("doc_id", "label", "tokens")
+        s = self["scored"].select("doc_id", "max_sim", "class_idx", "best_label", "is_confident")
+        return cut_lineage(docs.join(s, "doc_id"), "judged")
+
+    def _unconfident(self):
+        return cut_lineage(self["judged"].where(~F.col("is_confident"))
+                           .withColumn("cluster", F.col("class_idx")), "unconfident")
+
+    def _names(self):
+        from ..operators import terms as tm
+        return cut_lineage(tm.cluster_names(self["unconfident"].select("doc_id", "tokens", "cluster"),
+                                            "cluster", 8), "names")
+
+    def _new_classes(self):
+        from ..operators import naming as nm
+        return nm.new_class_predictions(self["unconfident"], self["names"])
+
+    def _predictions(self):
+        from ..operators import naming as nm
+        return cut_lineage(nm.full_predictions(self["judged"].where("is_confident"), self["new_classes"]),
+                           "predictions")
+
+
+def lang_chain(spark: SparkSession, sf_dir: str, threshold: float | None = None) -> _Chain:
     """The whole classification chain on the language corpus with word
     vectors SQL can repeat (hash vectors over the >= MIN_COUNT vocabulary).
     Unconfident documents are grouped by their nearest class, a grouping
-    SQL can repeat, in place of the mixture model (which the ML checks run)."""
-    from ..operators import embeddings as em
-    from ..operators import similarity as sim
-    from ..operators import terms as tm
-    from ..operators import naming as nm
-
-    split = cut_lineage(lang_split(spark, sf_dir))
-    existing = cut_lineage(lb.existing_labels(split))
-    seeds = tm.get_seed_words(split, SEED_K, False)
-    vocab = em.min_count_vocab(split, MIN_COUNT)
-    wv = cut_lineage(fx.hash_word_vectors(vocab, VEC_DIM))
-    unl = split.where("split = 'unlabeled'")
-    dv = em.doc_vectors(unl, wv)
-    cv = em.class_vectors(seeds, wv, existing)
-    scored = sim.classify(dv, cv)
-    t = THRESHOLD if threshold is None else threshold
-    split_conf = cut_lineage(sim.confidence_split(scored, t))
-    docs = unl.select("doc_id", "label", "tokens")
-    judged = cut_lineage(docs.join(split_conf.select("doc_id", "max_sim", "class_idx", "best_label", "is_confident"),
-                            "doc_id"))
-    unconf = cut_lineage(judged.where(~F.col("is_confident")).withColumn("cluster", F.col("class_idx")))
-    names = cut_lineage(tm.cluster_names(unconf.select("doc_id", "tokens", "cluster"), "cluster", 8))
-    new = nm.new_class_predictions(unconf, names)
-    preds = cut_lineage(nm.full_predictions(judged.where("is_confident"), new))
-    return dict(split=split, existing=existing, seeds=seeds, vocab=vocab, word_vectors=wv,
-                doc_vectors=dv, class_vectors=cv, scored=split_conf, judged=judged,
-                unconfident=unconf, names=names, new_classes=new, predictions=preds)
+    SQL can repeat, in place of the mixture model (which the ML checks run).
+    Steps are computed when first asked for."""
+    return _Chain(spark, sf_dir, threshold)
