@@ -54,9 +54,9 @@ def _split_contractions(tokens: Column) -> Column:
             expr = (F.when(t == word, _lit_array(parts)) if expr is None
                     else expr.when(t == word, _lit_array(parts)))
         return expr.otherwise(F.array(t))
-    # only documents holding one of the words pay for the per-token rewrite
-    hit = F.arrays_overlap(tokens, _lit_array(list(TREEBANK_SPLITS)))
-    return F.when(hit, F.flatten(F.transform(tokens, one))).otherwise(tokens)
+    # ``tokens`` is referenced once: a guard such as arrays_overlap(tokens, ..)
+    # would make Catalyst evaluate the whole clean/split pipeline twice
+    return F.flatten(F.transform(tokens, one))
 
 
 def tokenize(col: Column, split_contractions: bool = True) -> Column:

@@ -154,3 +154,14 @@ def cached_stage(spark: SparkSession, root: str, name: str, config: dict, comput
         _write_json(spark, f"{path}/_config.json", {"name": name, "config": config,
                                                     "upstream": upstream})
     return spark.read.parquet(path), fp
+
+
+def write_split(split_corpus: DataFrame, path: str) -> None:
+    """The processed corpus as one table partitioned by part, so a
+    reader of one part scans only that part's files."""
+    split_corpus.write.mode("overwrite").partitionBy("split").parquet(path)
+
+
+def read_split(spark: SparkSession, path: str, part: str | None = None) -> DataFrame:
+    df = spark.read.parquet(path)
+    return df if part is None else df.where(F.col("split") == part)
