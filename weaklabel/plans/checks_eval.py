@@ -163,3 +163,15 @@ def label_prompts(spark, sf_dir):
     c = lang_chain(spark, sf_dir)
     topics = c["seeds"].select(F.col("label").alias("cluster"), "rank", F.col("term").alias("topic"))
     return nm.cluster_prompts(topics, c["existing"])
+
+
+@register("collapse_labels", S.with_(CHAIN, """SELECT doc_id,
+    CASE WHEN label IN (SELECT label FROM split EXCEPT SELECT label FROM existing) THEN label ELSE 'Others' END AS label
+    FROM unl"""))
+def collapse_labels(spark, sf_dir):
+    """Hidden truth of the unlabelled part, removed labels kept, the
+    rest 'Others'."""
+    from ..operators.similarity import collapse_truth
+    c = lang_chain(spark, sf_dir)
+    unseen = c["split"].select("label").distinct().join(c["existing"], "label", "left_anti")
+    return collapse_truth(c["unlabeled"].select("doc_id", "label"), unseen)

@@ -31,7 +31,10 @@ def e6_nan(c) -> F.Column:
 
 
 def lang_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare_corpus(fx.corpus_lang(spark, sf_dir), remove_stopwords=False)
+    """Tokenized language corpus, written once: every later step explodes or
+    re-reads the tokens, and reading them back is cheaper than re-deriving
+    them inside each generator."""
+    return cut_lineage(prepare_corpus(fx.corpus_lang(spark, sf_dir), remove_stopwords=False), "prepared")
 
 
 def lang_split(spark: SparkSession, sf_dir: str) -> DataFrame:
