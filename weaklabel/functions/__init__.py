@@ -1,0 +1 @@
+"""See README.md for the layout."""

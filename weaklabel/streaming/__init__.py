@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty. The reference is a batch pipeline with no
+streams, watermarks or state, so no streaming operator is added. Every
+stateless step here (cleaning, tokenizing, document vectors against a fixed
+vector table, scoring against fixed class vectors) is a plain DataFrame
+function and applies unchanged to a DataFrame from ``readStream``."""
