@@ -108,9 +108,10 @@ def static_vectors(spark, sf_dir):
     word's hash vector, varied by position mod 3)."""
     d = lang_prepared(spark, sf_dir)
     occ = (d.select("doc_id", F.posexplode("tokens").alias("pos", "term"))
-           .withColumn("vector", vx.hash_vector(F.concat("term", F.lit("@"), (F.col("pos") % 3).cast("string")),
-                                                VEC_DIM)))
-    st = em.static_vectors(occ, 5)
+           .withColumn("key", F.concat("term", F.lit("@"), (F.col("pos") % 3).cast("string"))))
+    # one hash vector per distinct key, joined to its occurrences
+    keys = occ.select("key").distinct().withColumn("vector", vx.hash_vector(F.col("key"), VEC_DIM))
+    st = em.static_vectors(occ.join(keys, "key"), 5)
     return (st.select("term", "n_occ", e6(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)).alias("sum_e6"),
                       e6(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)).alias("sumsq_e6")))
 
