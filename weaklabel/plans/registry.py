@@ -14,7 +14,13 @@ def register(name: str, sql: str | None = None):
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        def query(spark, sf_dir):
+            from ..session import ship_package
+            ship_package(spark)
+            return fn(spark, sf_dir)
+        query.__name__, query.__doc__ = fn.__name__, fn.__doc__
+        QUERIES[name] = query
         if sql is not None:
             ORACLES[name] = sql
         return fn
