@@ -68,10 +68,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 with d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
-             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as w
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
            from documents),
      b as (select item_id, list_filter(string_split_regex(translate(coalesce(text, ''),
-             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as w
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
            from benchmark),
      ds as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s
             from d, unnest(range(1, greatest(len(w) - 3, 2))) as t(i) where len(w) > 0),
@@ -84,17 +84,17 @@ from m join n using (item_id) where n_shared >= 0.8 * n_shingles
 """
 
 OP10_SQL = r"""
-with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') as w
+with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
            from documents),
      g as (select doc_id, i, array_to_string(w[i:i + 12], ' ') as s
            from d, unnest(range(1, greatest(len(w) - 11, 1))) as t(i)),
      f as (select s, min(doc_id) as low, max(doc_id) as high from g group by s having min(doc_id) < max(doc_id)),
-     c as (select distinct g.doc_id, i + k as at
+     c as (select distinct g.doc_id, i + k as place
            from g join f using (s), unnest(range(0, 13)) as u(k) where f.low < g.doc_id),
-     r as (select doc_id, list(at) as gone, count(*) as n from c group by doc_id)
+     r as (select doc_id, list(place) as gone, count(*) as n from c group by doc_id)
 select d.doc_id, len(w)::bigint as n_words, coalesce(r.n, 0)::bigint as n_removed,
        sha256(coalesce(array_to_string(case when r.n is null then w else
-           list_transform(list_filter(range(1, len(w) + 1), i -> not list_contains(r.gone, i)), i -> w[i]) end, ' '), '')) as kept_sha256
+           list_transform(list_filter(range(1, len(w) + 1), lambda i: not list_contains(r.gone, i)), lambda i: w[i]) end, ' '), '')) as kept_sha256
 from d left join r using (doc_id)
 """
 
