@@ -35,7 +35,7 @@ SHINGLE = 3
 SEED = 42
 RADIUS = 2
 #: Fingerprints a shard should hold, sample for the tree, most shards (the tree is a closure of at most that size).
-SHARD_ROWS = 8_000
+SHARD_ROWS = 2_000
 SAMPLE_ROWS = 65_536
 MAX_SHARDS = 4_096
 #: Below this many fingerprints all pairs of a part are compared.
