@@ -12,8 +12,9 @@ of every document probes it:
 2. A bucket answers each chunk with its hashes that are a block somewhere and
    occur in more than one document: the hits.
 3. The chunk extends its hits to the ``WINDOW``-word windows around them and
-   sends each distinct window (128-bit hash) with the smallest document id
-   that holds it. The smallest id over all chunks comes back where it matters.
+   sends each distinct window (a 95-bit hash) with the smallest document id
+   that holds it to the hash's bucket, which answers with the windows that a
+   smaller id elsewhere holds and those that several ids of the chunk hold.
 4. The chunk removes every word of a window that a smaller document also
    holds. Adjacent windows add up to the maximal repeat.
 
@@ -38,7 +39,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 WINDOW = 13
 BLOCK = 7
@@ -46,6 +46,7 @@ BLOCK = 7
 CHUNK_BYTES = (2 << 20, 64 << 20)
 #: A null id stands after all others.
 LAST = np.iinfo(np.int64).max
+ONE = np.uint32(1)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -109,12 +110,8 @@ def chunk_hashes(table: pa.Table, buckets: int):
 
 
 def probes(table: pa.Table, buckets: int) -> pa.Table:
-    chunk = table.column("chunk")[0].as_py()
     bucket, entry = chunk_hashes(table, buckets)
-    start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, int)
-    ends = np.r_[start[1:], len(bucket)] if len(bucket) else start
-    return pa.table({"bucket": pa.array(bucket[start]), "chunk": pa.array([chunk] * len(start), pa.int64()),
-                     "entries": pa.array([entry[a:b].tobytes() for a, b in zip(start, ends, strict=True)], pa.binary())})
+    return packed(bucket, table.column("chunk")[0].as_py(), [entry])
 
 
 def answer(table: pa.Table) -> pa.Table:
@@ -155,76 +152,108 @@ def hit_windows(words: np.ndarray, hits: np.ndarray, buckets: int) -> np.ndarray
     return np.flatnonzero(hit[WINDOW - BLOCK + 1:][:n] > hit[:n])
 
 
+def packed(bucket: np.ndarray, chunk: int, columns: list[np.ndarray]) -> pa.Table:
+    """One row a bucket: the entries' columns one after the other, as bytes.
+    The entries come sorted by bucket."""
+    start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, int)
+    ends = np.r_[start[1:], len(bucket)] if len(bucket) else start
+    blobs = [b"".join([c[a:b].tobytes() for c in columns]) for a, b in zip(start, ends, strict=True)]
+    return pa.table({"bucket": pa.array(bucket[start]), "chunk": pa.array([chunk] * len(start), pa.int64()),
+                     "n": pa.array(ends - start), "entries": pa.array(blobs, pa.binary())})
+
+
 def extended(docs: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
-    """Each distinct window around a hit, with the smallest id that holds it
-    in this chunk and whether another id does."""
-    out = {"h1": np.empty(0, np.int64), "h2": np.empty(0, np.int64), "low": np.empty(0, np.int64), "more": np.empty(0, bool)}
-    chunk = docs.column("chunk")[0].as_py() if docs.num_rows else 0
-    if docs.num_rows and answers.num_rows:
-        hits = np.sort(np.concatenate([
-            (np.uint64(b) << np.uint64(32)) | np.frombuffer(x, np.uint32).astype(np.uint64)
-            for b, x in zip(answers.column("bucket").to_pylist(), answers.column("hits").to_pylist(), strict=True)]))
-        h1, h2, ids = [], [], []
-        for d, t in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
-            w = hashed(words_of(t))
-            s = hit_windows(w, hits, buckets)
-            if len(s):
-                h1.append(rolling(w, WINDOW, 1)[s])
-                h2.append(rolling(w, WINDOW, 2)[s])
-                ids.append(np.full(len(s), LAST if d is None else d, np.int64))
-        if h1:
-            a, b, d = np.concatenate(h1), np.concatenate(h2), np.concatenate(ids)
-            order = np.lexsort((d, b, a))
-            a, b, d = a[order], b[order], d[order]
-            start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            last = np.r_[start[1:], len(a)] - 1
-            out = {"h1": a[start].view(np.int64), "h2": b[start].view(np.int64), "low": d[start], "more": d[start] != d[last]}
-    return pa.table({"chunk": pa.array([chunk] * len(out["h1"]), pa.int64()), **out})
-
-
-def removed(words: np.ndarray, doc: int, h1: np.ndarray, h2: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """Mask of the words covered by a window that a smaller id holds. The
-    repeats come sorted by ``h1``, then ``h2``."""
-    gone = np.zeros(len(words), bool)
-    if len(words) < WINDOW or not len(h1):
-        return gone
-    a = rolling(words, WINDOW, 1)
-    left, right = np.searchsorted(h1, a, "left"), np.searchsorted(h1, a, "right")
-    s = np.flatnonzero(left < right)
-    if not len(s):
-        return gone
-    b = rolling(words, WINDOW, 2)[s]
-    at, end = left[s], right[s]
-    hit = np.zeros(len(s), bool)
-    while True:                                          # almost always one turn: h1 is 64 bits
-        inside = at < end
-        if not inside.any():
-            break
-        k = np.minimum(at, len(h2) - 1)
-        hit |= inside & (h2[k] == b) & (low[k] < doc)
-        at = at + 1
-    s = s[hit]
-    edge = np.zeros(len(words) + 1, np.int64)
-    np.add.at(edge, s, 1)
-    np.add.at(edge, s + WINDOW, -1)
-    return np.cumsum(edge[:-1]) > 0
+    """Each distinct window around a hit, as (64 bits, 31 bits and whether
+    several ids of this chunk hold it, the smallest of these ids)."""
+    none = packed(np.empty(0, np.int64), 0, [])
+    if not docs.num_rows or not answers.num_rows:
+        return none
+    hits = np.sort(np.concatenate([
+        (np.uint64(b) << np.uint64(32)) | np.frombuffer(x, np.uint32).astype(np.uint64)
+        for b, x in zip(answers.column("bucket").to_pylist(), answers.column("hits").to_pylist(), strict=True)]))
+    h1, h2, ids = [], [], []
+    for d, t in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
+        w = hashed(words_of(t))
+        s = hit_windows(w, hits, buckets)
+        if len(s):
+            h1.append(rolling(w, WINDOW, 1)[s])
+            h2.append((rolling(w, WINDOW, 2)[s] >> np.uint64(32)).astype(np.uint32) & ~ONE)
+            ids.append(np.full(len(s), LAST if d is None else d, np.int64))
+    if not h1:
+        return none
+    a, b, d = np.concatenate(h1), np.concatenate(h2), np.concatenate(ids)
+    order = np.lexsort((d, b, a))                            # by the first hash, so by bucket too
+    a, b, d = a[order], b[order], d[order]
+    start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    more = d[start] != d[np.r_[start[1:], len(a)] - 1]
+    a, b, d = a[start], b[start] | more.astype(np.uint32), d[start]
+    return packed(buckets_of(a, buckets), docs.column("chunk")[0].as_py(), [a, b, d])
+
+
+def settle(table: pa.Table) -> pa.Table:
+    """To each chunk the first hashes of its windows that lose words: last bit
+    0 if a smaller id elsewhere holds the window, so that every one of the
+    chunk's does; 1 if the chunk holds the smallest id, which keeps it."""
+    size = table.column("n").to_numpy()
+    blobs = table.column("entries").to_pylist()
+    a = np.frombuffer(b"".join([x[:8 * n] for x, n in zip(blobs, size, strict=True)]), np.uint64)
+    b = np.frombuffer(b"".join([x[8 * n:12 * n] for x, n in zip(blobs, size, strict=True)]), np.uint32)
+    low = np.frombuffer(b"".join([x[12 * n:] for x, n in zip(blobs, size, strict=True)]), np.int64)
+    owner = np.repeat(np.arange(len(blobs)), size)
+    order = np.lexsort((b >> ONE, a))
+    a, b, low, owner = a[order], b[order], low[order], owner[order]
+    start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | ((b[1:] ^ b[:-1]) > ONE)])
+    least = np.repeat(np.minimum.reduceat(low, start), np.diff(np.r_[start, len(a)]))
+    here = least == low
+    keep = ~here | ((b & ONE) > 0)
+    reply = (a & ~np.uint64(1) | here.astype(np.uint64))[keep]
+    owner = owner[keep]
+    order = np.argsort(owner, kind="stable")
+    return packed_by_owner(reply[order], owner[order], table.column("chunk").to_numpy())
+
+
+def packed_by_owner(values: np.ndarray, owner: np.ndarray, chunk: np.ndarray) -> pa.Table:
+    start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.empty(0, int)
+    ends = np.r_[start[1:], len(owner)] if len(owner) else start
+    return pa.table({"chunk": pa.array(chunk[owner[start]] if len(start) else np.empty(0, np.int64)),
+                     "repeats": pa.array([values[a:b].tobytes() for a, b in zip(start, ends, strict=True)], pa.binary())})
+
+
+def repeated(words: np.ndarray, repeats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows among the sorted ``repeats``, and which they are."""
+    if len(words) < WINDOW or not len(repeats):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    h = rolling(words, WINDOW, 1) & ~np.uint64(1)
+    at = np.minimum(np.searchsorted(repeats, h), len(repeats) - 1)   # the hash itself or, for bit 1, right after it
+    s = np.flatnonzero(repeats[at] & ~np.uint64(1) == h)
+    return s, at[s]
 
 
+ENTRIES = "bucket bigint, chunk bigint, n bigint, entries binary"
 RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string"
 
 
-def cleaned(docs: pa.Table, repeats: pa.Table, with_text: bool) -> pa.Table:
-    a = repeats.column("h1").to_numpy().view(np.uint64)
-    b = repeats.column("h2").to_numpy().view(np.uint64)
-    order = np.lexsort((b, a))
-    a, b, low = a[order], b[order], repeats.column("low").to_numpy()[order]
+def cleaned(docs: pa.Table, replies: pa.Table, with_text: bool) -> pa.Table:
+    repeats = np.sort(np.frombuffer(b"".join(replies.column("repeats").to_pylist()), np.uint64))
+    ids = [LAST if d is None else d for d in docs.column("doc_id").to_pylist()]
+    texts = [words_of(t) for t in docs.column("text").to_pylist()]
+    found = [repeated(hashed(w) if len(repeats) else np.empty(0, np.uint64), repeats) for w in texts]
+    least = np.full(len(repeats), -1, np.int64)              # no id keeps the window here ...
+    own = (repeats & np.uint64(1)) > 0
+    least[own] = LAST
+    for d, (_, which) in zip(ids, found, strict=True):       # ... or the smallest that holds it
+        which = which[own[which]]
+        least[which] = np.minimum(least[which], d)
     rows: dict[str, list] = {"doc_id": [], "n_words": [], "n_removed": [], "kept_sha256": [], "kept": []}
-    for d, t in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
-        words = words_of(t)
-        gone = removed(hashed(words) if len(a) else np.empty(0, np.uint64), LAST if d is None else d, a, b, low)
+    for raw, d, words, (s, which) in zip(docs.column("doc_id").to_pylist(), ids, texts, found, strict=True):
+        s = s[~own[which] | (least[which] != d)]
+        edge = np.zeros(len(words) + 1, np.int64)
+        np.add.at(edge, s, 1)
+        np.add.at(edge, s + WINDOW, -1)
+        gone = np.cumsum(edge[:-1]) > 0
         n = int(gone.sum())
-        kept = b" ".join(words if not n else [w for w, g in zip(words, gone, strict=True) if not g])
-        for k, v in zip(rows, (d, len(words), n, hashlib.sha256(kept).hexdigest(),
+        kept = b" ".join(words if not n else [w for w, g in zip(words, gone.tolist(), strict=True) if not g])
+        for k, v in zip(rows, (raw, len(words), n, hashlib.sha256(kept).hexdigest(),
                                kept.decode("utf-8", "surrogatepass") if with_text else None), strict=True):
             rows[k].append(v)
     types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
@@ -253,12 +282,8 @@ def deduplicate(docs: DataFrame, with_text: bool = False, chunk_bytes: tuple[int
     def clean(key, d: pa.Table, r: pa.Table) -> pa.Table:
         return cleaned(d, r, with_text)
 
-    sent = dealt.groupBy("chunk").applyInArrow(send, "bucket bigint, chunk bigint, entries binary")
+    sent = dealt.groupBy("chunk").applyInArrow(send, ENTRIES)
     hits = sent.groupBy("bucket").applyInArrow(answer, "chunk bigint, bucket bigint, hits binary")
-    windows = (dealt.groupBy("chunk").cogroup(hits.groupBy("chunk"))
-               .applyInArrow(extend, "chunk bigint, h1 bigint, h2 bigint, low bigint, more boolean"))
-    least = F.min("low").over(Window.partitionBy("h1", "h2"))
-    repeats = (windows.withColumn("least", least).where("more or least < low")
-               .select("chunk", "h1", "h2", F.col("least").alias("low")))
-    return (dealt.groupBy("chunk").cogroup(repeats.groupBy("chunk")).applyInArrow(clean, RESULT))
-
+    windows = dealt.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(extend, ENTRIES)
+    repeats = windows.groupBy("bucket").applyInArrow(settle, "chunk bigint, repeats binary")
+    return dealt.groupBy("chunk").cogroup(repeats.groupBy("chunk")).applyInArrow(clean, RESULT)
