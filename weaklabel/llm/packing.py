@@ -38,6 +38,8 @@ CACHE = 700_000
 #: Patterns enumerated a length at most, and steps of the fit.
 PARTNERS = 24
 ROUNDS = 120
+#: Shares of the fitted counts that are tried; a lower one leaves best fit more small pieces to close gaps with.
+SHARES = (1.0, 0.6)
 
 
 def byte_letters() -> dict[int, str]:
@@ -191,17 +193,27 @@ class Plan:
     offset)``, sorted for look-up by (length, rank)."""
 
     def __init__(self, counts: np.ndarray, size: int = SIZE):
-        self.size = size
-        self.left = counts.astype(np.int64).copy()           # by length, 0 to size
+        self.size, self.counts = size, counts.astype(np.int64)
+        rows = patterns(np.flatnonzero(self.counts[:size]), size)
+        x = fit(rows, np.where(np.arange(size + 1) < size, self.counts, 0).astype(float)) if len(rows) else np.zeros(0)
+        best = None
+        for share in SHARES:
+            self._pack(rows, share * x)
+            if best is None or self.sequences < best[0]:
+                best = (self.sequences, self.runs)
+        self.sequences = best[0]
+        runs = np.array(sorted(best[1]), np.int64).reshape(-1, 6)
+        self.key = (runs[:, 0] << 48) | runs[:, 1]
+        self.share, self.seq, self.offset, self.first = runs[:, 3], runs[:, 4], runs[:, 5], runs[:, 1]
+
+    def _pack(self, rows: np.ndarray, x: np.ndarray) -> None:
+        self.left = self.counts.copy()                       # by length, 0 to size
         self.used = np.zeros_like(self.left)
         self.sequences = 0
         self.runs: list[tuple[int, int, int, int, int, int]] = []
-        self._put([(size, 1)], int(self.left[size]))
-        self._fitted()
+        self._put([(self.size, 1)], int(self.left[self.size]))
+        self._fitted(rows, x)
         self._best_fit()
-        runs = np.array(sorted(self.runs), np.int64).reshape(-1, 6)
-        self.key = (runs[:, 0] << 48) | runs[:, 1]
-        self.share, self.seq, self.offset, self.first = runs[:, 3], runs[:, 4], runs[:, 5], runs[:, 1]
 
     def _put(self, items: list[tuple[int, int]], repeats: int) -> None:
         """``repeats`` sequences, each with these (length, how many)."""
@@ -215,11 +227,7 @@ class Plan:
             at += length * k
         self.sequences += repeats
 
-    def _fitted(self) -> None:
-        rows = patterns(np.flatnonzero(self.left[:self.size]), self.size)
-        if not len(rows):
-            return
-        x = fit(rows, np.where(np.arange(self.size + 1) < self.size, self.left, 0).astype(float))
+    def _fitted(self, rows: np.ndarray, x: np.ndarray) -> None:
         for i in np.argsort(-x, kind="stable"):
             want = int(x[i] + 0.5)
             if want <= 0:

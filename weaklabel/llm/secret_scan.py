@@ -34,8 +34,8 @@ EXTRA = "random"
 MARGIN = 0.7
 #: Documents whose tokens train the models, at most about.
 SAMPLE_DOCS = 40_000
-#: Smoothing: the weight of a pair that was never seen.
-PRIOR = 0.5
+#: Smoothing: the weight of the second character's own frequency against the pair's counts.
+PRIOR = 4.0
 ALPHABET = 64
 
 
@@ -118,13 +118,17 @@ def train(samples: DataFrame) -> list[float]:
         counts[r["secret"]][r["pair"]] = r["n"]
     if not counts[True] or not counts[False]:
         return [0.0] * 16384
-    total: dict[bool, dict[int, int]] = {True: {}, False: {}}
+    first: dict[bool, dict[int, int]] = {True: {}, False: {}}
+    second: dict[bool, dict[int, int]] = {True: {}, False: {}}
     for y, got in counts.items():
         for pair, n in got.items():
-            total[y][pair // 128] = total[y].get(pair // 128, 0) + n
+            first[y][pair // 128] = first[y].get(pair // 128, 0) + n
+            second[y][pair % 128] = second[y].get(pair % 128, 0) + n
+    every = {y: sum(counts[y].values()) for y in counts}
 
     def log_p(y: bool, pair: int) -> float:
-        return math.log((counts[y].get(pair, 0) + PRIOR) / (total[y].get(pair // 128, 0) + PRIOR * ALPHABET))
+        alone = (second[y].get(pair % 128, 0) + 0.5) / (every[y] + 0.5 * ALPHABET)
+        return math.log((counts[y].get(pair, 0) + PRIOR * alone) / (first[y].get(pair // 128, 0) + PRIOR))
     return [log_p(True, p) - log_p(False, p) for p in range(16384)]
 
 
