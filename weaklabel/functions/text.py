@@ -110,13 +110,3 @@ def clean_label(col: Column) -> Column:
 def lower_label(col: Column) -> Column:
     """T10 (Q23: cast first, cluster ids may be integers)."""
     return F.lower(col.cast("string"))
-
-
-def collapse_labels(col: Column, keep) -> Column:
-    """Labels outside ``keep`` become 'Others'."""
-    return F.when(col.isin(list(keep)), col).otherwise(F.lit("Others"))
-
-
-def split_compound(col: Column) -> Column:
-    """``word.strip().split('_')``."""
-    return F.split(F.trim(col), "_")

@@ -50,7 +50,3 @@ def normalize(v: Column) -> Column:
 def cosine(u: Column, v: Column) -> Column:
     """V8: dot(u, v) / (|u| |v|); NULL when either vector is zero."""
     return F.try_divide(dot(u, v), norm(u) * norm(v))
-
-
-def to_double_array(v: Column) -> Column:
-    return v.cast("array<double>")

@@ -51,6 +51,9 @@ def gmm(df: DataFrame, k: int, restarts: int = 10, seed: int = 0, vec: str = "ve
         out = feats.select(*keep, F.lit(0).alias("cluster"), F.array(F.lit(1.0)).alias("prob"))
         return _attach(df, out, vec)
     data = cut_lineage(feats)
+    if data.isEmpty():                                  # Q16: no rows, no fit
+        out = data.select(*keep, F.lit(0).alias("cluster"), F.array(F.lit(1.0)).alias("prob"))
+        return _attach(df, out, vec)
     best, best_ll = None, None
     for r in range(restarts):
         m = GaussianMixture(k=k, seed=seed + r, maxIter=max_iter, tol=tol, featuresCol="_features",

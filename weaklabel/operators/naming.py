@@ -18,7 +18,6 @@ from ..functions import text as tx
 # the reference joins them.
 DOC_PROMPT = "Generate a general topic for the following document. No header needed."
 LABEL_PROMPT_1 = "Use one generic topic word to describe the following list of topics."
-LABEL_PROMPT_2 = "Example labels: {labels}."
 LABEL_PROMPT_3 = "The label should be with similar granuality of, but different from the examples."
 LABEL_PROMPT_4 = "Your answer should limit to one single word."
 
@@ -99,7 +98,3 @@ def full_predictions(confident: DataFrame, new_classes: DataFrame) -> DataFrame:
                          F.lit(True).alias("is_confident"))
     n = new_classes.select("doc_id", "label", "prediction", F.lit(False).alias("is_confident"))
     return c.unionByName(n)
-
-
-def numbered(df: DataFrame, part: str, order: str, out: str = "rank") -> DataFrame:
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(part).orderBy(order)))

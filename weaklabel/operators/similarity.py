@@ -9,7 +9,6 @@ merged per row, so the answer stays exact."""
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pandas as pd
@@ -20,6 +19,8 @@ from ..functions import vectors as vx
 from ..session import keep
 
 MAX_BROADCAST_BYTES = 256 << 20
+#: Rows of either side that are multiplied at a time.
+TILE = 2048
 
 
 def normalize_vectors(df: DataFrame, vec: str = "vector") -> DataFrame:
@@ -28,23 +29,21 @@ def normalize_vectors(df: DataFrame, vec: str = "vector") -> DataFrame:
 
 
 def _blocks(classes: DataFrame, vec: str, max_bytes: int):
-    """Collect the class matrix in blocks of bounded size (checked first)."""
+    """Collect the class matrix in blocks of bounded size (checked first).
+    Blocks are cut by position in the order of ``class_idx``, which may have
+    gaps."""
     classes = keep(classes)
-    n, dim = classes.select(F.count(F.lit(1)), F.max(F.size(vec))).first()
-    if not n:
-        return []
+    dim = classes.select(F.max(F.size(vec))).first()[0]
+    ids = [r[0] for r in classes.select("class_idx").orderBy("class_idx").collect()]
     per_block = max(1, max_bytes // (8 * max(int(dim or 1), 1)))
     out = []
-    for b in range(math.ceil(n / per_block)):
-        part = (classes.where((F.col("class_idx") >= b * per_block) & (F.col("class_idx") < (b + 1) * per_block))
-                if n > per_block else classes)
-        rows = part.select("class_idx", vec).orderBy("class_idx").collect()
-        if not rows:
-            continue
+    for at in range(0, len(ids), per_block):
+        block = ids[at:at + per_block]
+        rows = (classes.where(F.col("class_idx").between(block[0], block[-1]))
+                .select("class_idx", vec).orderBy("class_idx").collect())
         m = np.array([r[vec] for r in rows], dtype="float64")
         m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), vx.EPS)
-        idx = np.array([r["class_idx"] for r in rows], dtype="int32")
-        out.append((m, idx))
+        out.append((m, np.array([r["class_idx"] for r in rows], dtype="int32")))
     return out
 
 
@@ -57,16 +56,31 @@ def _stack(s: pd.Series, dim: int):
     return x, ok
 
 
+def _tops(x: np.ndarray, m: np.ndarray, k: int):
+    """Row-wise the ``k`` greatest similarities and their columns, ties to the
+    lower column; similarities exist for one tile at a time only."""
+    k = min(k, len(m))
+    best = np.full((len(x), k), -np.inf)
+    where = np.zeros((len(x), k), dtype="int64")
+    for i in range(0, len(x), TILE):
+        for j in range(0, len(m), TILE):
+            sims = np.concatenate([best[i:i + TILE], x[i:i + TILE] @ m[j:j + TILE].T], axis=1)
+            cols = np.concatenate([where[i:i + TILE],
+                                   np.broadcast_to(np.arange(j, j + sims.shape[1] - k), (len(sims), sims.shape[1] - k))], axis=1)
+            order = sims.argmax(axis=1)[:, None] if k == 1 else np.argsort(-sims, axis=1, kind="stable")[:, :k]
+            best[i:i + TILE] = np.take_along_axis(sims, order, axis=1)
+            where[i:i + TILE] = np.take_along_axis(cols, order, axis=1)
+    return best, where
+
+
 def _best_udf(bc):
     @F.pandas_udf("max_sim double, class_idx int")
     def best(v: pd.Series) -> pd.DataFrame:
         m, idx = bc.value
         x, ok = _stack(v, m.shape[1])
-        sims = x @ m.T
-        arg = sims.argmax(axis=1)  # first maximum -> lowest class_idx on ties
-        mx = sims[np.arange(len(arg)), arg]
-        cls = pd.Series(np.where(ok, idx[arg], 0), dtype="Int32").mask(~ok)
-        return pd.DataFrame({"max_sim": pd.Series(np.where(ok, mx, np.nan)).mask(~ok),
+        sims, cols = _tops(x, m, 1)
+        cls = pd.Series(np.where(ok, idx[cols[:, 0]], 0), dtype="Int32").mask(~ok)
+        return pd.DataFrame({"max_sim": pd.Series(np.where(ok, sims[:, 0], np.nan)).mask(~ok),
                              "class_idx": cls})
     return best
 
@@ -76,16 +90,10 @@ def _topk_udf(bc, k: int):
     def topk(v: pd.Series) -> pd.Series:
         m, idx = bc.value
         x, ok = _stack(v, m.shape[1])
-        sims = x @ m.T
-        kk = min(k, m.shape[0])
-        order = np.argsort(-sims, axis=1, kind="stable")[:, :kk]
-        out = []
-        for r in range(len(v)):
-            if not ok[r]:
-                out.append(None)
-                continue
-            out.append([{"neg_sim": float(-sims[r, j]), "class_idx": int(idx[j])} for j in order[r]])
-        return pd.Series(out)
+        sims, cols = _tops(x, m, k)
+        rows = [[{"neg_sim": s, "class_idx": c} for s, c in zip(a, b)]
+                for a, b in zip((-sims).tolist(), idx[cols].tolist())]
+        return pd.Series([r if o else None for r, o in zip(rows, ok)], dtype="object")
     return topk
 
 
@@ -110,7 +118,7 @@ def classify(docs: DataFrame, classes: DataFrame, vec: str = "vector",
            .withColumn("max_sim", F.col("_best.s"))
            .withColumn("class_idx", (-F.col("_best.neg_idx")).cast("int"))
            .drop("_best"))
-    return out.join(F.broadcast(names), "class_idx", "left")
+    return out.join(names, "class_idx", "left")
 
 
 def cosine_topk(docs: DataFrame, classes: DataFrame, k: int = 8, vec: str = "vector",
@@ -120,6 +128,10 @@ def cosine_topk(docs: DataFrame, classes: DataFrame, k: int = 8, vec: str = "vec
     tables are the same. Blocks above the broadcast limit are merged per row."""
     spark = docs.sparkSession
     blocks = _blocks(classes, vec, max_broadcast_bytes)
+    if not blocks:
+        keep_cols = [c for c in docs.columns if c != vec]
+        return docs.where(F.lit(False)).select(*keep_cols, F.lit(0).alias("rank"), F.lit(0).alias("class_idx"),
+                                               F.lit(0.0).alias("sim"))
     parts = [_topk_udf(spark.sparkContext.broadcast(b), k)(F.col(vec)) for b in blocks]
     allk = parts[0] if len(parts) == 1 else F.concat(*parts)
     merged = F.slice(F.array_sort(allk), 1, k)
@@ -193,7 +205,3 @@ def collapse_truth(df: DataFrame, unseen: DataFrame, col: str = "label") -> Data
     return (df.join(u, df[col] == u["_u"], "left")
             .withColumn(col, F.when(F.col("_u").isNotNull(), F.col(col)).otherwise(F.lit("Others")))
             .drop("_u"))
-
-
-def dot_column(u: Column, v: Column) -> Column:
-    return vx.dot(u, v)

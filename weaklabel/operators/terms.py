@@ -72,9 +72,13 @@ def li_ctfidf(docs_terms: DataFrame, nan_first: bool = False) -> DataFrame:
     terms are dropped; ``nan_first=True`` keeps them (NaN sorts first)."""
     sizes = docs_terms.groupBy("label").agg(F.count(F.lit(1)).alias("class_size"))
     n_docs = docs_terms.select(F.count(F.lit(1))).scalar()
-    per_doc = doc_term_counts(docs_terms)
-    pair = (per_doc.groupBy("label", "term")
-            .agg(F.count(F.lit(1)).alias("n_docs_with"), F.sum("n").alias("occ")))
+    # Occurrences and documents are counted inside the row and summed by
+    # (label, term) at once: no shuffle by document.
+    marks = F.concat(F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("occ"), F.lit(0).alias("doc"))),
+                     F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("occ"), F.lit(1).alias("doc"))))
+    pair = (docs_terms.select("label", F.explode_outer(marks).alias("_m")).where(F.col("_m").isNotNull())
+            .groupBy("label", F.col("_m.term").alias("term"))
+            .agg(F.sum("_m.doc").alias("n_docs_with"), F.sum("_m.occ").alias("occ")))
     pair = pair.withColumn("total_occ", F.sum("occ").over(Window.partitionBy("term")))
     s = (pair.join(sizes, "label")
          .withColumn("li", F.col("n_docs_with") / F.col("class_size"))

@@ -108,7 +108,7 @@ def label_with_callable(spark, sf_dir):
     cluster, through a stand-in generator."""
     c = lang_chain(spark, sf_dir)
     unc = c["unconfident"].where(F.col("cluster").isNotNull())
-    samples = cl.cluster_samples(unc.select("doc_id", "cluster", F.col("max_sim").alias("prob")), k=5)
+    samples = cl.cluster_samples(unc.select("doc_id", "cluster", F.col("max_sim").alias("prob")), k=25)
     return nm.generate_cluster_labels(samples, unc, c["existing"], stub_generate)
 
 

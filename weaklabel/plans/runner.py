@@ -19,6 +19,7 @@ from ..operators import similarity as sim
 from ..operators import terms as tm
 from ..operators.preprocess import prepare_corpus
 from ..session import cut_lineage, keep
+from ..sources.corpus import assert_unique_ids, corpus_statistics
 
 PRESETS = {
     # the reference's run on its test data
@@ -56,8 +57,7 @@ def word_vectors_for(split: DataFrame, cfg: dict, word_vectors: DataFrame | None
         if encode is None or pieces_of is None or dim is None:
             raise ValueError("contextual vectors need pieces_of, encode and dim")
         occ = em.contextual_vectors(split, pieces_of, encode, dim)
-        vocab = em.min_count_vocab(split, cfg.get("min_occurrence", 5)).select("term")
-        return em.static_vectors(occ.join(vocab, "term", "left_semi"), cfg.get("min_occurrence", 5))
+        return em.static_vectors(em.strip_terms(occ), cfg.get("min_occurrence", 5))
     raise ValueError(f"unknown vectors {cfg['vectors']!r}")
 
 
@@ -69,11 +69,14 @@ def run_model(corpus: DataFrame, preset: str | dict = "baseline", threshold: flo
     predictions, and the two score tables."""
     cfg = dict(PRESETS[preset] if isinstance(preset, str) else preset)
     cfg.update(overrides)
-    split = prepare(corpus, cfg)
+    split = prepare(assert_unique_ids(corpus), cfg)
     existing = cut_lineage(lb.existing_labels(split))
     seeds = cut_lineage(tm.get_seed_words(split, cfg["seed_k"], cfg["strict"], cfg.get("stopwords")))
     wv = cut_lineage(word_vectors_for(split, cfg, word_vectors, pieces_of, encode, dim))
 
+    if cfg["vectors"] == "word2vec" and cfg.get("lookup", "word") == "word":
+        wv = cut_lineage(em.resolved_vectors([split.select(F.explode_outer("tokens").alias("term")), seeds.select("term")],
+                                             wv, cfg.get("stemmer")))
     docs = em.doc_vectors(split, wv, oov=cfg.get("oov", "skip"))
     classes = em.class_vectors(seeds, wv, existing)
     if cfg.get("pca_dim"):
@@ -81,7 +84,7 @@ def run_model(corpus: DataFrame, preset: str | dict = "baseline", threshold: flo
         docs = cl.pca_project(model, docs)
         classes = cl.pca_project(model, classes)
     docs = cut_lineage(docs)
-    missing = lb.existing_labels(split).join(classes.select("label"), "label", "left_anti")
+    missing = existing.join(classes.select("label"), "label", "left_anti")
 
     unl = split.where(F.col("split") == "unlabeled").select("doc_id", "label", "tokens")
     scored = sim.classify(docs.join(unl.select("doc_id"), "doc_id"), classes)
@@ -114,5 +117,4 @@ def run_model(corpus: DataFrame, preset: str | dict = "baseline", threshold: flo
 
 
 def _stats(split: DataFrame) -> DataFrame:
-    from ..sources.corpus import corpus_statistics
     return corpus_statistics(split)

@@ -9,14 +9,6 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-CORPUS_SCHEMA = T.StructType([
-    T.StructField("doc_id", T.LongType(), False),
-    T.StructField("sentence", T.StringType(), True),
-    T.StructField("label", T.StringType(), True),
-])
-
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Give a scan at least ``min_partitions`` (default: the cluster's
@@ -78,14 +70,27 @@ def corpus_statistics(split_corpus: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- vectors
 
 def read_text_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """Word vectors in the text format ``word v1 ... vn`` (one per line;
-    a leading ``count dim`` header line is skipped)."""
-    lines = spark.read.text(path)
-    parts = F.split(F.trim("value"), " ")
-    df = lines.select(parts.alias("p")).where(F.size("p") > 2)
-    return df.select(
-        F.col("p")[0].alias("term"),
-        F.transform(F.slice("p", 2, F.size("p") - 1), lambda x: x.cast("double")).alias("vector"),
+    """Word vectors in the text format ``word v1 ... vn`` (one per line).
+    A first line of two whole numbers is the ``count dim`` header. Numbers are
+    taken from the right, so terms may hold blanks; a line too short for the
+    dimension is an error."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    first = lines.limit(1).collect()
+    if not first:
+        return spark.createDataFrame([], "term string, vector array<double>, n_occ bigint")
+    head = first[0]["value"].split()
+    header = len(head) == 2 and all(x.isascii() and x.isdigit() for x in head)
+    if header:
+        dim = int(head[1])
+        lines = lines.where(F.trim("value") != first[0]["value"].strip())
+    else:                                               # the shortest line is a term without a blank
+        dim = lines.select(F.min(F.size(F.split(F.trim("value"), " ")))).first()[0] - 1
+    p = lines.select(F.split(F.trim("value"), " ").alias("p"))
+    n = F.size("p")
+    ok = F.when(n > dim, F.lit(True)).otherwise(F.raise_error(F.lit(f"a line has fewer than {dim} numbers")).cast("boolean"))
+    return p.where(ok).select(
+        F.array_join(F.slice("p", 1, n - dim), " ").alias("term"),
+        F.transform(F.slice("p", n - dim + 1, dim), lambda x: x.cast("double")).alias("vector"),
         F.lit(None).cast("bigint").alias("n_occ"))
 
 
@@ -115,11 +120,6 @@ def fingerprint(config: dict, upstream: str = "") -> str:
     return hashlib.sha256(blob.encode()).hexdigest()[:16]
 
 
-def check_config(config: dict, key: str) -> bool:
-    """``key`` absent or falsy."""
-    return key not in config or not config[key]
-
-
 def _hadoop_fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
