@@ -31,6 +31,14 @@ def texts_of(batch: pa.RecordBatch, col: str = "text") -> list[str]:
     return [t or "" for t in batch.column(col).to_pylist()]
 
 
+def hashed_share(df: DataFrame, rows: int, *cols: str) -> DataFrame:
+    """About ``rows`` of the rows of ``df``, chosen by a hash of ``cols``: the
+    same ones each time, and none are sorted or gathered to choose them."""
+    n = df.count()
+    share = 1.0 if n <= rows else rows / n
+    return df.where(F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` clashes with it."""
     taken = {c.lower() for c in df.columns}

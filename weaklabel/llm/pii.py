@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts_of
+from .common import hashed_share, map_batches, texts_of
 
 # The kinds in listing order and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -41,9 +41,9 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 ANY = re.compile(r"[0-9@]")
 TOKEN = re.compile(r"\S*[0-9@]\S*")
-#: Texts, and characters of each, that the field is fitted on.
-TRAIN_DOCS = 4_000
-TRAIN_CHARS = 20_000
+#: Documents (about), and characters of each, among which the field's training texts are looked for.
+TRAIN_DOCS = 12_000
+TRAIN_CHARS = 8_000
 FEATURES = 1 << 14
 SURE = 0.95
 #: Prior mean of the skip weights: repeats may be too rare in a sample to learn from.
@@ -277,11 +277,12 @@ def field_spans(texts: list[str], field: Field) -> list[list[tuple[int, int, int
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> Field:
-    """Fit on the ``rows`` texts with a digit or at sign that come first in
-    hash order, ``chars`` characters of each; only these are collected."""
-    texts = (docs.select(F.substring("text", 1, chars).alias("text")).where(F.col("text").rlike("[0-9@]"))
-             .orderBy(F.xxhash64("text"), "text").limit(rows).collect())
-    return train([r["text"] for r in texts])
+    """Fit on the distinct texts with a digit or at sign in a share of about
+    ``rows`` documents, ``chars`` characters of each; only these are collected."""
+    share = hashed_share(docs.select("doc_id", "text"), rows, "doc_id", "text")
+    texts = (share.select(F.substring("text", 1, chars).alias("text")).where(F.col("text").rlike("[0-9@]"))
+             .distinct().collect())
+    return train(sorted(r["text"] for r in texts))
 
 
 RESULT = ("doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
