@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import components, map_batches, texts_of
+from .common import components, hashed_share, map_batches, texts_of
 
 #: Shingle words, seed and link radius of the contract.
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
-#: Fingerprints a shard should hold, sample for the tree, most shards (the tree is a closure of at most that size).
+#: Fingerprints a shard should hold, sample for the tree (about), most shards (the tree is a closure of at most that size).
 SHARD_ROWS = 2_000
 SAMPLE_ROWS = 65_536
 MAX_SHARDS = 4_096
@@ -184,8 +184,8 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     components of all pairs within ``radius`` bits."""
     n = fps.count()
     shards = int(min(MAX_SHARDS, max(1, -(-n // SHARD_ROWS))))
-    sample = [r["fp"] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE_ROWS).collect()] if shards > 1 else []
-    root = tree(np.array(sample, np.int64).view(np.uint64), shards)
+    sample = [r["fp"] for r in hashed_share(fps, SAMPLE_ROWS, "fp").collect()] if shards > 1 else []
+    root = tree(np.sort(np.array(sample, np.int64).view(np.uint64)), shards)
 
     def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
