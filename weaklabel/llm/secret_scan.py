@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, hashed_share
 
 # The base patterns, in the order in which equal starts are listed.
 ASSIGN = r"(?:(?i)password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -85,10 +85,7 @@ def labelled_samples(docs: DataFrame, bound: int = SAMPLE_DOCS) -> DataFrame:
     """``(value, secret)`` training strings from a bounded share of ``docs``,
     chosen by hash: what base matches hold, and the words of six characters
     and more outside them."""
-    n = docs.count()
-    share = 1.0 if n <= bound else bound / n
-    picked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000))
+    picked = hashed_share(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), bound, "doc_id", "text")
     cols = with_base(picked.select("text"), F.col("text"))
     value = F.regexp_extract("s.value", ASSIGN, 1)
     secret = (cols.select(F.explode(F.concat(*KINDS)).alias("s"))
