@@ -54,7 +54,7 @@ def test_stripped_occurrences_count_once(spark):
     words = ["new_york"] * 6 + ["abc"] * 3 + ["abc_"] * 2 + ["_"] * 9
     docs = spark.createDataFrame([(1, words)], "doc_id bigint, tokens array<string>")
     got = word_vectors_for(docs, {"vectors": "contextual", "min_occurrence": 5}, pieces_of=lambda w: [3],
-                           encode=lambda ids: np.ones((len(ids), 2)), dim=2)
+                           encode=lambda chunks: [np.ones((len(c), 2)) for c in chunks], dim=2)
     assert {r.term: r.n_occ for r in got.collect()} == {"newyork": 6, "abc": 5}
 
 

@@ -1,14 +1,42 @@
-from pyspark.sql import functions as F
+import zlib
 
-from weaklabel.plans.checks_ml import STUB_DIM, stub_encode, stub_generate, stub_pieces
+import numpy as np
+import pytest
+
+from weaklabel.operators import embeddings as em
+from weaklabel.operators import naming as nm
+from weaklabel.plans.common import lang_chain
 from weaklabel.plans.runner import run_model
 from weaklabel.sources import corpus as src
 from weaklabel.sources.fixtures import corpus_lang
 
 SF = "/root/testdata/sf0.001"
+STUB_DIM = 16
+
+
+def stubs():
+    """Stand-ins for a caller's models, shipped to workers by value."""
+    def stub_pieces(word):
+        """Four-character pieces, ids from CRC32."""
+        return [2 + zlib.crc32(word[i:i + 4].encode()) % 5000 for i in range(0, max(len(word), 1), 4)]
+
+    def stub_encode(chunks):
+        """A fixed random row per id, mixed with the running mean of the chunk."""
+        out = []
+        for ids in chunks:
+            rows = np.stack([np.random.default_rng(i).standard_normal(STUB_DIM) for i in ids])
+            out.append(0.7 * rows + 0.3 * np.cumsum(rows, axis=0) / np.arange(1, len(ids) + 1)[:, None])
+        return out
+
+    def stub_generate(prompts):
+        """The longest word of the prompt's last line, quoted and with a mark."""
+        lasts = [(p.strip().splitlines() or ["none"])[-1].split() for p in prompts]
+        return [f"\"{max(words, key=len).capitalize()}\"!" for words in lasts]
+    return stub_pieces, stub_encode, stub_generate
 
 
 def test_final_preset_with_callables(spark):
+    stub_pieces, stub_encode, stub_generate = stubs()
     out = run_model(corpus_lang(spark, SF), "final", threshold=0.2, pieces_of=stub_pieces,
                     encode=stub_encode, dim=STUB_DIM, pca_dim=4, n_clusters=2, generate=stub_generate,
                     sample_k=3)
@@ -20,6 +48,52 @@ def test_final_preset_with_callables(spark):
     assert names and all(n and n.isalnum() for n in names)
 
 
+def test_baseline_preset_with_five_components(spark):
+    """A supplied vector table, five components; then a threshold that leaves
+    no document unconfident."""
+    wv = lang_chain(spark, SF)["word_vectors"]
+    out = run_model(corpus_lang(spark, SF), "baseline", threshold=2.0, word_vectors=wv, pca_dim=4)
+    preds = out["predictions"].collect()
+    assert len(preds) == out["split"].where("split = 'unlabeled'").count()
+    assert not any(r.is_confident for r in preds) and all(r.text is not None for r in preds)
+    assert {r.cluster for r in out["clusters"].collect()} <= {0, 1, 2, 3, 4, None}
+    sure = run_model(corpus_lang(spark, SF).where("length(sentence) > 200"), "baseline", threshold=-1.0, word_vectors=wv)
+    assert sure["clusters"].where("cluster is not null").count() == 0
+    assert sure["predictions"].where("not is_confident and text <> ''").count() == 0
+
+
+def test_vectors_alike_with_and_without_broadcast(spark):
+    wv = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, -4.0])], "term string, vector array<double>")
+    docs = spark.createDataFrame([(1, ["a", "b", "a", "zz"]), (2, []), (3, ["zz"]), (4, None), (5, [None, "b"])],
+                                 "doc_id bigint, tokens array<string>")
+    for oov, want in (("skip", {1: [5 / 3, 0.0], 2: None, 3: None, 4: None, 5: [3.0, -4.0]}),
+                      ("zero", {1: [1.25, 0.0], 2: None, 3: [0.0, 0.0], 4: None, 5: [1.5, -2.0]})):
+        for limit in (1 << 20, 1):
+            got = {r.doc_id: r.vector for r in em.doc_vectors(docs, wv, oov, max_broadcast_bytes=limit).collect()}
+            assert got.keys() == want.keys()
+            assert all(g is w is None or g == pytest.approx(w) for g, w in ((got[k], want[k]) for k in want)), (oov, limit, got)
+    plan = em.doc_vectors(docs, wv)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    none = em.doc_vectors(docs, wv.limit(0))
+    assert none.where("vector is null").count() == 5
+
+
+def test_completions_must_match_prompts(spark):
+    prompts = spark.createDataFrame([(1, "x"), (2, "y")], "id int, prompt string")
+    with pytest.raises(Exception, match="answers for"):
+        nm.complete(prompts, lambda p: [], ["id"]).collect()
+
+
+def test_lemmas_alike_with_and_without_broadcast(spark):
+    from weaklabel.operators.preprocess import lemmatize_tokens
+    docs = spark.createDataFrame([(1, "x", ["cats", "run"]), (2, "y", []), (3, "z", ["dogs", "cats", "cats"])],
+                                 "doc_id bigint, label string, tokens array<string>")
+    lemmas = spark.createDataFrame([("cats", "cat"), ("dogs", "dog")], "token string, lemma string")
+    want = {1: ["cat", "run"], 2: [], 3: ["dog", "cat", "cat"]}
+    for limit in (1 << 20, 0):
+        assert {r.doc_id: r.tokens for r in lemmatize_tokens(docs, lemmas, limit).collect()} == want
+
+
 def test_word_vector_files(spark, tmp_path):
     wv = spark.createDataFrame([("a", [0.5, 1.0], 3)], "term string, vector array<double>, n_occ bigint")
     path = str(tmp_path / "wv")

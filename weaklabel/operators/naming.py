@@ -46,10 +46,13 @@ def cluster_prompts(topics: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def complete(prompts: DataFrame, generate, key_cols, retries: int = 5, base_delay: float = 1.0,
-             retry_on: tuple = (Exception,), batch_size: int = 16) -> DataFrame:
+             retry_on: tuple = (ConnectionError, TimeoutError), batch_size: int = 16,
+             tasks: int | None = None) -> DataFrame:
     """``generate(list[str]) -> list[str]`` over ``prompt`` with
-    exponential backoff on ``retry_on``; the answer is cleaned (T9). Adds
-    ``completion``."""
+    exponential backoff on ``retry_on``, in ``tasks`` tasks (default: the
+    cluster's parallelism); the answer is cleaned (T9). Adds ``completion``.
+    A call that does not give one answer a prompt is an error."""
+    tasks = tasks or prompts.sparkSession.sparkContext.defaultParallelism
     schema_cols = [(c, dict(prompts.dtypes)[c]) for c in key_cols]
 
     def run(batches):
@@ -60,17 +63,20 @@ def complete(prompts: DataFrame, generate, key_cols, retries: int = 5, base_dela
                 chunk = prompts_l[i:i + batch_size]
                 for attempt in range(retries + 1):
                     try:
-                        out.extend(generate(chunk))
+                        answers = list(generate(chunk))
                         break
                     except retry_on:
                         if attempt == retries:
                             raise
                         time.sleep(base_delay * (2 ** attempt))
+                if len(answers) != len(chunk):
+                    raise ValueError(f"{len(answers)} answers for {len(chunk)} prompts")
+                out.extend(answers)
             res = pdf[[c for c, _ in schema_cols]].copy()
             res["completion"] = pd.Series(out, dtype="object").values
             yield res
     schema = ", ".join(f"{c} {t}" for c, t in schema_cols) + ", completion string"
-    raw = prompts.select(*key_cols, "prompt").mapInPandas(run, schema)
+    raw = prompts.select(*key_cols, "prompt").repartition(tasks).mapInPandas(run, schema)
     return raw.withColumn("completion", tx.clean_label(F.col("completion")))
 
 
@@ -93,8 +99,11 @@ def new_class_predictions(unconfident: DataFrame, names: DataFrame) -> DataFrame
 def full_predictions(confident: DataFrame, new_classes: DataFrame) -> DataFrame:
     """Confident documents keep the nearest known class, unconfident ones
     the generated name. ``(doc_id, label, prediction, is_confident)``; order
-    by ``doc_id`` only when writing out."""
+    by ``doc_id`` only when writing out. With ``tokens`` on both sides the
+    document's ``text`` is added."""
+    text = ([F.array_join("tokens", " ").alias("text")]
+            if "tokens" in confident.columns and "tokens" in new_classes.columns else [])
     c = confident.select("doc_id", "label", F.col("best_label").alias("prediction"),
-                         F.lit(True).alias("is_confident"))
-    n = new_classes.select("doc_id", "label", "prediction", F.lit(False).alias("is_confident"))
+                         F.lit(True).alias("is_confident"), *text)
+    n = new_classes.select("doc_id", "label", "prediction", F.lit(False).alias("is_confident"), *text)
     return c.unionByName(n)

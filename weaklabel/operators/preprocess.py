@@ -3,6 +3,7 @@ stopwords, stem, lemmatize. Map-only except the optional lemma join."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,12 +37,25 @@ def prepare_corpus(corpus: DataFrame, remove_punctuation: bool = True,
     return out
 
 
-def lemmatize_tokens(docs: DataFrame, lemmas: DataFrame) -> DataFrame:
+#: Characters of a lemma table that is broadcast.
+MAX_LEMMA_CHARS = 64 << 20
+
+
+def lemmatize_tokens(docs: DataFrame, lemmas: DataFrame, max_chars: int = MAX_LEMMA_CHARS) -> DataFrame:
     """T5: replace each token by its lemma where the table has one.
 
-    Tokens are exploded with their position, joined to the lemma table
-    (Catalyst/AQE broadcast it when its measured size allows, else it is a
-    shuffle join), and put back in order per document."""
+    A lemma table of at most ``max_chars`` characters (checked first) is
+    broadcast and documents stay where they are. With a larger one tokens are
+    joined to it with their position and put back in order per document."""
+    lemmas = lemmas.where(F.col("token").isNotNull() & F.col("lemma").isNotNull()).select("token", "lemma")
+    if (lemmas.agg(F.sum(F.length("token") + F.length("lemma") + 100)).first()[0] or 0) <= max_chars:
+        shared = docs.sparkSession.sparkContext.broadcast({r["token"]: r["lemma"] for r in lemmas.collect()})
+
+        @F.pandas_udf("array<string>")
+        def looked_up(lists: pd.Series) -> pd.Series:
+            get = shared.value.get
+            return lists.map(lambda ws: [] if ws is None else [get(w, w) for w in ws])
+        return docs.withColumn("tokens", looked_up("tokens")).select(*docs.drop("tokens").columns, "tokens")
     lem = lemmas.select(F.col("token").alias("_tok"), F.col("lemma").alias("_lemma"))
     exploded = docs.select("doc_id", F.posexplode("tokens").alias("_pos", "_tok"))
     joined = exploded.join(lem, "_tok", "left")

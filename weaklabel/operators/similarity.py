@@ -9,16 +9,17 @@ merged per row, so the answer stays exact."""
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
 from ..session import keep
 
 MAX_BROADCAST_BYTES = 256 << 20
+#: Bytes of all blocks together; a larger table is no table of classes.
+MAX_CLASS_BYTES = 2 << 30
 #: Rows of either side that are multiplied at a time.
 TILE = 2048
 
@@ -35,6 +36,8 @@ def _blocks(classes: DataFrame, vec: str, max_bytes: int):
     classes = keep(classes)
     dim = classes.select(F.max(F.size(vec))).first()[0]
     ids = [r[0] for r in classes.select("class_idx").orderBy("class_idx").collect()]
+    if 8 * len(ids) * int(dim or 1) > MAX_CLASS_BYTES:
+        raise ValueError(f"{len(ids)} class vectors of {dim} dimensions exceed MAX_CLASS_BYTES")
     per_block = max(1, max_bytes // (8 * max(int(dim or 1), 1)))
     out = []
     for at in range(0, len(ids), per_block):
@@ -188,7 +191,7 @@ def pair_cosine(pairs: DataFrame, u: str = "u_vec", v: str = "v_vec", out: str =
 
 
 def word_pair_cosine(pairs: DataFrame, word_vectors: DataFrame, stemmer=None,
-                     use_stem: bool = False) -> DataFrame:
+                     use_stem: bool = True) -> DataFrame:
     """V9: ``pairs(u, v)`` of words, each looked up with E2's fallbacks;
     NULL when either word is unknown."""
     from .embeddings import word_lookup

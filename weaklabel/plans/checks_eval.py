@@ -52,34 +52,36 @@ def removed_rows(spark, sf_dir):
     return rows.join(docs, "doc_id").select("doc_id", "truth", "text")
 
 
-_F1_SQL = S.with_(CHAIN + [
+F1_CTES = [
     ("ex", "SELECT * FROM preds WHERE truth IN (SELECT label FROM existing)"),
     ("per", """SELECT e.label,
           (SELECT count(*) FROM ex WHERE truth = e.label AND prediction = e.label) AS tp,
           (SELECT count(*) FROM ex WHERE prediction = e.label AND truth <> e.label) AS fp,
           (SELECT count(*) FROM ex WHERE truth = e.label AND prediction IS DISTINCT FROM e.label) AS fn
         FROM existing e"""),
-], """SELECT round_even(CASE WHEN 2 * sum(tp) + sum(fp) + sum(fn) = 0 THEN 0.0
+]
+F1_BODY = """SELECT round_even(CASE WHEN 2 * sum(tp) + sum(fp) + sum(fn) = 0 THEN 0.0
                              ELSE 2.0 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)) END, 3) AS micro_f1,
              round_even(avg(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END), 3) AS macro_f1
-      FROM per""")
+      FROM per"""
 
 
-@register("f1_existing", _F1_SQL)
+@register("f1_existing", S.with_(CHAIN + F1_CTES, F1_BODY))
 def f1_existing(spark, sf_dir):
     c = lang_chain(spark, sf_dir)
     return mt.f1_existing(_preds(c), c["existing"])
 
 
-_NEW_SQL = S.with_(CHAIN + [
+NEW_CTES = [
     ("b", """SELECT truth NOT IN (SELECT label FROM existing) AS t_new,
                     coalesce(prediction NOT IN (SELECT label FROM existing), true) AS p_new FROM preds"""),
-], """SELECT round_even(CASE WHEN sum(p_new::INT) = 0 THEN 0.0 ELSE sum((t_new AND p_new)::INT) / sum(p_new::INT) END, 3) AS precision,
+]
+NEW_BODY = """SELECT round_even(CASE WHEN sum(p_new::INT) = 0 THEN 0.0 ELSE sum((t_new AND p_new)::INT) / sum(p_new::INT) END, 3) AS precision,
              round_even(CASE WHEN sum(t_new::INT) = 0 THEN 0.0 ELSE sum((t_new AND p_new)::INT) / sum(t_new::INT) END, 3) AS recall
-      FROM b""")
+      FROM b"""
 
 
-@register("new_label_metrics", _NEW_SQL)
+@register("new_label_metrics", S.with_(CHAIN + NEW_CTES, NEW_BODY))
 def new_label_metrics(spark, sf_dir):
     c = lang_chain(spark, sf_dir)
     return mt.new_label_metrics(_preds(c), c["existing"])

@@ -1,11 +1,9 @@
-"""Rows-only checks: MLlib fits, caller-supplied models and the end-to-end
-run. Their results depend on training, so no SQL restates them; the
-driver compares row counts and schemas."""
+"""Checks for MLlib fits, the steps around a caller's model, and the
+end-to-end run. Fits whose result depends on training have no SQL; the
+caller's models are functions that SQL can repeat."""
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -15,50 +13,51 @@ from ..operators import embeddings as em
 from ..operators import naming as nm
 from ..operators import similarity as sim
 from ..sources import fixtures as fx
-from .common import lang_chain, lang_prepared
+from . import sqlparts as S
+from .checks_eval import F1_BODY, F1_CTES, NEW_BODY, NEW_CTES
+from .common import MIN_COUNT, SEED_K, THRESHOLD, VEC_DIM, drop_final_s, e6, lang_chain, lang_prepared
 from .registry import register
 
-STUB_DIM = 16
+P = S.LANG
+SPLIT = S.corpus_ctes("lang") + S.split_ctes(P["bottom_p"], P["full_k"], P["keep_p"], P["seed"])
 
 
-def stub_pieces(word: str) -> list[int]:
-    """A stand-in word-piece splitter: 4-character pieces, ids from CRC32."""
-    return [2 + zlib.crc32(word[i:i + 4].encode()) % 5000 for i in range(0, max(len(word), 1), 4)]
+def first_letter(word: str) -> list[int]:
+    """One piece a word: its first code point, after the two markers."""
+    return [2 + ord(word[0])]
 
 
-def stub_encode(ids: list[int]) -> np.ndarray:
-    """A stand-in encoder: a fixed random table per id, mixed with a running
-    mean so each position depends on its left context."""
-    rows = np.stack([np.random.default_rng(i).standard_normal(STUB_DIM) for i in ids])
-    ctx = np.cumsum(rows, axis=0) / np.arange(1, len(ids) + 1)[:, None]
-    return 0.7 * rows + 0.3 * ctx
+def place_and_id(chunks: list[list[int]]) -> list[np.ndarray]:
+    """Every position's vector is its place in the chunk and its piece."""
+    return [np.stack([np.arange(len(c)), c], axis=1).astype(float) for c in chunks]
 
 
-def stub_generate(prompts: list[str]) -> list[str]:
-    """A stand-in label generator: the longest word of the prompt's last
-    line, quoted and with a mark, so the label cleaning (T9) has work."""
-    out = []
-    for p in prompts:
-        words = (p.strip().splitlines() or [""])[-1].split()
-        best = max(words, key=len) if words else "none"
-        out.append(f"\"{best.capitalize()}\"!")
-    return out
+def last_word(prompts: list[str]) -> list[str]:
+    """Answers a prompt with its last word, quoted and with a mark."""
+    return [f"\"{p.split()[-1]}\"!" for p in prompts]
 
 
-@register("train_word_vectors")
+@register("train_word_vectors", S.with_(S.corpus_ctes("lang"), """SELECT term, count(*) AS n_occ,
+    CAST(16 AS INTEGER) AS n_dims FROM (SELECT unnest(tokens) AS term FROM prepared) GROUP BY term"""))
 def train_word_vectors(spark, sf_dir):
-    """MLlib Word2Vec over every token list of the corpus."""
-    return em.train_word_vectors(lang_prepared(spark, sf_dir), vector_size=16, window=3, min_count=1,
-                                 epochs=2, alpha=0.025)
-
-
-@register("contextual_vectors")
+    """MLlib Word2Vec over every token list of the corpus; the words it
+    learned, their counts and the dimension of their vectors."""
+    wv = em.train_word_vectors(lang_prepared(spark, sf_dir), vector_size=16, window=3, min_count=1,
+                               epochs=2, alpha=0.025)
+    return wv.select("term", "n_occ", F.size("vector").alias("n_dims"))
+
+
+@register("contextual_vectors", S.with_(S.corpus_ctes("lang") + [
+    ("w", "SELECT unnest(tokens) AS term, generate_subscripts(tokens, 1) - 1 AS pos FROM prepared"),
+    ("c", "SELECT term, CASE WHEN pos < 510 THEN pos ELSE 255 + (pos - 510) % 255 END AS start FROM w"),
+], f"""SELECT term, count(*) AS n_occ, {S.e6('avg(start + 1)')} AS place_e6, {S.e6('avg(2 + unicode(term))')} AS id_e6
+       FROM c GROUP BY term HAVING count(*) >= 5"""))
 def contextual_vectors(spark, sf_dir):
-    """Every document through the stand-in encoder, chunked
-    with the sliding window, then the static vector per word (>= 5 uses)."""
-    d = lang_prepared(spark, sf_dir)
-    occ = em.contextual_vectors(d, stub_pieces, stub_encode, STUB_DIM)
-    return em.static_vectors(occ, 5)
+    """Every document cut into overlapping chunks and encoded,
+    then the static vector per word (>= 5 uses)."""
+    occ = em.contextual_vectors(lang_prepared(spark, sf_dir), first_letter, place_and_id, 2)
+    return em.static_vectors(occ, 5).select("term", "n_occ", e6(F.col("vector")[0]).alias("place_e6"),
+                                            e6(F.col("vector")[1]).alias("id_e6"))
 
 
 @register("cluster_kmeans")
@@ -89,6 +88,17 @@ def pca_project(spark, sf_dir):
     return docs.unionByName(cls)
 
 
+@register("pca_norms", S.with_([
+    ("ev", "SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings"),
+    ("mean", "SELECT dim, avg(x) AS m FROM ev GROUP BY dim"),
+], f"SELECT vec_id, {S.e6('sum((x - m) * (x - m))')} AS norm2_e6 FROM ev JOIN mean USING (dim) GROUP BY vec_id"))
+def pca_norms(spark, sf_dir):
+    """U5/U6 at full rank: the projection keeps the centred vectors' lengths."""
+    v = fx.vectors(spark, sf_dir).select("vec_id", "vector")
+    _, proj = cl.pca_fit_transform(v, v.select(F.max(F.size("vector"))).first()[0])
+    return proj.select("vec_id", e6(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)).alias("norm2_e6"))
+
+
 @register("projection_2d")
 def projection_2d(spark, sf_dir):
     """V10 (data part): unconfident documents in 2-D (centred PCA), with the
@@ -102,14 +112,29 @@ def projection_2d(spark, sf_dir):
     return out.select("doc_id", F.col("vector")[0].alias("x"), F.col("vector")[1].alias("y"), "label")
 
 
-@register("label_with_callable")
+_NAMED_SQL = S.with_(SPLIT + S.vector_ctes(VEC_DIM, MIN_COUNT, SEED_K, THRESHOLD) + [
+    ("p", f"""SELECT doc_id, tokens, class_idx AS cluster, {S.e6('max_sim')} AS p FROM scored
+              WHERE NOT is_confident AND class_idx IS NOT NULL"""),
+    ("t", "SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY p DESC, doc_id) AS rn FROM p"),
+    ("edges", "SELECT cluster, max(p) = min(p) AS tied FROM t WHERE rn <= 25 GROUP BY cluster"),
+    ("ranked", f"""SELECT p.cluster, p.tokens[-1] AS word, row_number() OVER (PARTITION BY cluster ORDER BY p.p DESC,
+                     CASE WHEN tied THEN {S.hash32(42, 'doc_id')} ELSE 0 END, doc_id) AS rank
+                   FROM p JOIN edges USING (cluster)"""),
+    ("topics", f"""SELECT cluster, rank, {S.strip_punct(f"regexp_replace(word, {S.q(tx.QUOTE_PATTERN)}, '', 'g')")} AS topic
+                   FROM ranked WHERE rank <= 25"""),
+    ("last", "SELECT cluster, max(rank) AS rank FROM topics GROUP BY cluster"),
+], """SELECT cluster, CASE WHEN topic = '' THEN CAST(rank AS VARCHAR) ELSE topic END AS name
+      FROM topics JOIN last USING (cluster, rank)""")
+
+
+@register("label_with_callable", _NAMED_SQL)
 def label_with_callable(spark, sf_dir):
     """Cluster samples (U4) -> topic per document -> one name per
-    cluster, through a stand-in generator."""
+    cluster, through a caller's generator."""
     c = lang_chain(spark, sf_dir)
     unc = c["unconfident"].where(F.col("cluster").isNotNull())
-    samples = cl.cluster_samples(unc.select("doc_id", "cluster", F.col("max_sim").alias("prob")), k=25)
-    return nm.generate_cluster_labels(samples, unc, c["existing"], stub_generate)
+    samples = cl.cluster_samples(unc.select("doc_id", "cluster", (e6("max_sim") / 1e6).alias("prob")), k=25)
+    return nm.generate_cluster_labels(samples, unc, c["existing"], last_word)
 
 
 @register("stem_vocabulary")
@@ -120,11 +145,29 @@ def stem_vocabulary(spark, sf_dir):
     return vocab.select("term", stem_column(F.col("term")).alias("stem"))
 
 
-@register("end_to_end_predictions")
-def end_to_end_predictions(spark, sf_dir):
-    """The reference's test run (Word2Vec vectors, one cluster) on the
-    language corpus, threshold 0.3."""
+RUN = (SPLIT + S.vector_ctes(VEC_DIM, MIN_COUNT, 3, THRESHOLD, strict=True)
+       + S.naming_ctes("CASE WHEN class_idx IS NOT NULL THEN 0 END"))
+
+
+def _run(spark, sf_dir):
+    """The reference's test run on the language corpus with a supplied
+    vector table; with its one cluster every step can be said in SQL."""
     from .runner import run_model
-    from ..sources.fixtures import corpus_lang
-    out = run_model(corpus_lang(spark, sf_dir), "test", threshold=0.3)
-    return out["predictions"].select("doc_id", "label", "prediction", "is_confident")
+    return run_model(fx.corpus_lang(spark, sf_dir), "test", threshold=THRESHOLD, stemmer=drop_final_s,
+                     word_vectors=lang_chain(spark, sf_dir)["word_vectors"])
+
+
+@register("end_to_end_predictions", S.with_(RUN, """SELECT doc_id, truth AS label, prediction, is_confident,
+    array_to_string(u.tokens, ' ') AS text FROM preds JOIN unl u USING (doc_id)"""))
+def end_to_end_predictions(spark, sf_dir):
+    return _run(spark, sf_dir)["predictions"].select("doc_id", "label", "prediction", "is_confident", "text")
+
+
+@register("end_to_end_f1", S.with_(RUN + F1_CTES, F1_BODY))
+def end_to_end_f1(spark, sf_dir):
+    return _run(spark, sf_dir)["f1_existing"]
+
+
+@register("end_to_end_new_labels", S.with_(RUN + NEW_CTES, NEW_BODY))
+def end_to_end_new_labels(spark, sf_dir):
+    return _run(spark, sf_dir)["new_label_metrics"]

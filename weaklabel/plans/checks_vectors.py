@@ -15,8 +15,8 @@ from ..session import checkpoint_dir
 from ..sources import corpus as src
 from ..sources import fixtures as fx
 from . import sqlparts as S
-from .common import MIN_COUNT, SEED_K, THRESHOLD, VEC_DIM, e6, lang_chain, lang_prepared
-from .registry import register
+from .common import MIN_COUNT, SEED_K, THRESHOLD, VEC_DIM, drop_final_s, e6, lang_chain, lang_prepared
+from .registry import ORACLES, register
 
 P = S.LANG
 SPLIT = S.corpus_ctes("lang") + S.split_ctes(P["bottom_p"], P["full_k"], P["keep_p"], P["seed"])
@@ -57,6 +57,25 @@ def load_text_vectors(spark, sf_dir):
     return _vec_summary(src.read_text_vectors(spark, path))
 
 
+@register("reload_word_vectors", _TEXT_VEC_SQL)
+def reload_word_vectors(spark, sf_dir):
+    """Vectors saved with their settings and loaded again."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/word-vectors-{uuid.uuid4().hex}"
+    src.save_word_vectors(lang_chain(spark, sf_dir)["word_vectors"], path, {"dim": VEC_DIM})
+    return _vec_summary(src.load_word_vectors(spark, path))
+
+
+@register("reload_split", S.with_(SPLIT, """SELECT doc_id, split, label, len(tokens) AS n_tokens,
+    array_to_string(tokens, ' ') AS text FROM split"""))
+def reload_split(spark, sf_dir):
+    """Both parts saved and each read back on its own."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/split-parts-{uuid.uuid4().hex}"
+    src.write_split(lang_chain(spark, sf_dir)["split"], path)
+    both = src.read_split(spark, path, "labeled").unionByName(src.read_split(spark, path, "unlabeled"))
+    return both.select("doc_id", "split", "label", F.size("tokens").cast("bigint").alias("n_tokens"),
+                       F.array_join("tokens", " ").alias("text"))
+
+
 # ----------------------------------------------------------- doc / class
 
 _DV_SQL = S.with_(CHAIN, f"""SELECT doc_id, CAST(dim AS INTEGER) AS dim, {S.e6('x')} AS x_e6 FROM dv_long
@@ -106,12 +125,7 @@ _STATIC_SQL = S.with_(S.corpus_ctes("lang") + [
 def static_vectors(spark, sf_dir):
     """E11/E14/E15 over per-occurrence vectors that SQL can repeat (the
     word's hash vector, varied by position mod 3)."""
-    d = lang_prepared(spark, sf_dir)
-    occ = (d.select("doc_id", F.posexplode("tokens").alias("pos", "term"))
-           .withColumn("key", F.concat("term", F.lit("@"), (F.col("pos") % 3).cast("string"))))
-    # one hash vector per distinct key, joined to its occurrences
-    keys = occ.select("key").distinct().withColumn("vector", vx.hash_vector(F.col("key"), VEC_DIM))
-    st = em.static_vectors(occ.join(keys, "key"), 5)
+    st = em.static_vectors(_hash_occurrences(spark, sf_dir), 5)
     return (st.select("term", "n_occ", e6(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)).alias("sum_e6"),
                       e6(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)).alias("sumsq_e6")))
 
@@ -125,10 +139,58 @@ _CHUNK_SQL = S.with_(S.corpus_ctes("lang") + [
          CAST(max(pos) AS INTEGER) AS last_pos, CAST(max(start) + 1 AS INTEGER) AS max_end FROM c GROUP BY doc_id, chunk""")
 
 
+def _hash_occurrences(spark, sf_dir):
+    """One hash vector per distinct key, joined to its occurrences."""
+    occ = (lang_prepared(spark, sf_dir).select("doc_id", F.posexplode("tokens").alias("pos", "term"))
+           .withColumn("key", F.concat("term", F.lit("@"), (F.col("pos") % 3).cast("string"))))
+    keys = occ.select("key").distinct().withColumn("vector", vx.hash_vector(F.col("key"), VEC_DIM))
+    return occ.join(keys, "key")
+
+
+_OCC = S.corpus_ctes("lang") + [
+    ("occ", "SELECT unnest(tokens) AS term, generate_subscripts(tokens, 1) - 1 AS pos FROM prepared"),
+]
+
+
+@register("token_vector_sums", S.with_(_OCC + [
+    ("kinds", "SELECT term, pos % 3 AS k, count(*) AS n FROM occ GROUP BY ALL"),
+    ("v", f"SELECT term, n, list_sum({S.hash_vector(chr(40) + 'term || ' + S.q('@') + ' || CAST(k AS VARCHAR))', VEC_DIM)}) AS x FROM kinds"),
+], f"SELECT term, CAST(sum(n) AS BIGINT) AS n_occ, {S.e6('sum(n * x)')} AS sum_e6 FROM v GROUP BY term"))
+def token_vector_sums(spark, sf_dir):
+    """Count and vector sum of every word's occurrences."""
+    got = em.collect_vocab(_hash_occurrences(spark, sf_dir))
+    return got.select("term", "n_occ", e6(F.aggregate("vector_sum", F.lit(0.0), lambda a, x: a + x)).alias("sum_e6"))
+
+
+@register("static_coverage", S.with_(_OCC + [("n", "SELECT term, count(*) AS n FROM occ GROUP BY term")],
+                                     "SELECT count(*) FILTER (n >= 5) AS kept, count(*) AS total FROM n"))
+def static_coverage(spark, sf_dir):
+    """Words kept by the minimum, and all words."""
+    return em.static_coverage(lang_prepared(spark, sf_dir).select(F.explode("tokens").alias("term")), 5)
+
+
 @register("chunk_tokens", _CHUNK_SQL)
 def chunk_tokens(spark, sf_dir):
     """E8 with one piece per word (closed form of the sliding window)."""
-    d = lang_prepared(spark, sf_dir)
+    return _chunks(lang_prepared(spark, sf_dir))
+
+
+@register("reload_chunks", _CHUNK_SQL)
+def reload_chunks(spark, sf_dir):
+    """The chunk table as a stage's output, asked for twice: the second
+    time it is read, not computed."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/stages-{uuid.uuid4().hex}"
+    config = {"max_pieces": em.MAX_PIECES, "carry": em.CARRY_OVER}
+    _, first = src.cached_stage(spark, root, "chunks", config, lambda: _chunks(lang_prepared(spark, sf_dir)))
+
+    def again():
+        raise AssertionError("an unchanged stage was computed again")
+    out, second = src.cached_stage(spark, root, "chunks", config, again)
+    assert first == second
+    return out
+
+
+def _chunks(d):
     w = d.select("doc_id", F.posexplode(em.chunk_positions(F.size("tokens"))).alias("pos", "c"))
     return (w.groupBy("doc_id", F.col("c.chunk").alias("chunk"))
             .agg(F.count(F.lit(1)).alias("n_words"), F.min("pos").cast("int").alias("first_pos"),
@@ -155,31 +217,25 @@ _BENCH = [
     ("bterms", "SELECT DISTINCT term FROM (SELECT unnest(t) AS term FROM bt UNION ALL SELECT u || '_' || v FROM bpairs)"),
 ]
 
-_LOOKUP_SQL = S.with_(CHAIN + _BENCH + [
-    ("pieces", "SELECT term, unnest(string_split(trim(term), '_')) AS piece FROM bterms WHERE term NOT IN (SELECT term FROM wv)"),
-    ("piece_long", """SELECT p.term, w.dim, avg(w.x) AS x FROM pieces p JOIN wv_long w ON w.term = p.piece
-                      GROUP BY p.term, w.dim"""),
-    ("found", """SELECT b.term, w.dim, w.x FROM bterms b JOIN wv_long w USING (term)
-                 UNION ALL SELECT term, dim, x FROM piece_long WHERE contains(term, '_')"""),
-], f"""SELECT term, CAST(dim AS INTEGER) AS dim, {S.e6('x')} AS x_e6 FROM found
+_LOOKUP_SQL = S.with_(CHAIN + _BENCH + S.lookup_ctes("bterms", "found"), f"""SELECT term, CAST(dim AS INTEGER) AS dim, {S.e6('x')} AS x_e6 FROM found
        UNION ALL SELECT term, NULL, NULL FROM bterms WHERE term NOT IN (SELECT term FROM found)""")
 
 
 @register("word_lookup", _LOOKUP_SQL)
 def word_lookup(spark, sf_dir):
     """Benchmark words and '_' compounds of neighbouring words looked
-    up in the corpus vectors (exact, else mean of the pieces)."""
+    up in the corpus vectors (exact, else stem, else mean of the pieces)."""
     wv = lang_chain(spark, sf_dir)["word_vectors"]
     t = _bench_tokens(spark, sf_dir)
     pairs = t.select(F.explode(_pairs(F.col("t"))).alias("p"))
     terms = (t.select(F.explode("t").alias("term"))
              .union(pairs.select(F.concat(F.col("p.u"), F.lit("_"), F.col("p.v")).alias("term"))).distinct())
-    return _long(em.word_lookup(terms, wv), ["term"])
+    return _long(em.word_lookup(terms, wv, drop_final_s), ["term"])
 
 
-_PAIR_SQL = S.with_(CHAIN + _BENCH + [
+_PAIR_SQL = S.with_(CHAIN + _BENCH + S.lookup_ctes("bterms", "found") + [
     ("pc", """SELECT p.u, p.v, sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))) AS c
-              FROM bpairs p JOIN wv_long a ON a.term = p.u JOIN wv_long b ON b.term = p.v AND b.dim = a.dim
+              FROM bpairs p JOIN found a ON a.term = p.u JOIN found b ON b.term = p.v AND b.dim = a.dim
               GROUP BY p.u, p.v"""),
 ], f"""SELECT p.u, p.v, {S.e6('pc.c')} AS cosine_e6 FROM bpairs p LEFT JOIN pc USING (u, v)""")
 
@@ -190,7 +246,7 @@ def word_pair_cosine(spark, sf_dir):
     wv = lang_chain(spark, sf_dir)["word_vectors"]
     pairs = (_bench_tokens(spark, sf_dir).select(F.explode(_pairs(F.col("t"))).alias("p"))
              .select("p.u", "p.v").distinct())
-    out = sim.word_pair_cosine(pairs, wv)
+    out = sim.word_pair_cosine(pairs, wv, drop_final_s)
     return out.select("u", "v", e6("cosine").alias("cosine_e6"))
 
 
@@ -203,6 +259,17 @@ def classify_cosine(spark, sf_dir):
     return s.select("doc_id", "class_idx", "best_label", e6("max_sim").alias("max_sim_e6"), "is_confident")
 
 
+@register("classify_blocked", S.with_(CHAIN, f"""SELECT doc_id, class_idx, best_label,
+    {S.e6('max_sim')} AS max_sim_e6 FROM scored"""))
+def classify_blocked(spark, sf_dir):
+    """V2/V4 with a block a class and gaps in the indices."""
+    c = lang_chain(spark, sf_dir)
+    gapped = c["class_vectors"].withColumn("class_idx", F.col("class_idx") * 7 + 3)
+    s = sim.classify(c["doc_vectors"], gapped, max_broadcast_bytes=8 * VEC_DIM)
+    return s.select("doc_id", ((F.col("class_idx") - 3) / 7).cast("int").alias("class_idx"), "best_label",
+                    e6("max_sim").alias("max_sim_e6"))
+
+
 @register("confidence_split", S.with_(CHAIN, """SELECT doc_id,
     CASE WHEN is_confident THEN 'confident' ELSE 'unconfident' END AS part FROM scored"""))
 def confidence_split(spark, sf_dir):
@@ -280,6 +347,17 @@ def cosine_topk(spark, sf_dir):
     return t.select("vec_id", F.col("rank").cast("int"), "class_idx", e6("sim").alias("sim_e6"))
 
 
+@register("cosine_topk_blocked", ORACLES["cosine_topk"])
+def cosine_topk_blocked(spark, sf_dir):
+    """V3 with blocks of two centroids and gaps in the indices."""
+    v, cent = _centroids(spark, sf_dir)
+    gapped = cent.withColumn("class_idx", F.col("class_idx") * 5 + 2)
+    dim = v.select(F.max(F.size("vector"))).first()[0] or 1
+    t = sim.cosine_topk(v.select("vec_id", "vector"), gapped, k=8, max_broadcast_bytes=16 * dim)
+    return t.select("vec_id", F.col("rank").cast("int"), ((F.col("class_idx") - 2) / 5).cast("int").alias("class_idx"),
+                    e6("sim").alias("sim_e6"))
+
+
 @register("pair_cosine", S.with_(_EMB, f"SELECT vec_id, {S.e6('cos')} AS cosine_e6 FROM own"))
 def pair_cosine(spark, sf_dir):
     """V8: each embedding against its label's centroid."""

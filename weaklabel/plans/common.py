@@ -19,6 +19,11 @@ MIN_COUNT = 5
 THRESHOLD = 0.35
 
 
+def drop_final_s(word: str) -> str:
+    """The checks' stemmer (matches ``sqlparts.stem``)."""
+    return word[:-1] if word.endswith("s") else word
+
+
 def e6(c) -> F.Column:
     """Scaled score column (matches ``sqlparts.e6``)."""
     c = F.col(c) if isinstance(c, str) else c
@@ -73,16 +78,21 @@ class _Chain:
     def _word_vectors(self):
         return cut_lineage(fx.hash_word_vectors(self["vocab"], VEC_DIM), "word-vectors")
 
+    def _lookup_vectors(self):
+        from ..operators import embeddings as em
+        terms = [self["split"].select(F.explode_outer("tokens").alias("term")), self["seeds"].select("term")]
+        return cut_lineage(em.resolved_vectors(terms, self["word_vectors"], drop_final_s), "lookup-vectors")
+
     def _unlabeled(self):
         return self["split"].where("split = 'unlabeled'")
 
     def _doc_vectors(self):
         from ..operators import embeddings as em
-        return em.doc_vectors(self["unlabeled"], self["word_vectors"])
+        return em.doc_vectors(self["unlabeled"], self["lookup_vectors"])
 
     def _class_vectors(self):
         from ..operators import embeddings as em
-        return em.class_vectors(self["seeds"], self["word_vectors"], self["existing"])
+        return em.class_vectors(self["seeds"], self["lookup_vectors"], self["existing"])
 
     def _scored(self):
         from ..operators import similarity as sim
@@ -95,8 +105,7 @@ class _Chain:
         return cut_lineage(docs.join(s, "doc_id"), "judged")
 
     def _unconfident(self):
-        return cut_lineage(self["judged"].where(~F.col("is_confident"))
-                           .withColumn("cluster", F.col("class_idx")), "unconfident")
+        return self["judged"].where(~F.col("is_confident")).withColumn("cluster", F.col("class_idx"))
 
     def _names(self):
         from ..operators import terms as tm
@@ -109,8 +118,7 @@ class _Chain:
 
     def _predictions(self):
         from ..operators import naming as nm
-        return cut_lineage(nm.full_predictions(self["judged"].where("is_confident"), self["new_classes"]),
-                           "predictions")
+        return nm.full_predictions(self["judged"].where("is_confident"), self["new_classes"])
 
 
 def lang_chain(spark: SparkSession, sf_dir: str, threshold: float | None = None) -> _Chain:

@@ -166,11 +166,36 @@ def li_ctes(src: str, nan_first: bool = False, prefix: str = "li") -> list[tuple
 
 # ----------------------------------------------------------- vector chain
 
-def vector_ctes(dim: int, min_count: int, seed_k: int, threshold: float) -> list[tuple[str, str]]:
+def stem(word_sql: str) -> str:
+    """The checks' stemmer: a final s goes."""
+    return f"regexp_replace({word_sql}, 's$', '')"
+
+
+def lookup_ctes(src: str, name: str) -> list[tuple[str, str]]:
+    """E2/E3 for ``src(term)`` -> ``name(term, dim, x)``: the word itself,
+    else its stem, else (with '_') the mean of the pieces found that way."""
+    return [
+        (f"{name}_terms", f"SELECT DISTINCT term FROM {src}"),
+        (f"{name}_whole", f"""SELECT t.term, w.dim, w.x FROM {name}_terms t JOIN wv_long w USING (term)
+            UNION ALL SELECT t.term, w.dim, w.x FROM {name}_terms t JOIN wv_long w ON w.term = {stem('t.term')}
+            WHERE t.term NOT IN (SELECT term FROM wv)"""),
+        (f"{name}_split", f"""SELECT term, unnest(string_split(trim(term), '_')) AS piece FROM {name}_terms
+            WHERE contains(term, '_') AND term NOT IN (SELECT term FROM {name}_whole)"""),
+        (f"{name}_pieces", f"""SELECT p.term, w.dim, w.x FROM {name}_split p JOIN wv_long w ON w.term = p.piece
+            UNION ALL SELECT p.term, w.dim, w.x FROM {name}_split p JOIN wv_long w ON w.term = {stem('p.piece')}
+            WHERE p.piece NOT IN (SELECT term FROM wv)"""),
+        (name, f"""SELECT term, dim, x FROM {name}_whole
+            UNION ALL SELECT term, dim, avg(x) FROM {name}_pieces GROUP BY term, dim"""),
+    ]
+
+
+def vector_ctes(dim: int, min_count: int, seed_k: int, threshold: float,
+                strict: bool = False) -> list[tuple[str, str]]:
     """Hash word vectors over the >= min_count vocabulary, document and
-    class vectors, nearest class and confidence for the unlabelled part.
-    Expects ``split`` and ``existing`` (from split_ctes)."""
-    return class_tfidf_ctes() + top_ctes("tfidf", seed_k, False) + seed_ctes("top", seed_k) + [
+    class vectors (through the whole word lookup), nearest class and
+    confidence for the unlabelled part. Expects ``split`` and ``existing``
+    (from split_ctes)."""
+    return class_tfidf_ctes() + top_ctes("tfidf", seed_k, strict) + seed_ctes("top", seed_k) + [
         ("vocab", f"""SELECT term, count(*) AS n_occ FROM (
               SELECT {strip_punct('t')} AS term FROM (SELECT unnest(tokens) AS t FROM split))
             WHERE term <> '' GROUP BY term HAVING count(*) >= {min_count}"""),
@@ -178,10 +203,12 @@ def vector_ctes(dim: int, min_count: int, seed_k: int, threshold: float) -> list
         ("wv_long", "SELECT term, unnest(vector) AS x, generate_subscripts(vector, 1) - 1 AS dim FROM wv"),
         ("unl", "SELECT doc_id, label, tokens FROM split WHERE split = 'unlabeled'"),
         ("dt", "SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(tokens) AS term FROM unl) GROUP BY ALL"),
+        ("sought", "SELECT term FROM dt UNION ALL SELECT term FROM seeds"),
+        *lookup_ctes("sought", "lk"),
         ("dv_long", """SELECT d.doc_id, w.dim, sum(d.n * w.x) / sum(d.n) AS x
-            FROM dt d JOIN wv_long w USING (term) GROUP BY d.doc_id, w.dim"""),
+            FROM dt d JOIN lk w USING (term) GROUP BY d.doc_id, w.dim"""),
         ("cv_long", """SELECT s.label, e.class_idx, w.dim, avg(w.x) AS x, count(*) AS n_seeds_found
-            FROM seeds s JOIN wv_long w USING (term) JOIN existing e USING (label) GROUP BY s.label, e.class_idx, w.dim"""),
+            FROM seeds s JOIN lk w USING (term) JOIN existing e USING (label) GROUP BY s.label, e.class_idx, w.dim"""),
         ("dn", "SELECT doc_id, greatest(sqrt(sum(x * x)), 1e-12) AS nrm FROM dv_long GROUP BY doc_id"),
         ("cn", "SELECT class_idx, greatest(sqrt(sum(x * x)), 1e-12) AS nrm FROM cv_long GROUP BY class_idx"),
         ("sims", """SELECT d.doc_id, c.class_idx, c.label, sum((d.x / dn.nrm) * (c.x / cn.nrm)) AS sim
@@ -196,11 +223,12 @@ def vector_ctes(dim: int, min_count: int, seed_k: int, threshold: float) -> list
     ]
 
 
-def naming_ctes() -> list[tuple[str, str]]:
-    """Unconfident documents grouped by nearest class, named by LI-cTF-IDF,
-    and the assembled predictions. Expects ``scored``."""
+def naming_ctes(cluster: str = "class_idx") -> list[tuple[str, str]]:
+    """Unconfident documents grouped by nearest class (or another
+    ``cluster``), named by LI-cTF-IDF, and the assembled predictions.
+    Expects ``scored``."""
     return [
-        ("unconf", "SELECT doc_id, label AS truth, tokens, class_idx AS cluster FROM scored WHERE NOT is_confident"),
+        ("unconf", f"SELECT doc_id, label AS truth, tokens, {cluster} AS cluster FROM scored WHERE NOT is_confident"),
         ("unconf_l", "SELECT doc_id, CAST(cluster AS VARCHAR) AS label, tokens FROM unconf WHERE cluster IS NOT NULL"),
     ] + li_ctes("unconf_l", prefix="nli") + top_ctes("nli", 8, False, "ntop") + seed_ctes("ntop", 8, "nseeds") + [
         ("names", """SELECT CAST(l.label AS INTEGER) AS cluster, coalesce(s.term, 'cluster_' || l.label) AS name
