@@ -44,6 +44,17 @@ def test_quality_separates_and_takes_any_row(spark, awkward, none):
     assert {r.score for r in quality.score(awkward, blind).collect()} == {0.5}
 
 
+def test_quality_reads_long_texts_to_the_end():
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdeilnorst") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    good = [" ".join(rng.choice(words) for _ in range(120)) for _ in range(90)]
+    bad = ["".join(rng.choice(words).upper() + "!! " for _ in range(120)) for _ in range(90)]
+    diff = quality.difference(quality.dictionary(good[:60]), quality.dictionary(bad[:60]))
+    short, long = diff(bad[60]), diff(" ".join(bad[60:]))
+    assert short < 0 and long < 0.5 * short
+    assert diff(good[60] + " " + " ".join(bad[60:])) < 0 < diff(" ".join(good[60:])) and diff("") == 0
+
+
 def test_quality_never_learns_from_held_out_rows(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id bigint, quality int, toxic int")
     got = {r.doc_id for r in quality.learnable(labels).collect()}
