@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -116,6 +117,22 @@ def test_licence_labels(spark, awkward, none):
     assert licenses.scan(awkward).count() == len(AWKWARD) and licenses.scan(none).count() == 0
 
 
+def test_pii_patterns_as_written_and_in_linear_time():
+    written = {0: r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", 1: r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"}
+    rng = random.Random(3)
+    for _ in range(4000):
+        text = "".join(rng.choice("a@.1_- 9é@.") for _ in range(rng.randint(0, 60)))
+        want = {k: [(m.start(), m.end()) for m in re.finditer(p, text)] for k, p in written.items()}
+        assert pii.emails(text) == want[0]
+        assert [(m.start(), m.end()) for m in pii.IP.finditer(text)] == want[1]
+        assert [m.span() for m in pii.TOKEN.finditer(text)] == [m.span() for m in re.finditer(r"\S*[0-9@]\S*", text)]
+    n = 300_000
+    for text in ("a" * n + " x@y.zz", "1" * n, "@" * n, "a@" * n, "é" * n + " 1", "1." * n, "+1 " * n):
+        began = time.process_time()
+        pii.base_spans(text), list(pii.TOKEN.finditer(text))
+        assert time.process_time() - began < 10
+
+
 def test_pii_base_and_field(spark, awkward, none):
     texts = [f"mail to u{i}.x@mail{i}.example.com or +1 (6{i % 90 + 10}) 555-{1000 + i} from 10.{i % 250}.3.4 id {10**15 + i}" for i in range(200)]
     docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], SCHEMA)
