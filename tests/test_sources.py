@@ -38,3 +38,20 @@ def test_text_vectors_roundtrip(spark):
 def test_duplicate_ids_detected(spark):
     df = spark.createDataFrame([(1, "x", "a"), (1, "y", "a")], "doc_id bigint, sentence string, label string")
     assert src.duplicate_ids(df).count() == 1
+
+
+def test_release_deletes_only_the_cuts_of_this_application(spark, tmp_path, monkeypatch):
+    from weaklabel import session
+    app = spark.sparkContext.applicationId
+    monkeypatch.setattr(session, "_CUTS", {"another": ["/nowhere"]})
+    monkeypatch.setattr(session, "_KEPT", {})
+    monkeypatch.setattr(session, "checkpoint_dir", lambda s: str(tmp_path))
+    other = tmp_path / "tables" / "mine.txt"
+    other.parent.mkdir()
+    other.write_text("x")
+    kept = session.keep(spark.range(3))
+    assert session.cut_lineage(kept, "a").count() == session.cut_lineage(kept, "b").count() == 3
+    assert len(session._CUTS[app]) == 2 and len(list(other.parent.iterdir())) == 3
+    assert session.release(spark) == 2 and session.release(spark) == 0
+    assert [p.name for p in other.parent.iterdir()] == ["mine.txt"] and not kept.storageLevel.useMemory
+    assert session._CUTS == {"another": ["/nowhere"]}

@@ -63,13 +63,34 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     filter pushdown and size statistics for join planning."""
     root = checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{root}/tables/{name}-{uuid.uuid4().hex}"
+    _CUTS.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+#: Tables written by ``cut_lineage`` and frames persisted by ``keep``, by application.
+_CUTS: dict[str, list[str]] = {}
+_KEPT: dict[str, list[DataFrame]] = {}
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the lineage cuts this application wrote and unpersist what it
+    kept; returns the number of tables deleted. Call it once results are
+    written: frames that still read a deleted table fail."""
+    sc = spark.sparkContext
+    for df in _KEPT.pop(sc.applicationId, []):
+        df.unpersist()
+    paths = _CUTS.pop(sc.applicationId, [])
+    for path in paths:
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Persist a result that is read several times within one job (memory,
     spilling to disk). Lineage stays, so lost blocks are recomputed."""
+    _KEPT.setdefault(df.sparkSession.sparkContext.applicationId, []).append(df)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
