@@ -120,6 +120,40 @@ def test_pivot_index_against_brute_force(spark):
     assert pivots.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n_pivots", [128, 512])
+def test_pivot_index_in_a_hot_group(spark, monkeypatch, n_pivots):
+    rng = np.random.default_rng(n_pivots)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[::3] = x[0] + 0.12 * x[::3]                          # a third: distinct vectors about one
+    x = x.astype(np.float32).astype(float)
+    monkeypatch.setattr(pivots, "MIN_PIVOTS", n_pivots)
+    df = spark.createDataFrame([(i, 0, v) for i, v in enumerate(x.tolist())], "vec_id bigint, label int, embedding array<float>")
+    got = {r.vec_id: r for r in pivots.near_vectors(df).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.98
+    np.fill_diagonal(near, False)
+    links = np.array([got[i].n_links for i in range(len(x))])
+    assert near.sum() > 500_000 and (links <= near.sum(1)).all() and links.sum() >= 0.95 * near.sum()
+
+
+def test_spaced_pivots():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(16_384, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[::3] = x[0] + 0.12 * x[::3]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = pivots.spaced(np.empty((0, 64)), x, 4096)
+    cosines = got @ got.T
+    np.fill_diagonal(cosines, 0)
+    assert len(got) == 4096 and cosines.max() < pivots.SPACING and (got @ x[0] > 0.95).sum() == 1
+    code = pivots.nearest(x[:6000:3], got, pivots.DEPTH)
+    bits = np.zeros((len(code), 4096), np.float32)
+    bits[np.arange(len(code))[:, None], code] = 1
+    near = x[:6000:3] @ x[:6000:3].T >= 0.98
+    assert (bits @ bits.T >= pivots.SHARED)[near].mean() >= 0.95
+
+
 def removed(docs):
     """Word masks by the contract's own words."""
     words = [(d, (t or "").split()) for d, t in docs]

@@ -1,7 +1,7 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
-Pivots are reference vectors from a bounded sample. Each vector is described
-by its ``DEPTH`` nearest pivots in order; near vectors share most of them.
+Pivots are reference vectors from a bounded sample, spaced so that no dense
+group supplies more than a few. Each vector is described by its ``DEPTH`` nearest pivots in order; near vectors share most of them.
 Inverted lists, one for each pivot and label, hold the vectors that have it,
 and two vectors are candidates when they share at least ``SHARED`` pivots.
 Such a pair also meets in the lists of the ``DEPTH - SHARED + 1`` rarest
@@ -38,6 +38,10 @@ COSINE = 0.98
 DEPTH = 12
 SHARED = 5
 MIN_PIVOTS, MAX_PIVOTS = 128, 4_096
+#: Pivots have a cosine below this to each other. Rounds in which they are looked for, and the range of the hash that orders them.
+SPACING = 0.9
+ROUNDS = 8
+RANGE = 1 << 40
 TILE = 1_024
 
 CODED = "vec_id bigint, label string, dim int, key binary, unit binary"
@@ -69,16 +73,46 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def choose_pivots(reps: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """The ``n`` distinct vectors of each length that come first in hash
-    order, as rows of a matrix, by vector length."""
-    from pyspark.sql.window import Window
-    first = Window.partitionBy("dim").orderBy(F.xxhash64("key"), "key", "label")
-    rows = (reps.withColumn("at", F.row_number().over(first)).where(F.col("at") <= n)
-            .select("dim", "at", "unit").collect())
-    out: dict[int, list] = {}
-    for r in sorted(rows, key=lambda r: (r["dim"], r["at"])):
-        out.setdefault(r["dim"], []).append(np.frombuffer(r["unit"]))
-    return {d: np.stack(v) for d, v in out.items()}
+    """Up to ``n`` vectors of each length, taken in hash order if their cosine
+    to all taken before is below ``SPACING``, as rows of a matrix, by vector
+    length. So a dense group, whatever its share, supplies a few pivots, and
+    the other pivots of its members' lists lie far from all of them alike.
+    About ``n`` vectors of a length are collected in a round."""
+    place = F.pmod(F.xxhash64("key"), F.lit(RANGE))
+    size = {r["dim"]: r["count"] for r in reps.groupBy("dim").count().collect()}
+    out = {d: np.empty((0, d)) for d in size}
+    at = dict.fromkeys(size, 0)
+    for _ in range(ROUNDS):
+        short = {d: (at[d], min(RANGE, at[d] + -(-RANGE * n // size[d]))) for d in size if len(out[d]) < n and at[d] < RANGE}
+        if not short:
+            break
+        mine = F.lit(False)
+        for d, (low, high) in short.items():
+            mine |= (F.col("dim") == d) & (place >= low) & (place < high)
+            at[d] = high
+        found: dict[int, list] = {}
+        for r in sorted(reps.where(mine).select("dim", "label", "key", "unit", place.alias("place")).collect(),
+                        key=lambda r: (r["place"], r["key"], r["label"])):
+            found.setdefault(r["dim"], []).append(np.frombuffer(r["unit"]))
+        for d, units in found.items():
+            out[d] = spaced(out[d], np.stack(units), n)
+    return out
+
+
+def spaced(taken: np.ndarray, units: np.ndarray, n: int) -> np.ndarray:
+    """``taken``, and of ``units`` in order those apart from all before, up to ``n`` in all."""
+    for a in range(0, len(units), 256):
+        part = units[a:a + 256]
+        if len(taken):
+            part = part[(part @ taken.T).max(1) < SPACING]
+        cosines, fresh = part @ part.T, []
+        for i in range(len(part)):
+            if not fresh or cosines[i, fresh].max() < SPACING:
+                fresh.append(i)
+        taken = np.concatenate([taken, part[fresh]])
+        if len(taken) >= n:
+            return taken[:n]
+    return taken
 
 
 def nearest(unit: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
