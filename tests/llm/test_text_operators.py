@@ -81,6 +81,23 @@ def test_main_text_keeps_the_article_only():
     assert html_text.main_text("plain words, no tags") == "plain words, no tags"
 
 
+def test_names_inside_an_article_drop_no_text():
+    body = "Running text of the section, long enough to count as content."
+    kept = ['<h2 id="discussion">', '<h2 id="related-work">', '<p id="notice-period">', '<section id="discussion">', '<section id="comments">',
+            '<div class="entry-header">', '<div class="section" id="related-work">', '<p class="ad-hoc">', '<div class="social-history">',
+            '<div class="section discussion">', '<span class="comment">']
+    gone = ['<div class="ad">', '<ul class="Comments big">', '<div id="comments">', '<section class="comment-list">', '<div class="shareButtons">',
+            '<div role="navigation">']
+    for tag in kept + gone:
+        name = tag[1:].split()[0]
+        for a, b in (("<article>", "</article>"), ("<main><div>", "</div></main>")):
+            got = html_text.main_text(f"<body>{a}<h1>Head</h1><p>{body}</p>{tag}What {body}</{name}><p>End. {body}</p>{b}</body>")
+            assert got == f"Head\n{body}\n" + f"What {body}\n" * (tag in kept) + f"End. {body}", tag
+    got = html_text.main_text('<body><article><div class="entry"><header><h1>Head</h1></header>' + f"<p>{body}</p></div></article></body>")
+    assert got == f"Head\n{body}"
+    assert html_text.main_text(f'<body><div><h2 id="related-work">Related work</h2><p>{body}</p></div></body>') == f"Related work\n{body}"
+
+
 def test_pages_with_nulls(spark):
     df = spark.createDataFrame([(1, None, None, 1), (1, None, None, 1), (None, "u", PAGE, 2)],
                                "page_id bigint, url string, html string, text int")

@@ -40,7 +40,16 @@ modal nav navbar navigation newsletter notice notices overlay pager pagination p
 related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe
 subscription toolbar widget contentinfo complementary""".split())
 MAIN = frozenset(("article", "main"))
-# Reader comments are often marked up as articles inside a list, so these words hold on any element.
+# Reader comments are often marked up as articles inside a list, so these words hold on containers inside an article too;
+# there only in class names (of them, ids of plain containers) that say nothing else, since ids of headings, paragraphs and
+# sections are made from their text, and headlines, notes and discussions are part of articles.
+HOLDERS = frozenset("div section ul ol dl table details figure".split())
+ID_HOLDERS = HOLDERS - {"section"}
+TITLED = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+INNER_WORDS = OUT_WORDS - frozenset("header footer discussion notice notices copyright cookie cookies menu login search related".split())
+INNER_IDS = frozenset("ad ads comments commentlist disqus respond".split())
+INNER_MORE = frozenset("list area box container wrapper wrap slot block buttons links bar section form unit".split())
+ROLES = frozenset("banner navigation search menu contentinfo complementary".split())
 WORDS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"},
@@ -49,6 +58,22 @@ CLOSES_P = BLOCK - {"br", "body", "html", "head", "title", "option"}
 SIGMA = 1.0
 
 
+def named_out(tag: str, key: str, value: str) -> bool:
+    """Whether a name inside an article, or an id of a heading or paragraph,
+    says that the element is not part of the text."""
+    for name in value.split():
+        words = WORDS.findall(CAMEL.sub(" ", name).lower())
+        if key == "role":
+            if name.lower() in ROLES:
+                return True
+        elif key == "id":
+            if tag in ID_HOLDERS and len(words) == 1 and words[0] in INNER_IDS:
+                return True
+        elif tag in HOLDERS and INNER_WORDS.intersection(words) and all(w in INNER_WORDS or w in INNER_MORE for w in words):
+            return True
+    return False
+
+
 class Lines(HTMLParser):
     """Parser events to lines ``[text parts, tags, region, excluded]``."""
 
@@ -60,14 +85,17 @@ class Lines(HTMLParser):
         self.cut = True
         self.tags = 0
 
-    def _outside(self, tag: str, attrs) -> bool:
+    def _outside(self, tag: str, attrs, inside_main: bool) -> bool:
         if tag in OUT:
             return True
         if tag in ("html", "body", "article", "main"):
             attrs = [a for a in attrs if a[0] == "role"]
         for k, v in attrs:
             if v and k in ("class", "id", "role"):
-                if OUT_WORDS.intersection(WORDS.findall(CAMEL.sub(" ", v).lower())):
+                if inside_main or (k == "id" and tag in TITLED):
+                    if named_out(tag, k, v):
+                        return True
+                elif OUT_WORDS.intersection(WORDS.findall(CAMEL.sub(" ", v).lower())):
                     return True
             elif k == "hidden" or (k == "aria-hidden" and v == "true"):
                 return True
@@ -88,9 +116,9 @@ class Lines(HTMLParser):
                 if t != "p":
                     self._close_in_block(t)
         out, region = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, 0)
-        inside_main = self.regions[region][0] in MAIN
+        inside_main = self._inside_main(region)
         if not out:
-            out = self._outside(tag, attrs)
+            out = self._outside(tag, attrs, inside_main)
             if out and tag == "header" and inside_main:
                 out = False                                # an article's own header holds its headline
         if tag in REGION and not out:
@@ -98,6 +126,11 @@ class Lines(HTMLParser):
             region = len(self.regions) - 1
         self.stack.append((tag, out, region))
 
+    def _inside_main(self, region: int) -> bool:
+        while region >= 0 and self.regions[region][0] not in MAIN:
+            region = self.regions[region][1]
+        return region >= 0
+
     def _close_in_block(self, tag: str) -> None:
         """Close an open ``tag`` unless another container lies between."""
         for i in range(len(self.stack) - 1, -1, -1):
