@@ -98,6 +98,16 @@ def test_names_inside_an_article_drop_no_text():
     assert html_text.main_text(f'<body><div><h2 id="related-work">Related work</h2><p>{body}</p></div></body>') == f"Related work\n{body}"
 
 
+def test_an_article_of_short_lines_is_not_lost_to_a_long_block():
+    verse = [f"a verse of thirty letters no {i:02}" for i in range(40)]
+    block = "<div>" + "long block " * 140 + "</div>"
+    for a, b in (("<article>", "</article>"), ("<main>", "</main>")):
+        assert html_text.main_text(f"<body>{a}{'<br>'.join(verse)}{b}{block}</body>") == "\n".join(verse)
+        assert html_text.main_text(f"<body>{block}{a}<ul><li>{'<li>'.join(verse)}</ul>{b}</body>") == "\n".join(verse)
+        got = html_text.main_text(f"<body>{a}{'<br>'.join(verse)}{b}<article><p>{'long teaser ' * 60}</p></article></body>")
+        assert got.startswith("\n".join(verse))
+
+
 def test_pages_with_nulls(spark):
     df = spark.createDataFrame([(1, None, None, 1), (1, None, None, 1), (None, "u", PAGE, 2)],
                                "page_id bigint, url string, html string, text int")

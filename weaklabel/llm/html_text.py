@@ -5,7 +5,9 @@ block-level element, with the number of text characters and of tags met in
 each. The text-to-tag ratio by line is smoothed with a Gaussian and split at a
 threshold into content and other lines. Lines lie in regions (the nearest
 sectioning container); the regions whose text is mostly content lines are the
-article, and all their lines are returned, short ones too. Lines inside
+article, and all their lines are returned, short ones too. On a page with
+article or main elements only these are chosen from, and the longest is always
+returned. Lines inside
 containers that never hold an article (menus, headers, footers, forms,
 adverts, notices, reader comments ...) have ratio zero and are never returned.
 
@@ -194,10 +196,10 @@ def main_text(html: str) -> str:
             t = text_in.setdefault(main[region], [0, 0])
             t[0] += len(text)
             t[1] += len(text) * bool(c)
-    chosen = {r for r, (n, c) in text_in.items() if 2 * c >= n}
-    articles = {r for r in chosen if p.regions[r][0] in MAIN}
-    if articles:
-        chosen = articles
+    articles = {r: t for r, t in text_in.items() if p.regions[r][0] in MAIN}
+    chosen = {r for r, (n, c) in (articles or text_in).items() if 2 * c >= n}
+    if articles:                                           # the longest is never lost to its short lines
+        chosen.add(max(articles, key=lambda r: articles[r][0]))
     elif not chosen:
         chosen = set(text_in)
     return "\n".join(text for text, _, region, out in rows if not out and main[region] in chosen)
