@@ -300,3 +300,16 @@ def test_plan_places_every_length():
     first = np.r_[True, seq[1:] != seq[:-1]]
     assert (off[first] == 0).all() and (off[1:][~first[1:]] == (off + length)[:-1][~first[1:]]).all()
     assert (off + length).max() <= 128 and plan.sequences <= 1.02 * max(length.sum() / 128, (length > 64).sum())
+
+
+def test_models_learn_from_every_document_and_any_place(spark, monkeypatch):
+    docs = spark.range(45_000).selectExpr("id as doc_id", "concat('password = Q', lpad(id, 15, 'x')) as text")
+    assert secret_scan.labelled_samples(docs).where("secret").count() == 45_000
+    seen = []
+    monkeypatch.setattr(pii, "train", seen.extend)
+    docs = spark.range(40).selectExpr("id as doc_id", "concat(id, repeat(' word', 30), ' a', id, '@b.example', repeat(' word', 20)) as text")
+    pii.fit(docs, chars=100)
+    assert all(len(t) == 100 for t in seen) and any("@b.example" in t for t in seen)
+    seen.clear()
+    pii.fit(docs, chars=1000)
+    assert len(seen) == 40 and all("@b.example" in t for t in seen)

@@ -299,9 +299,12 @@ def field_spans(texts: list[str], field: Field) -> list[list[tuple[int, int, int
 
 def fit(docs: DataFrame, rows: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> Field:
     """Fit on the distinct texts with a digit or at sign in a share of about
-    ``rows`` documents, ``chars`` characters of each; only these are collected."""
+    ``rows`` documents, ``chars`` characters of each from a place chosen by
+    hash; only these are collected."""
     share = hashed_share(docs.select("doc_id", "text"), rows, "doc_id", "text")
-    texts = (share.select(F.substring("text", 1, chars).alias("text")).where(F.col("text").rlike("[0-9@]"))
+    spare = F.greatest(F.length("text") - chars, F.lit(0))
+    start = F.pmod(F.xxhash64("text", F.lit("window")), spare + 1) + 1
+    texts = (share.select(F.col("text").substr(start.cast("int"), F.lit(chars)).alias("text")).where(F.col("text").rlike("[0-9@]"))
              .distinct().collect())
     return train(sorted(r["text"] for r in texts))
 

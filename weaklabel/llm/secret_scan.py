@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, hashed_share
+from .common import free_name
 
 # The base patterns, in the order in which equal starts are listed.
 ASSIGN = r"(?:(?i)password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -32,8 +32,6 @@ TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 EXTRA = "random"
 #: Mean log-likelihood ratio of a character pair from which a token is random.
 MARGIN = 0.7
-#: Documents whose tokens train the models, at most about.
-SAMPLE_DOCS = 40_000
 #: Smoothing: the weight of the second character's own frequency against the pair's counts.
 PRIOR = 4.0
 ALPHABET = 64
@@ -81,12 +79,10 @@ def with_base(docs: DataFrame, text: Column, prefix: str = "") -> DataFrame:
     return docs.select("*", *(spans[k].alias(f"{prefix}{k}") for k in KINDS), tokens.alias(f"{prefix}{EXTRA}"))
 
 
-def labelled_samples(docs: DataFrame, bound: int = SAMPLE_DOCS) -> DataFrame:
-    """``(value, secret)`` training strings from a bounded share of ``docs``,
-    chosen by hash: what base matches hold, and the words of six characters
-    and more outside them."""
-    picked = hashed_share(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), bound, "doc_id", "text")
-    cols = with_base(picked.select("text"), F.col("text"))
+def labelled_samples(docs: DataFrame) -> DataFrame:
+    """``(value, secret)`` training strings from all of ``docs``: what base
+    matches hold, and the words of six characters and more outside them."""
+    cols = with_base(docs.select(F.coalesce("text", F.lit("")).alias("text")), F.col("text"))
     value = F.regexp_extract("s.value", ASSIGN, 1)
     secret = (cols.select(F.explode(F.concat(*KINDS)).alias("s"))
               .select(F.when(F.col("s.kind") == "assign", value).otherwise(F.col("s.value")).alias("value"), F.lit(True).alias("secret")))
