@@ -51,3 +51,15 @@ def test_static_vectors_min_occurrence(spark):
                                 "doc_id bigint, pos int, term string, vector array<double>")
     st = {r.term: (r.vector, r.n_occ) for r in em.static_vectors(occ, 5).collect()}
     assert st == {"a": ([2.0, 1.0], 5)}
+
+
+def test_word2vec_takes_whole_documents(spark, monkeypatch):
+    from pyspark.ml.feature import Word2Vec
+
+    from weaklabel.operators import embeddings
+    seen, fit = [], Word2Vec.fit
+    monkeypatch.setattr(Word2Vec, "fit", lambda self, df: (seen.append(self.getMaxSentenceLength()), fit(self, df))[1])
+    docs = spark.createDataFrame([(["a", "b"] * 600,), (["a"],), (None,)], "tokens array<string>").where("tokens is not null")
+    assert embeddings.train_word_vectors(docs, vector_size=2, epochs=1, num_partitions=1).count() == 2
+    assert embeddings.train_word_vectors(docs, vector_size=2, epochs=1, num_partitions=1, max_sentence=50).count() == 2
+    assert seen == [1200, 50]
