@@ -227,6 +227,56 @@ def test_markov_models_find_random_strings_and_redact(spark):
     assert out.where("doc_id = 99").first().n_chars == 7
 
 
+def plain_spans(text, ratios):
+    """All spans of a text by ``re`` alone; ``ratios``: the models' mean ratio of a token."""
+    assign = re.compile(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+    base = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m.group(1)) >= 12]
+    base += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 18]
+    base += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if m.end() - m.start() >= 16]
+    more = [(m.start(), 3, m.end()) for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text) if ratios(m.group()) >= secret_scan.MARGIN
+            and not any(a < m.end() and m.start() < b for a, _, b in base)]
+    return sorted(base + more)
+
+
+def test_secret_spans_and_masks_of_random_texts(spark):
+    rng = random.Random(8)
+    bits = ["password=", "token: ", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeefcafe", "qzx9Kw7Pq2Zr8Yt5", "é中𝄞", " ", "\n", "=", ".",
+            "plain_words_here", "secret", "Xx9_"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 60))) for _ in range(300)] + ["é" * 1023 + "0" * 16 + "𝄞" * 3000 + "f" * 20]
+    table = [2.0 if chr(p // 128).isdigit() or chr(p % 128).isdigit() else 0.0 for p in range(16384)]
+
+    def ratios(v):
+        return sum(table[ord(a) * 128 + ord(b)] for a, b in zip(v, v[1:], strict=False)) / (len(v) - 1)
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], SCHEMA)
+    names = [*secret_scan.KINDS, secret_scan.EXTRA]
+    for r in secret_scan.scan(docs, table).collect():
+        assert r.spans == ",".join(f"{names[k]}:{a}:{b}" for a, k, b in plain_spans(texts[r.doc_id], ratios))
+    for r in secret_scan.redact(docs, table).collect():
+        t, want, at = texts[r.doc_id], [], -1
+        for a, _, b in plain_spans(t, ratios):
+            if a > at:
+                want.append(t[max(at, 0):a])
+            at = max(at, b)
+        assert r.text == secret_scan.MASK.join([*want, t[max(at, 0):]])
+
+
+def test_secrets_of_long_texts_take_linear_time(spark, awkward):
+    token = "aB3/" * 250_000
+    hexes = "\n".join(f"{i:016x}" for i in range(50_000))
+    docs = spark.createDataFrame([(1, token, "s"), (2, hexes, "s"), (3, "key_word " * 60_000, "s")], SCHEMA).repartition(3)
+    table = [1.0] * 16384
+    start = time.time()
+    got = {r.doc_id: r for r in secret_scan.scan(docs, table).collect()}
+    clean = {r.doc_id: r.text for r in secret_scan.redact(docs, table).collect()}
+    assert time.time() - start < 20
+    assert got[1].spans == "random:0:1000000" and got[2].n_hex == 50_000 and got[3].spans == ""
+    assert clean == {1: "[SECRET]", 2: "\n".join(["[SECRET]"] * 50_000), 3: "key_word " * 60_000}
+    start = time.time()
+    assert len(secret_scan.train(secret_scan.labelled_samples(docs))) == 16384 and time.time() - start < 10
+    assert secret_scan.scan(awkward, table).count() == len(AWKWARD)
+    assert [r.text for r in secret_scan.redact(awkward.orderBy("doc_id"), table).collect()][1] is None
+
+
 def test_decontamination_against_brute_force(spark, awkward, none):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(2000)]

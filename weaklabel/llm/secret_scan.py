@@ -6,6 +6,10 @@ on ordinary identifiers and words. A long token whose log-likelihood ratio per
 character favours the random model is a secret too, unless a base match
 already covers it. Each model is a table of 128 x 128 numbers.
 
+All work on a text is linear in its length, and k log k in its matches: running
+sums and maxima of arrays are made by doubling steps (``scan_array``), overlaps
+are read off one sorted sweep, and texts are masked piece by piece.
+
 Defined cases: a null text counts as empty; characters outside ASCII are in no
 token; repeated rows get a row each; an empty table gives no rows; extra
 columns are not read, and ``redact`` returns them as they are. Without samples
@@ -15,6 +19,7 @@ of both kinds the models are uniform and add nothing.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,25 +40,43 @@ MARGIN = 0.7
 #: Smoothing: the weight of the second character's own frequency against the pair's counts.
 PRIOR = 4.0
 ALPHABET = 64
+#: Past the end of any text.
+BEYOND = 2**31 - 1
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def scan_array(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """The running results of an associative ``op`` over an
+    array of numbers, the first value itself first. Step b joins each place
+    with the one 2 ** b before it, so n values take log2(n) steps."""
+    def step(acc: Column, b: Column) -> Column:
+        back = F.call_function("shiftleft", F.lit(1), b)
+        return F.transform(acc, lambda x, i: F.when(i >= back, op(x, F.get(acc, i - back))).otherwise(x))
+    steps = F.sequence(F.lit(0), F.length(F.bin(F.size(values).cast("bigint"))))
+    return F.aggregate(steps, values, step)
 
 
 def spans_of(text: Column, pattern: str, kind: str) -> Column:
     """array<struct<start, rank, kind, end, value>> of the leftmost
     non-overlapping matches, in characters. The text is cut at the matches:
-    a match starts where the pieces and matches before it end."""
+    a match ends where the pieces and matches up to it end."""
     rank = [*KINDS, EXTRA].index(kind)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    cut = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"),
+                   F.transform(F.split(text, pattern, -1), F.length).alias("gaps"))
+
+    def place(c: Column) -> Column:
+        steps = F.transform(c["found"], lambda v, i: F.get(c["gaps"], i) + F.length(v))
+        ends = scan_array(steps, lambda a, b: a + b)
 
-    def add(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + pair["gap"]
-        end = start + F.length(pair["value"])
-        one = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"),
-                       end.alias("end"), pair["value"].alias("value"))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], one).alias("out"))
-    pairs = F.transform(found, lambda v, i: F.struct(F.element_at(gaps, i + 1).alias("gap"), v.alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPANS})").alias("out"))
-    return F.aggregate(pairs, start, add, lambda acc: acc["out"])
+        def one(e: Column, v: Column) -> Column:
+            return F.struct((e - F.length(v)).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"),
+                            e.alias("end"), v.alias("value"))
+        return F.zip_with(ends, c["found"], one)
+    return let(cut, place)
 
 
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
@@ -93,19 +116,24 @@ def labelled_samples(docs: DataFrame) -> DataFrame:
     return secret.union(words.select("value", F.lit(False)))
 
 
-def pair_index(value: Column, i: Column) -> Column:
-    """Number of the character pair that starts at ``i`` (from 1)."""
-    return F.ascii(F.substring(value, i, F.lit(1))) * 128 + F.ascii(F.substring(value, i + 1, F.lit(1)))
+def pairs_of(value: Column) -> Column:
+    """The value's character pairs, each starting one character later."""
+    return F.regexp_extract_all(value, F.lit(r"(?s)(?=(..))"), F.lit(1))
+
+
+def pair_index(pair: Column) -> Column:
+    """Number of an ASCII character pair."""
+    return F.ascii(pair) * 128 + F.ascii(F.substring(pair, 2, 1))
 
 
 def train(samples: DataFrame) -> list[float]:
     """Log-likelihood ratio, random over ordinary, of each character pair
     given its first character, as 128 x 128 numbers. The counts are summed on
     Spark; at most 2 x 16,384 of them are collected."""
-    pairs = (samples.where(F.length("value") > 1)
-             .select("secret", F.explode(F.transform(F.sequence(F.lit(1), F.length("value") - 1),
-                                                     lambda i: pair_index(F.col("value"), i))).alias("pair"))
-             .where("pair >= 0 and pair < 16384").groupBy("secret", "pair").agg(F.count(F.lit(1)).alias("n")).collect())
+    pairs = (samples.select("secret", F.explode(pairs_of(F.col("value"))).alias("pair"))
+             .groupBy("secret", "pair").agg(F.count(F.lit(1)).alias("n"))
+             .select("secret", "n", pair_index(F.col("pair")).alias("pair"))
+             .where("pair >= 0 and pair < 16384").collect())
     counts: dict[bool, dict[int, int]] = {True: {}, False: {}}
     for r in pairs:
         counts[r["secret"]][r["pair"]] = r["n"]
@@ -129,10 +157,30 @@ def ratio(value: Column, table: list[float]) -> Column:
     """Mean log-likelihood ratio of the value's character pairs."""
     numbers = F.array(*(F.lit(x) for x in table)) if len(table) < 64 else F.from_json(
         F.lit("[" + ",".join(f"{x:.6f}" for x in table) + "]"), "array<double>")
-    n = F.length(value) - 1
-    total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0),
-                        lambda acc, i: acc + F.element_at(numbers, pair_index(value, i) + 1))
-    return total / n
+    total = F.aggregate(pairs_of(value), F.lit(0.0), lambda acc, p: acc + F.element_at(numbers, pair_index(p) + 1))
+    return total / (F.length(value) - 1)
+
+
+def apart(tokens: Column, base: Column) -> Column:
+    """The tokens that no base span overlaps. Both lie in one sorted list: a
+    token is free if all base spans before it end by its start and the next
+    one starts at its end or later."""
+    def events(spans: Column, token: int) -> Column:
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(token).alias("token"),
+                                                     s["end"].alias("end"), s.alias("span")))
+
+    def sweep(e: Column) -> Column:
+        ends = F.transform(e, lambda x: F.when(x["token"] == 0, x["end"]).otherwise(-1))
+        starts = F.transform(F.reverse(e), lambda x: F.when(x["token"] == 0, x["start"]).otherwise(BEYOND))
+        around = F.struct(e.alias("events"), scan_array(ends, F.greatest).alias("before"), scan_array(starts, F.least).alias("after"))
+        return let(around, free)
+
+    def free(a: Column) -> Column:
+        e, last = a["events"], F.size(a["events"]) - 1
+        kept = F.filter(e, lambda x, i: (x["token"] == 1) & (F.get(a["before"], i) <= x["start"])
+                        & (F.get(a["after"], last - i) >= x["end"]))
+        return F.transform(kept, lambda x: x["span"])
+    return let(F.array_sort(F.concat(events(base, 0), events(tokens, 1))), sweep)
 
 
 def with_spans(docs: DataFrame, table: list[float]) -> tuple[DataFrame, dict[str, str]]:
@@ -145,8 +193,8 @@ def with_spans(docs: DataFrame, table: list[float]) -> tuple[DataFrame, dict[str
     df = with_base(docs, text, prefix)
     base, found, every = f"{prefix}base", f"{prefix}{EXTRA}", f"{prefix}all"
     df = df.withColumn(base, F.array_sort(F.concat(*(F.col(f"{prefix}{k}") for k in KINDS))))
-    fresh = F.filter(found, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    df = df.withColumn(found, fresh)
+    free = F.when(F.size(base) > 0, apart(F.col(found), F.col(base))).otherwise(F.col(found))
+    df = df.withColumn(found, F.when(F.size(found) > 0, free).otherwise(F.expr(NONE)))
     df = df.withColumn(found, F.when(F.size(found) > 0, F.filter(found, lambda t: ratio(t["value"], table) >= MARGIN))
                        .otherwise(F.expr(NONE)))
     df = df.withColumn(every, F.array_sort(F.concat(base, found)))
@@ -167,6 +215,40 @@ def scan(docs: DataFrame, table: list[float]) -> DataFrame:
 
 
 MASK = "[SECRET]"
+#: Characters of the blocks in which a text is cut for masking.
+CHUNK = 1_024
+
+
+def gaps_of(spans: Column, length: Column) -> Column:
+    """array<struct<a, b>>: what lies before, between and after the sorted
+    spans, touching and overlapping ones taken as one."""
+    def cut(s: Column) -> Column:
+        reach = scan_array(F.transform(s, lambda x: x["end"]), F.greatest)
+        return let(F.struct(s.alias("spans"), reach.alias("reach")), between)
+
+    def between(z: Column) -> Column:
+        before = F.transform(z["spans"], lambda s, i: F.struct(
+            F.when(i > 0, F.get(z["reach"], i - 1)).otherwise(-1).alias("a"), s["start"].alias("b")))
+        last = F.struct(F.element_at(z["reach"], -1).alias("a"), length.alias("b"))
+        return F.concat(F.filter(before, lambda g: g["b"] > g["a"]), F.array(last))
+    gaps = let(spans, cut)
+    return F.transform(gaps, lambda g: F.struct(F.greatest(g["a"], F.lit(0)).alias("a"), g["b"].alias("b")))
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """``text`` with its spans replaced. A gap is put together from the blocks
+    it lies in, so no place is searched from the start of the text."""
+    def join(z: Column) -> Column:
+        def piece(g: Column, k: Column) -> Column:
+            start = F.greatest(g["a"] - k * CHUNK, F.lit(0))
+            return F.substring(F.get(z["blocks"], k), start + 1, F.least(g["b"] - k * CHUNK, F.lit(CHUNK)) - start)
+
+        def gap(g: Column) -> Column:
+            blocks = F.sequence((g["a"] / CHUNK).cast("int"), ((g["b"] - 1) / CHUNK).cast("int"))
+            return F.when(g["b"] > g["a"], F.array_join(F.transform(blocks, lambda k: piece(g, k)), "")).otherwise(F.lit(""))
+        return F.array_join(F.transform(z["gaps"], gap), MASK)
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    return let(F.struct(blocks.alias("blocks"), gaps_of(spans, F.length(text)).alias("gaps")), join)
 
 
 def redact(docs: DataFrame, table: list[float]) -> DataFrame:
@@ -174,13 +256,7 @@ def redact(docs: DataFrame, table: list[float]) -> DataFrame:
     overlapping spans by one), and n_chars, if there, made to fit."""
     df, name = with_spans(docs, table)
     t = F.col("text")
-
-    def add(acc: Column, s: Column) -> Column:
-        gap = F.when(s["start"] > acc["at"], F.concat(t.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(MASK)))
-        gap = gap.when((acc["at"] == 0) & (s["start"] == 0) & (F.length(acc["out"]) == 0), F.lit(MASK)).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(name["all"], start, add, lambda acc: F.concat(acc["out"], t.substr(acc["at"] + 1, F.length(t))))
+    clean = masked(t, F.col(name["all"]))
     text = F.when(F.size(name["all"]) > 0, clean).otherwise(t)
     out = df.withColumn("text", text).select(*docs.columns)
     if "n_chars" in docs.columns:
