@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from . import (anchors, codebooks, decontaminate, html_text, licenses, merkle, packing, pii, pivots, quality, secret_scan,
-               simhash)
+               simhash, toxicity)
 from .common import table
 
 #: Vocabulary of the packing query.
@@ -67,6 +67,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.learnable(table(spark, sf_dir, "labels")), docs)
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -190,6 +197,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_decontaminate": op9_decontaminate,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_toxicity": op11_toxicity,
     "op12_merkle": op12_merkle,
     "op13_vector_codes": op13_vector_codes,
 }
