@@ -50,6 +50,23 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * n[b] > len(grams))
 
 
+def test_keep_first_loses_no_text_of_shared_or_missing_ids(spark):
+    a, b = "copied words of a text that many rows hold", "quite another text that stands alone here"
+    schema = "doc_id bigint, text string, fp int, ROOT string, gone_id int"
+
+    def kept(rows):
+        df = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], schema)
+        out = simhash.keep_first(df)
+        assert out.columns == df.columns
+        return sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    assert kept([(1, a), (2, a), (2, b), (None, a)]) == [(1, a), (2, b)]
+    assert kept([(3, a), (3, a), (4, b), (4, b), (5, b)]) == [(3, a), (4, b)]
+    assert kept([(None, a), (None, a), (None, b), (7, b), (None, None), (None, "")]) == sorted([(7, b), (None, a), (None, None)], key=repr) \
+        or kept([(None, a), (None, a), (None, b), (7, b), (None, None), (None, "")]) == sorted([(7, b), (None, a), (None, "")], key=repr)
+    assert kept([(1, a), (2, b)]) == [(1, a), (2, b)]
+    assert kept([]) == []
+
+
 def test_simhash_against_brute_force(spark, monkeypatch):
     rng = random.Random(2)
     words = [f"v{i}é" for i in range(500)]

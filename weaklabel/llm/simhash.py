@@ -26,9 +26,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import cut_lineage
-from .common import components, hashed_share, map_batches, texts_of
+from .common import components, free_name, hashed_share, map_batches, texts_of
 
 #: Shingle words, seed and link radius of the contract.
 SHINGLE = 3
@@ -204,26 +205,48 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             .groupBy("shard").applyInArrow(compare, "u bigint, v bigint"))
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``(doc_id, fingerprint, component_id)`` of every row."""
+def members(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """``(doc_id, fp, root, component_id)`` of every row; root is a fingerprint
+    that names the component, also one without any id."""
     fp = cut_lineage(fingerprints(docs, size), "fingerprints")
     first = cut_lineage(fp.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     roots = components(links(first.select("fp"), radius), "fingerprint-links")
     grouped = first.join(roots, first["fp"] == roots["id"], "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = grouped.join(least, "root").select("fp", "component_id")
-    return fp.join(named, "fp").select(
+    named = grouped.join(least, "root").select("fp", "root", "component_id")
+    return fp.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """``(doc_id, fingerprint, component_id)`` of every row."""
+    return members(docs, size, radius).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` (all columns) that are the first of their group;
-    of rows with the same id one stays. Rows without an id stay."""
-    groups = cut_lineage(near_duplicates(docs, size, radius), "near-duplicates")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if twice.limit(1).count():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
-    return kept
+    """One row (all columns) of each component: that with the smallest id, a
+    row without an id only where no other is; of equal ids the one with the
+    smallest fingerprint, of equal fingerprints any one. An id that several
+    rows share, or none, says nothing about a row's text, so such rows are
+    decided by id and fingerprint; normally there are none."""
+    groups = cut_lineage(members(docs, size, radius), "near-duplicates")
+    key = F.col("doc_id").cast("bigint")
+    name, root, first, other = (free_name(docs, c) for c in ("fp", "root", "first", "other_id"))
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(other)).distinct()
+    twice = cut_lineage(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+                        .select(F.col("doc_id").alias(other)), "repeated-ids")
+    kept = docs.where(key.isNotNull()).join(gone, key == F.col(other), "left_anti")
+    if not twice.limit(1).count() and not groups.where("doc_id is null").limit(1).count():
+        return kept
+    kept = kept.join(twice, key == F.col(other), "left_anti")
+    odd = docs.where(key.isNull()).union(docs.join(twice, key == F.col(other), "left_semi"))
+
+    def add(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fp = np.array([fingerprint(t, size) for t in texts_of(batch)], np.uint64).view(np.int64)
+        return batch.append_column(name, pa.array(fp))
+    odd = map_batches(odd, add, StructType([*docs.schema.fields, StructField(name, LongType())]))
+    firsts = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias(first))
+    firsts = firsts.select(F.col("root").alias(root), F.col(first))
+    chosen = odd.join(firsts, key.eqNullSafe(F.col(f"{first}.doc_id")) & (F.col(name) == F.col(f"{first}.fp")))
+    return kept.union(chosen.dropDuplicates([root]).select(*docs.columns))
