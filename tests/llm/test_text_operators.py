@@ -280,7 +280,7 @@ def test_secrets_of_long_texts_take_linear_time(spark, awkward):
 def test_decontamination_against_brute_force(spark, awkward, none):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(2000)]
-    items = [" ".join(rng.choice(words) for _ in range(n)) for n in (3, 6, 9, 14, 20, 33, 70, 130)] + ["", None]
+    items = [" ".join(rng.choice(words) for _ in range(n)) for n in (3, 6, 9, 14, 20, 33, 70, 130)] + ["", None, "w7", "W8\tw9", "w1 w2 w3 w4"]
     docs = []
     for i in range(80):
         d = [rng.choice(words) for _ in range(rng.randint(0, 900))]
@@ -290,11 +290,18 @@ def test_decontamination_against_brute_force(spark, awkward, none):
             cut = item[:] if i % 4 == 1 else item[:max(1, int(len(item) * rng.uniform(0.5, 1)))]
             d[at:at] = [w.upper() for w in cut]
         docs.append(" ".join(d))
+    docs[2] += " w1 W2 w3\nw4 end"
     df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(docs)], SCHEMA)
     bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
     sets = {i: set(decontaminate.shingles_of(decontaminate.words_of(t))) for i, t in enumerate(items)}
     own = {i: set(decontaminate.shingles_of(decontaminate.words_of(t))) for i, t in enumerate(docs)}
     want = {(d, i, len(sets[i] & own[d])) for d in own for i in sets if sets[i] and len(sets[i] & own[d]) >= 0.8 * len(sets[i])}
+    for i, t in enumerate(items):                    # shorter than a shingle: a run of its own length
+        w = decontaminate.words_of(t)
+        if 0 < len(w) < 5:
+            own_w = {d: decontaminate.words_of(x) for d, x in enumerate(docs)}
+            want = {x for x in want if x[1] != i} | {(d, i, 1) for d, x in own_w.items() if any(x[k:k + len(w)] == w for k in range(len(x)))}
+    assert {i for _, i, _ in want} >= {10, 12}
     for block in (20_000, 3):
         got = {(r.doc_id, r.item_id, r.n_shared) for r in decontaminate.contaminated(df, bench, block_items=block).collect()}
         assert got == want and len(want) > 20

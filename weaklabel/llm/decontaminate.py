@@ -14,8 +14,11 @@ The benchmark is a stated set: it is read in blocks of ``BLOCK_ITEMS`` items,
 each block is an index of bounded size that goes to every task, and documents
 are scanned where they lie, without a shuffle.
 
-Defined cases: null texts count as empty; items with fewer words than a
-shingle are one shingle of all their words, items without words match nothing;
+An item with fewer words than a shingle is one shingle of all its words. Such
+items are sought as runs of their own length, by the hash of every run of
+that length, and verified word by word.
+
+Defined cases: null texts count as empty; items without words match nothing;
 repeated rows are matched a row each; empty tables give no rows; extra columns
 are not read.
 """
@@ -75,12 +78,13 @@ def factors(n: int) -> np.ndarray:
 @dataclass
 class Index:
     """One block of the benchmark: by size partition the sorted min-hash keys
-    and their items, and each item's shingles."""
+    and their items, each item's shingles, and the items shorter than one."""
     sizes: list[int]
     keys: list[np.ndarray]
     items: list[np.ndarray]
     ids: list
     sets: list[frozenset]
+    short: dict[int, dict[int, list[int]]]                   # words -> hash of the run -> items
 
 
 def minhash_keys(low: np.ndarray) -> np.ndarray:
@@ -91,6 +95,7 @@ def minhash_keys(low: np.ndarray) -> np.ndarray:
 def build(rows: list[tuple[int, str | None]], size: int = SHINGLE) -> Index:
     by: dict[int, list[tuple[np.ndarray, int]]] = {}
     ids, sets = [], []
+    short: dict[int, dict[int, list[int]]] = {}
     mul = factors(HASHES)
     for item, text in rows:
         words = words_of(text)
@@ -99,6 +104,9 @@ def build(rows: list[tuple[int, str | None]], size: int = SHINGLE) -> Index:
         sets.append(frozenset(shingles_of(words, size)))
         ids.append(item)
         h = shingle_hashes(words, size)
+        if len(words) < size:
+            short.setdefault(len(words), {}).setdefault(int(h[0]), []).append(len(ids) - 1)
+            continue
         low = (h[None, :] * mul[:, None]).min(1)
         u = 4
         while u < len(h):
@@ -112,7 +120,7 @@ def build(rows: list[tuple[int, str | None]], size: int = SHINGLE) -> Index:
         order = np.argsort(k, kind="stable")
         keys.append(k[order])
         items.append(i[order])
-    return Index(sizes, keys, items, ids, sets)
+    return Index(sizes, keys, items, ids, sets, short)
 
 
 class Matcher:
@@ -121,6 +129,8 @@ class Matcher:
     def __init__(self, index: Index, size: int, threshold: float):
         self.index, self.size, self.threshold = index, size, threshold
         self.mul = factors(HASHES)
+        # Words of each item's shingles.
+        self.words = [min(size, min(x.count(b" ") + 1 for x in s)) for s in index.sets]
         self.seen = []                                       # by partition: bitmap over the keys' low bits
         for keys in index.keys:
             bits = np.zeros(1 << max(12, len(keys).bit_length() + 5), bool)
@@ -169,15 +179,31 @@ class Matcher:
                     for i in items[x:y].tolist():
                         yield w * width, (w + 2) * width, i
 
+    def runs(self, words: list[list[bytes]]) -> set[tuple[int, int]]:
+        """(document, item) pairs of the items shorter than a shingle whose
+        hash is that of a run of the document's words."""
+        found: set[tuple[int, int]] = set()
+        for n, items in self.index.short.items():
+            keys = np.sort(np.array(list(items), np.uint64))
+            for d, w in enumerate(words):
+                if len(w) < n:
+                    continue
+                h = np.unique(shingle_hashes(w, n))
+                hit = h[keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h]
+                found.update((d, i) for k in hit.tolist() for i in items[k])
+        return found
+
     def __call__(self, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
         """For each text its ``(item_id, shared, shingles)``, by item."""
         words = [words_of(t) for t in texts]
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        own: dict[int, set] = {}
-        for d, i in sorted(self.candidates([shingle_hashes(w, self.size) for w in words])):
-            if d not in own:
-                own = {d: set(shingles_of(words[d], self.size))}
-            shared = len(self.index.sets[i] & own[d])
+        own: dict[tuple[int, int], set] = {}
+        pairs = self.candidates([shingle_hashes(w, self.size) if len(w) >= self.size else np.empty(0, np.uint64) for w in words])
+        for d, i in sorted(pairs | self.runs(words)):
+            n = self.words[i]
+            if (d, n) not in own:
+                own = {k: v for k, v in own.items() if k[0] == d} | {(d, n): set(shingles_of(words[d], n))}
+            shared = len(self.index.sets[i] & own[d, n])
             if shared >= self.threshold * len(self.index.sets[i]):
                 out[d].append((self.index.ids[i], shared, len(self.index.sets[i])))
         return out
@@ -195,6 +221,17 @@ class Matcher:
         yield from self(run)
 
 
+def matcher_of(index, size: int, threshold: float):
+    """A function that gives the matcher of a broadcast index, made once a task."""
+    made: list[Matcher] = []
+
+    def get() -> Matcher:
+        if not made:
+            made.append(Matcher(index.value, size, threshold))
+        return made[0]
+    return get
+
+
 def blocks(benchmark: DataFrame, block_items: int = BLOCK_ITEMS):
     """The benchmark's items in blocks of bounded size."""
     rows = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string"))
@@ -217,9 +254,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, thr
     out = None
     for rows in blocks(benchmark, block_items):
         index = docs.sparkSession.sparkContext.broadcast(build(rows, size))
+        matcher = matcher_of(index, size, threshold)
 
-        def run(batch: pa.RecordBatch, index=index) -> pa.RecordBatch:
-            matches = Matcher(index.value, size, threshold).batches(texts_of(batch))
+        def run(batch: pa.RecordBatch, matcher=matcher) -> pa.RecordBatch:
+            matches = matcher().batches(texts_of(batch))
             got = [(d, *m) for d, found in zip(batch.column("doc_id").to_pylist(), matches, strict=True) for m in found]
             cols = list(zip(*got, strict=True)) or [(), (), (), ()]
             share = pa.array([s / n for s, n in zip(cols[2], cols[3], strict=True)], pa.float64())
@@ -235,9 +273,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE
     """The rows of ``docs`` (all columns) that hold no item; map-only."""
     for rows in blocks(benchmark, block_items):
         index = docs.sparkSession.sparkContext.broadcast(build(rows, size))
+        matcher = matcher_of(index, size, threshold)
 
-        def run(batch: pa.RecordBatch, index=index) -> pa.RecordBatch:
-            matches = Matcher(index.value, size, threshold).batches(texts_of(batch))
+        def run(batch: pa.RecordBatch, matcher=matcher) -> pa.RecordBatch:
+            matches = matcher().batches(texts_of(batch))
             return batch.filter(pa.array([not found for found in matches], pa.bool_()))
         docs = map_batches(docs, run, docs.schema)
     return docs

@@ -90,13 +90,18 @@ with d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text
              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
            from benchmark),
      ds as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s
-            from d, unnest(range(1, greatest(len(w) - 3, 2))) as t(i) where len(w) > 0),
+            from d, unnest(range(1, len(w) - 3)) as t(i) where len(w) > 4),
      bs as (select distinct item_id, array_to_string(w[i:i + 4], ' ') as s
-            from b, unnest(range(1, greatest(len(w) - 3, 2))) as t(i) where len(w) > 0),
+            from b, unnest(range(1, len(w) - 3)) as t(i) where len(w) > 4),
      n as (select item_id, count(*) as n_shingles from bs group by item_id),
-     m as (select doc_id, item_id, count(*) as n_shared from ds join bs using (s) group by doc_id, item_id)
+     m as (select doc_id, item_id, count(*) as n_shared from ds join bs using (s) group by doc_id, item_id),
+     short as (select item_id, len(w) as k, array_to_string(w, ' ') as s from b where len(w) between 1 and 4),
+     runs as (select distinct doc_id, k, array_to_string(w[i:i + k - 1], ' ') as s
+              from d, (select distinct k from short) as l, unnest(range(1, len(w) - k + 2)) as t(i))
 select doc_id, item_id, n_shared, n_shingles, n_shared / n_shingles as containment
 from m join n using (item_id) where n_shared >= 0.8 * n_shingles
+union all
+select doc_id, item_id, 1, 1, 1.0 from runs join short using (k, s)
 """
 
 OP10_SQL = r"""
