@@ -1,13 +1,14 @@
-"""Clustering and dimension reduction (U1-U6) on MLlib, plus the choice of
-the most representative documents per cluster.
+"""Clustering and dimension reduction (U1-U6), plus the choice of the most
+representative documents per cluster.
 
 Fits read a lineage-cut copy of their input (written to the shared
-checkpoint folder), since each restart makes many passes over it."""
+checkpoint folder), since they make many passes over it."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import hash32
 from ..session import cut_lineage
+from . import mixture as mx
 
 
 def _features(df: DataFrame, vec: str) -> DataFrame:
@@ -22,47 +24,47 @@ def _features(df: DataFrame, vec: str) -> DataFrame:
 
 
 def kmeans(df: DataFrame, k: int, restarts: int = 10, seed: int = 0, vec: str = "vector",
-           max_iter: int = 300, tol: float = 1e-4) -> DataFrame:
-    """K-means with ``restarts`` seeds, keeping the least cost. Adds
-    ``cluster`` and a one-hot ``prob`` (Q7: k-means has no soft
-    assignment). Rows with a NULL vector get NULL (Q3)."""
-    data = cut_lineage(_features(df, vec))
-    best, best_cost = None, None
-    for r in range(restarts):
-        m = KMeans(k=k, seed=seed + r, maxIter=max_iter, tol=tol, featuresCol="_features",
-                   predictionCol="cluster").fit(data)
-        cost = m.summary.trainingCost
-        if best_cost is None or cost < best_cost:
-            best, best_cost = m, cost
-    out = best.transform(data).withColumn(
+           max_iter: int = 300, tol: float = 1e-4, starts: np.ndarray | None = None) -> DataFrame:
+    """K-means with ``restarts`` seeded ++ starts (or the given ``starts``,
+    (restarts, k, dimensions)), all updated from one scan a round, keeping the
+    least cost. Adds ``cluster`` and a one-hot ``prob`` (Q7: k-means has no
+    soft assignment). Rows with a NULL vector get NULL (Q3)."""
+    rows = mx.numbered(df, vec)
+    if rows.isEmpty():
+        return _attach(df, df.where(F.lit(False)).drop(vec).select(
+            "*", F.lit(0).alias("cluster"), F.array(F.lit(1.0)).alias("prob")), vec)
+    if starts is None:
+        starts = mx.spread_starts(rows, k, restarts, seed)
+    centres, cost = mx.lloyd(rows, starts, max_iter, tol)
+    best = df.sparkSession.sparkContext.broadcast(centres[int(cost.argmin())])
+
+    @F.pandas_udf("int")
+    def nearest(v: pd.Series) -> pd.Series:
+        x = np.stack(v.to_numpy()).astype(float) if len(v) else np.zeros((0, best.value.shape[1]))
+        return pd.Series(mx.squared_distances(x, best.value).argmin(1).astype("int32"))
+    data = df.where(F.col(vec).isNotNull())
+    out = data.withColumn("cluster", nearest(F.col(vec).cast("array<double>"))).withColumn(
         "prob", F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
                             lambda i: F.when(i == F.col("cluster"), 1.0).otherwise(0.0)))
     return _attach(df, out.select(*[c for c in df.columns if c != vec], "cluster", "prob"), vec)
 
 
 def gmm(df: DataFrame, k: int, restarts: int = 10, seed: int = 0, vec: str = "vector",
-        max_iter: int = 100, tol: float = 1e-3) -> DataFrame:
-    """Gaussian mixture, ``restarts`` seeds, keeping the greatest
-    log-likelihood. Adds ``cluster`` and ``prob`` (membership
-    probabilities). ``k = 1`` is answered directly: cluster 0, prob [1.0]."""
-    feats = _features(df, vec)
+        max_iter: int = 100, tol: float = 1e-3, floor: float = 1e-6) -> DataFrame:
+    """Gaussian mixture with full covariances, ``restarts`` k-means
+    starts, keeping the greatest log-likelihood. Adds ``cluster`` and ``prob``
+    (membership probabilities). ``k = 1`` is answered directly: cluster 0,
+    prob [1.0]."""
     keep = [c for c in df.columns if c != vec]
-    if k == 1:
-        out = feats.select(*keep, F.lit(0).alias("cluster"), F.array(F.lit(1.0)).alias("prob"))
+    rows = None if k == 1 else mx.numbered(df, vec)
+    if k == 1 or rows.isEmpty():                        # Q16: no rows, no fit
+        out = df.where(F.col(vec).isNotNull()).select(*keep, F.lit(0).alias("cluster"), F.array(F.lit(1.0)).alias("prob"))
         return _attach(df, out, vec)
-    data = cut_lineage(feats)
-    if data.isEmpty():                                  # Q16: no rows, no fit
-        out = data.select(*keep, F.lit(0).alias("cluster"), F.array(F.lit(1.0)).alias("prob"))
-        return _attach(df, out, vec)
-    best, best_ll = None, None
-    for r in range(restarts):
-        m = GaussianMixture(k=k, seed=seed + r, maxIter=max_iter, tol=tol, featuresCol="_features",
-                            predictionCol="cluster", probabilityCol="_p").fit(data)
-        ll = m.summary.logLikelihood
-        if best_ll is None or ll > best_ll:
-            best, best_ll = m, ll
-    out = best.transform(data).select(*keep, "cluster", vector_to_array("_p").alias("prob"))
-    return _attach(df, out, vec)
+    shift = mx.mean_vector(rows)
+    centres, _ = mx.lloyd(rows, mx.spread_starts(rows, k, restarts, seed))
+    starts = mx.hard_start(rows, centres, shift, floor)
+    mixtures, value = mx.fit_mixtures(rows, starts, shift, max_iter, tol, floor)
+    return mx.with_memberships(df, mixtures[int(value.argmax())], shift, vec)
 
 
 def _attach(df: DataFrame, out: DataFrame, vec: str) -> DataFrame:

@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
-from ..session import keep
+from ..session import cut_lineage, keep
 
 MAX_BROADCAST_BYTES = 256 << 20
 #: Bytes of all blocks together; a larger table is no table of classes.
@@ -144,6 +145,58 @@ def cosine_topk(docs: DataFrame, classes: DataFrame, k: int = 8, vec: str = "vec
                     (-F.col("_t.neg_sim")).alias("sim")))
 
 
+#: Bytes of one block of vectors; a task of ``self_topk`` holds two.
+BLOCK_BYTES = 64 << 20
+
+
+def self_topk(df: DataFrame, k: int = 8, vec: str = "vector", id_col: str = "vec_id",
+              block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """V3 with ``self_sim``: for each row the ``k`` most similar rows of the
+    same table, itself included, as ``(id, rank, neighbour, sim)``; ties go to
+    the smaller id. Rows without a vector are left out, a zero vector is
+    similar to nothing (0).
+
+    Rows are dealt to blocks of bounded size, and each pair of blocks is
+    multiplied once, tile by tile, for the rows of both. A pair of blocks
+    hands on ``k`` neighbours a row and no pairs; the best ``k`` of all blocks
+    are found by a ranking that Spark limits per task before the shuffle.
+    Nothing is collected but a count and the dimension, so the table may be of
+    any size (the products still grow with its square)."""
+    rows = cut_lineage(df.where(F.col(vec).isNotNull()).select(
+        F.monotonically_increasing_id().alias("nr"), F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("x")), "self-rows")
+    n, dim = rows.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+    parts = max(1, -(-n * 8 * max(dim or 1, 1) // block_bytes))
+    block = F.pmod(F.xxhash64("nr"), F.lit(parts)).cast("int")
+    dealt = (rows.select(block.alias("b"), "id", "x", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("o"))
+             .select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "id", "x"))
+    id_type = rows.schema["id"].dataType.simpleString()
+
+    def tops(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
+        x = group.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(group.num_rows, -1)
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), vx.EPS)
+        mine = group.column("b").to_numpy() == key[0].as_py()
+        sides = [(mine, mine)] if key[0] == key[1] else [(mine, ~mine), (~mine, mine)]
+        ids, others, sims = [], [], []
+        for left, right in sides:
+            if not left.any() or not right.any():
+                continue
+            best, cols = _tops(x[left], x[right], k)
+            width = best.shape[1]
+            ids.append(np.repeat(np.flatnonzero(left), width))
+            others.append(np.flatnonzero(right)[cols].ravel())
+            sims.append(best.ravel())
+        at = np.concatenate(ids or [np.empty(0, np.int64)])
+        to = np.concatenate(others or [np.empty(0, np.int64)])
+        names = group.column("id").combine_chunks()
+        return pa.table({"id": names.take(pa.array(at)), "neighbour": names.take(pa.array(to)),
+                         "sim": pa.array(np.concatenate(sims or [np.empty(0)]))})
+    found = dealt.groupBy("i", "j").applyInArrow(tops, f"id {id_type}, neighbour {id_type}, sim double")
+    order = Window.partitionBy("id").orderBy(F.desc("sim"), F.asc("neighbour"))
+    return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            .select(F.col("id").alias(id_col), "rank", "neighbour", "sim"))
+
+
 def confidence_split(scored: DataFrame, threshold: float = 0.1) -> DataFrame:
     """V7: ``is_confident`` iff ``max_sim >= threshold`` (unconfident is the
     strict ``<``); NULL similarity is unconfident."""

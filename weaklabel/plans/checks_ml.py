@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import clusters as cl
 from ..operators import embeddings as em
+from ..operators import mixture as mx
 from ..operators import naming as nm
 from ..operators import similarity as sim
 from ..sources import fixtures as fx
@@ -67,12 +68,86 @@ def cluster_kmeans(spark, sf_dir):
     return cl.kmeans(v.select("vec_id", "vector"), 10, restarts=10, seed=0).select("vec_id", "cluster", "prob")
 
 
+EV = "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings"
+FIRST_IDS = "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS c, x AS m FROM ev QUALIFY row_number() OVER (ORDER BY vec_id) <= "
+SQ = "list_sum(list_transform(list_zip(x, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+
+def first_vectors(v, k: int) -> np.ndarray:
+    """The ``k`` vectors of the smallest ids."""
+    return np.array([r["vector"] for r in v.orderBy("vec_id").limit(k).collect()])
+
+
+def lloyd_ctes(rounds: int) -> list[tuple[str, str]]:
+    """``m0(c, m)`` to assignments ``a{rounds}(vec_id, c)``, a round at a time."""
+    out = []
+    for i in range(rounds + 1):
+        out.append((f"a{i}", f"""SELECT vec_id, any_value(x) AS x, arg_min(c, d) AS c, min(d) AS d
+                    FROM (SELECT vec_id, x, c, {SQ} AS d FROM ev, m{i}) GROUP BY vec_id"""))
+        if i < rounds:
+            out += [(f"l{i}", f"SELECT c, k, avg(x[k]) AS v FROM a{i}, unnest(range(1, len(x) + 1)) AS r(k) GROUP BY c, k"),
+                    (f"n{i}", f"SELECT c, list(v ORDER BY k) AS m FROM l{i} GROUP BY c"),
+                    (f"m{i + 1}", f"SELECT c, coalesce(n{i}.m, m{i}.m) AS m FROM m{i} LEFT JOIN n{i} USING (c)")]
+    return out
+
+
+@register("kmeans_fixed_starts", S.with_([("ev", EV), ("m0", FIRST_IDS + "5"), *lloyd_ctes(3)],
+                                         "SELECT vec_id, CAST(c AS INTEGER) AS cluster FROM a3"))
+def kmeans_fixed_starts(spark, sf_dir):
+    """U1 from given starts: three rounds on all dimensions."""
+    v = fx.vectors(spark, sf_dir).select("vec_id", "vector")
+    return cl.kmeans(v, 5, starts=first_vectors(v, 5)[None], max_iter=3, tol=0.0).select("vec_id", "cluster")
+
+
 @register("cluster_gmm")
 def cluster_gmm(spark, sf_dir):
-    """Gaussian mixture, 10 restarts, on centred 8-d projections."""
+    """Gaussian mixture with full covariances, 10 restarts, on all
+    dimensions of the embeddings."""
     v = fx.vectors(spark, sf_dir)
-    model, proj = cl.pca_fit_transform(v.select("vec_id", "vector"), 8)
-    return cl.gmm(proj, 10, restarts=10, seed=0).select("vec_id", "cluster", "prob")
+    return cl.gmm(v.select("vec_id", "vector"), 10, restarts=10, seed=0).select("vec_id", "cluster", "prob")
+
+
+def em_ctes(rounds: int) -> list[tuple[str, str]]:
+    """Two-dimensional mixtures: hard memberships ``p0(vec_id, u, v, c, p)``,
+    then ``rounds`` of maximising and expecting."""
+    out = [("p0", "SELECT vec_id, x[1] AS u, x[2] AS v, m0.c, CASE WHEN m0.c = a0.c THEN 1.0 ELSE 0.0 END AS p FROM a0, m0")]
+    for i in range(rounds):
+        out += [
+            (f"mu{i}", f"""SELECT c, sum(p) AS n, sum(p * u) / sum(p) AS mu, sum(p * v) / sum(p) AS mv FROM p{i} GROUP BY c"""),
+            (f"g{i}", f"""SELECT c, n, mu, mv, sum(p * (u - mu) * (u - mu)) / n + 1e-6 AS uu, sum(p * (v - mv) * (v - mv)) / n + 1e-6 AS vv,
+                         sum(p * (u - mu) * (v - mv)) / n AS uv FROM p{i} JOIN mu{i} USING (c) GROUP BY c, n, mu, mv"""),
+            (f"j{i}", f"""SELECT vec_id, u, v, c, ln(n / (sum(n) OVER (PARTITION BY vec_id))) - ln(2 * pi()) - 0.5 * ln(uu * vv - uv * uv)
+                         - 0.5 * (vv * (u - mu) * (u - mu) - 2 * uv * (u - mu) * (v - mv) + uu * (v - mv) * (v - mv)) / (uu * vv - uv * uv) AS l
+                         FROM (SELECT vec_id, u, v FROM p{i} WHERE c = 0), g{i}"""),
+            (f"t{i}", f"SELECT *, max(l) OVER (PARTITION BY vec_id) AS top FROM j{i}"),
+            (f"p{i + 1}", f"SELECT vec_id, u, v, c, exp(l - top) / sum(exp(l - top)) OVER (PARTITION BY vec_id) AS p FROM t{i}"),
+        ]
+    return out
+
+
+@register("gmm_em_steps", S.with_([("ev", "SELECT vec_id, CAST(embedding[1:2] AS DOUBLE[]) AS x FROM embeddings"),
+                                   ("m0", FIRST_IDS + "3"), *lloyd_ctes(0), *em_ctes(3)],
+                                  f"SELECT vec_id, CAST(c AS INTEGER) AS component, {S.e6('p')} AS p_e6 FROM p3"))
+def gmm_em_steps(spark, sf_dir):
+    """U2/U3 from fixed starts: two rounds of expectation maximisation on the
+    first two dimensions, and the memberships they give."""
+    v = fx.vectors(spark, sf_dir).select("vec_id", F.slice("vector", 1, 2).alias("vector"))
+    rows = mx.numbered(v)
+    shift = mx.mean_vector(rows)
+    starts = mx.hard_start(rows, first_vectors(v, 3)[None], shift, 1e-6)
+    mixtures, _ = mx.fit_mixtures(rows, starts, shift, max_iter=2, tol=0.0)
+    p = mx.with_memberships(v, mixtures[0], shift)
+    return p.select("vec_id", F.posexplode("prob").alias("component", "p")).select("vec_id", "component", e6("p").alias("p_e6"))
+
+
+@register("self_topk", S.with_([("ev", EV), ("unit", """SELECT vec_id, list_transform(x, lambda v: v / greatest(sqrt(list_sum(list_transform(x,
+    lambda w: w * w))), 1e-12)) AS x FROM ev"""), ("sims", "SELECT a.vec_id, b.vec_id AS neighbour, list_dot_product(a.x, b.x) AS sim FROM unit a, unit b")],
+    f"""SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, neighbour) AS INTEGER) AS rank, neighbour, {S.e6('sim')} AS sim_e6
+    FROM sims QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, neighbour) <= 8"""))
+def self_topk(spark, sf_dir):
+    """V3 of the corpus against itself: the 8 most similar vectors of each."""
+    v = fx.vectors(spark, sf_dir).select("vec_id", "vector")
+    return sim.self_topk(v).select("vec_id", "rank", "neighbour", e6("sim").alias("sim_e6"))
 
 
 @register("pca_project")
