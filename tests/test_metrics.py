@@ -35,3 +35,11 @@ def test_perfect_predictions(spark):
 def test_rows_split(preds, existing):
     assert mt.existing_rows(preds, existing).count() == 6
     assert mt.removed_rows(preds, existing).count() == 3
+
+
+def test_attach_truth_checks_the_numbers(spark, preds):
+    truth = spark.createDataFrame([(i, "t") for i in range(9)], "doc_id bigint, label string")
+    p = preds.select("doc_id", "prediction")
+    assert mt.attach_truth(p, truth, check=True).select("truth").distinct().collect()[0].truth == "t"
+    with pytest.raises(ValueError, match="9 predictions for 8 documents"):
+        mt.attach_truth(p, truth.where("doc_id > 0"), check=True)

@@ -37,6 +37,37 @@ TREEBANK_SPLITS = {
     "wanna": ["wan", "na"],
 }
 
+# The Penn Treebank tokenizer's published rules, in order, on
+# lower-case text with single blanks; ``$1`` is the first group. Before ...
+TREEBANK_RULES = [
+    ("([«“‘„]|`+)", " $1 "),                                                  # opening quotes
+    ('^"', "``"),
+    ("(``)", " $1 "),
+    (r"""([ (\[{<])("|'')""", "$1 `` "),
+    (f"'(?!re|ve|ll|[mtsdn])([{WORD_CHARS}])(?![{WORD_CHARS}])", "' $1"),
+    (r"""([^.])(\.)([\])}>"'»”’]*)(?= |$)""", "$1 $2 $3 "),                    # the period that ends a sentence
+    (r"([:,])([^\p{Nd}])", " $1 $2"),                                         # not inside numbers
+    ("([:,])$", " $1 "),
+    (r"(\.{2,})", " $1 "),                                                    # ellipsis
+    ("([;@#$%&])", " $1 "),
+    ("([?!])", " $1 "),
+    ("([^'])' ", "$1 ' "),
+    (r"(\*)", " $1 "),
+    (r"([\]\[(){}<>])", " $1 "),
+    ("(--)", " $1 "),
+]
+# ... and after a blank was put on either side.
+TREEBANK_ENDINGS = [
+    ("([»”’])", " $1 "),                                                      # closing quotes
+    ("('')", " $1 "),
+    ('"', " '' "),
+    ("([^' ])('[smd]|') ", "$1 $2 "),
+    ("([^' ])('ll|'re|'ve|n't) ", "$1 $2 "),
+    (f"(?<![{WORD_CHARS}])(can|d|gim|gon|got|lem|more|wan)((?<=can)not|(?<=d)'ye|(?<=gim|lem)me|(?<=gon)na|(?<=got)ta|"
+     f"(?<=more)'n|(?<=wan)na)(?![{WORD_CHARS}])", " $1 $2 "),
+    (f" ('t)(is|was)(?![{WORD_CHARS}])", " $1 $2 "),
+]
+
 
 def _lit_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
@@ -70,12 +101,27 @@ def tokenize(col: Column, split_contractions: bool = True) -> Column:
 
 
 def tokenize_keep_punct(col: Column) -> Column:
-    """Word runs and single punctuation marks, for ``remove_punctuation=False``."""
+    """Word runs and single punctuation marks, a plainer tokenizer than T2b's cascade."""
     return F.coalesce(
         F.regexp_extract_all(F.lower(col), F.lit(TOKEN_PUNCT_PATTERN), 0),
         F.array().cast("array<string>"))
 
 
+def tokenize_treebank(col: Column) -> Column:
+    """The Penn Treebank cascade on the lower-cased text: quotes become
+    pairs of back-ticks and apostrophes, contractions are split, numbers keep
+    their points and commas, an ellipsis and double dashes are tokens. There
+    is no trained sentence model: a period before a blank or the end of the
+    text, closing marks between, ends a sentence. NULL text gives no tokens."""
+    text = F.trim(F.regexp_replace(F.lower(col), BLANKS_PATTERN, " "))
+    for pattern, to in TREEBANK_RULES:
+        text = F.regexp_replace(text, pattern, to)
+    text = F.concat(F.lit(" "), text, F.lit(" "))
+    for pattern, to in TREEBANK_ENDINGS:
+        text = F.regexp_replace(text, pattern, to)
+    return F.coalesce(F.filter(F.split(text, " +"), lambda w: w != ""), F.array().cast("array<string>"))
+
+
 def remove_stopwords(tokens: Column, stopwords) -> Column:
     """Keep order, drop listed words (hash-set membership, not a scan)."""
     stop = sorted(set(stopwords))

@@ -23,7 +23,7 @@ def prepare_corpus(corpus: DataFrame, remove_punctuation: bool = True,
     if remove_punctuation:
         tokens = tx.tokenize(tx.clean_text(text))
     else:
-        tokens = tx.tokenize_keep_punct(text)
+        tokens = tx.tokenize_treebank(text)
     if remove_stopwords:
         tokens = tx.remove_stopwords(tokens, DEFAULT_STOPWORDS if stopwords is None else stopwords)
     out = corpus.select("doc_id", "label", tokens.alias("tokens"))

@@ -12,11 +12,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
-from ..session import cut_lineage, keep
+from ..session import cut_lineage
 
 MAX_BROADCAST_BYTES = 256 << 20
 #: Bytes of all blocks together; a larger table is no table of classes.
@@ -34,7 +35,14 @@ def _blocks(classes: DataFrame, vec: str, max_bytes: int):
     """Collect the class matrix in blocks of bounded size (checked first).
     Blocks are cut by position in the order of ``class_idx``, which may have
     gaps."""
-    classes = keep(classes)
+    classes = classes.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _read_blocks(classes, vec, max_bytes)
+    finally:
+        classes.unpersist()
+
+
+def _read_blocks(classes: DataFrame, vec: str, max_bytes: int):
     dim = classes.select(F.max(F.size(vec))).first()[0]
     ids = [r[0] for r in classes.select("class_idx").orderBy("class_idx").collect()]
     if 8 * len(ids) * int(dim or 1) > MAX_CLASS_BYTES:

@@ -1,8 +1,8 @@
 """Term weighting (F1-F13): class-level TF-IDF, LI-cTF-IDF, top terms per
 class, seed words and cluster names.
 
-Everything is a long ``(label, term, ...)`` table. Counts are pre-aggregated
-per document before any shuffle; per-class totals are aggregates joined
+Everything is a long ``(label, term, ...)`` table. A document's terms are
+counted inside its row; per-class totals are aggregates joined
 back (one row per class), never windows over a whole class; top-k per
 class is ``row_number() <= k``, which Spark runs as a partial group limit
 before the shuffle, so a class with a third of the corpus ships only its
@@ -26,10 +26,21 @@ def with_terms(docs: DataFrame, stopwords=None) -> DataFrame:
 
 
 def doc_term_counts(docs_terms: DataFrame) -> DataFrame:
-    """``(doc_id, label, term, n)``. All tokens of a document sit in one
-    row, so the map-side partial aggregate already completes each count."""
-    return (docs_terms.select("doc_id", "label", F.explode("terms").alias("term"))
-            .groupBy("doc_id", "label", "term").agg(F.count(F.lit(1)).alias("n")))
+    """``(doc_id, label, term, n)``. A document's terms lie in one row:
+    they are sorted there and each run is counted, so nothing is shuffled."""
+    def let(value, body):                                # ``body`` of a value computed once
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def starts(t):
+        places = F.when(F.size(t) > 0, F.sequence(F.lit(0), F.size(t) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.filter(places, lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+
+    def runs(z):
+        return F.transform(z["at"], lambda a, k: F.struct(
+            F.get(z["t"], a).alias("term"),
+            (F.coalesce(F.get(z["at"], k + 1), F.size(z["t"])) - a).cast("bigint").alias("n")))
+    counts = let(F.array_sort("terms"), lambda t: let(F.struct(t.alias("t"), starts(t).alias("at")), runs))
+    return docs_terms.select("doc_id", "label", F.inline(counts))
 
 
 def class_documents(docs: DataFrame, col: str = "tokens") -> DataFrame:

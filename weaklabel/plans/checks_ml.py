@@ -246,3 +246,57 @@ def end_to_end_f1(spark, sf_dir):
 @register("end_to_end_new_labels", S.with_(RUN + NEW_CTES, NEW_BODY))
 def end_to_end_new_labels(spark, sf_dir):
     return _run(spark, sf_dir)["new_label_metrics"]
+
+
+# The baseline and final presets on the corpus labelled by source. What the
+# mixture decides is left out: the predictions of unconfident documents.
+BASE = (S.corpus_ctes("source", remove_stopwords=True) + S.split_ctes(0.5, 5, 0.1, 42))
+KNOWN = """SELECT s.doc_id, s.label, CASE WHEN s.is_confident THEN s.best_label END AS prediction, s.is_confident,
+    array_to_string(s.tokens, ' ') AS text FROM scored s"""
+
+
+def _decided(out):
+    p = out["predictions"]
+    return p.select("doc_id", "label", F.when(F.col("is_confident"), F.col("prediction")).alias("prediction"), "is_confident", "text")
+
+
+@register("end_to_end_baseline", S.with_(BASE + S.vector_ctes(VEC_DIM, MIN_COUNT, 10, THRESHOLD), KNOWN))
+def end_to_end_baseline(spark, sf_dir):
+    """The baseline preset with a mixture of 5 fitted to the unconfident
+    documents, and a supplied vector table."""
+    from ..operators.preprocess import prepare_corpus
+    from .runner import run_model
+    corpus = fx.corpus_source(spark, sf_dir)
+    vocab = em.min_count_vocab(prepare_corpus(corpus), MIN_COUNT)
+    return _decided(run_model(corpus, "baseline", threshold=THRESHOLD, stemmer=drop_final_s,
+                              word_vectors=fx.hash_word_vectors(vocab, VEC_DIM)))
+
+
+FINAL_THRESHOLD = 0.9
+# At full rank the projection turns the centred vectors, so cosines are those of the centred vectors.
+FINAL = BASE + S.class_tfidf_ctes() + S.top_ctes("tfidf", 10, False) + S.seed_ctes("top", 10) + [
+    ("occ", "SELECT unnest(tokens) AS word, generate_subscripts(tokens, 1) - 1 AS pos FROM split"),
+    ("placed", f"""SELECT {S.strip_punct('word')} AS term, 2 + unicode(word) AS id,
+        1 + CASE WHEN pos < 510 THEN pos ELSE 255 + (pos - 510) % 255 END AS place FROM occ"""),
+    ("wv", "SELECT term, avg(place) AS a, avg(id) AS b FROM placed WHERE term <> '' GROUP BY term HAVING count(*) >= 5"),
+    ("dv", "SELECT doc_id, avg(a) AS a, avg(b) AS b FROM (SELECT doc_id, unnest(tokens) AS term FROM split) JOIN wv USING (term) GROUP BY doc_id"),
+    ("mean", "SELECT avg(a) AS ma, avg(b) AS mb FROM dv"),
+    ("cv", """SELECT e.class_idx, e.label, avg(a) - any_value(ma) AS a, avg(b) - any_value(mb) AS b
+        FROM seeds JOIN wv USING (term) JOIN existing e USING (label), mean GROUP BY e.class_idx, e.label"""),
+    ("unl", "SELECT doc_id, label, tokens FROM split WHERE split = 'unlabeled'"),
+    ("best", """SELECT doc_id, max(sim) AS max_sim, arg_max(label, sim) AS best_label FROM (
+        SELECT d.doc_id, c.label, ((d.a - ma) * c.a + (d.b - mb) * c.b)
+          / (greatest(sqrt((d.a - ma) * (d.a - ma) + (d.b - mb) * (d.b - mb)), 1e-12) * greatest(sqrt(c.a * c.a + c.b * c.b), 1e-12)) AS sim
+        FROM dv d, mean, cv c) GROUP BY doc_id"""),
+    ("scored", f"""SELECT u.doc_id, u.label, u.tokens, b.best_label, coalesce(b.max_sim >= {FINAL_THRESHOLD}, false) AS is_confident
+        FROM unl u LEFT JOIN best b USING (doc_id)"""),
+]
+
+
+@register("end_to_end_final", S.with_(FINAL, KNOWN))
+def end_to_end_final(spark, sf_dir):
+    """The final preset: contextual vectors from a caller's encoder, PCA
+    (at full rank), a mixture of 5."""
+    from .runner import run_model
+    return _decided(run_model(fx.corpus_source(spark, sf_dir), "final", threshold=FINAL_THRESHOLD, pieces_of=first_letter,
+                              encode=place_and_id, dim=2, pca_dim=2))

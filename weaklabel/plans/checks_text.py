@@ -48,6 +48,15 @@ def tokenize_keep_punct(spark, sf_dir):
                     F.array_join(t, " ").alias("tokens"))
 
 
+@register("tokenize_treebank", "SELECT doc_id, len(t) AS n_tokens, array_to_string(t, ' ') AS tokens FROM "
+          "(SELECT doc_id, " + S.tokenize_treebank("text") + " AS t FROM documents)")
+def tokenize_treebank(spark, sf_dir):
+    """The preprocessing with punctuation kept."""
+    d = prepare_corpus(fx.corpus_lang(spark, sf_dir), remove_punctuation=False, remove_stopwords=False)
+    return d.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"),
+                    F.array_join("tokens", " ").alias("tokens"))
+
+
 @register("remove_stopwords", "SELECT doc_id, len(t) AS n_tokens, array_to_string(t, ' ') AS tokens FROM "
           "(SELECT doc_id, " + S.drop_stop(S.tokenize(S.clean("text"))) + " AS t FROM documents)")
 def remove_stopwords(spark, sf_dir):

@@ -103,8 +103,8 @@ def run_model(corpus: DataFrame, preset: str | dict = "baseline", threshold: flo
         names = nm.generate_cluster_labels(samples, unconf, existing, generate)
     names = cut_lineage(names)
     new = nm.new_class_predictions(unconf, names)
-    preds = nm.full_predictions(judged.where("is_confident"), new)
-    scored_preds = preds.select("doc_id", F.col("label").alias("truth"), "prediction", "is_confident")
+    preds = cut_lineage(nm.full_predictions(judged.where("is_confident"), new), "predictions")
+    scored_preds = mt.attach_truth(preds.select("doc_id", "prediction", "is_confident"), unl, check=True)
     return dict(
         split=split, existing=existing, seeds=seeds, word_vectors=wv, doc_vectors=docs,
         class_vectors=classes, missing_classes=missing, scored=scored,

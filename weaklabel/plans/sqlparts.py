@@ -49,6 +49,49 @@ def tokenize_keep_punct(col: str) -> str:
     return f"coalesce(regexp_extract_all(lower({col}), {q(tx.TOKEN_PUNCT_PATTERN)}), [])"
 
 
+WORD = tx.WORD_CHARS
+
+
+def tokenize_treebank(col: str) -> str:
+    """T2b in patterns without look-around (RE2): marks that a look-around
+    would only see are consumed, so these rules run twice; a sentinel undoes
+    the split before clitics. Blanks between tokens may be many."""
+    w, end = f"[{WORD}]", f"([^{WORD}]|$)"
+    t = f"trim(regexp_replace(lower({col}), {q(tx.BLANKS_PATTERN)}, ' ', 'g'))"
+
+    def sub(text, pattern, to, times=1):
+        for _ in range(times):
+            text = f"regexp_replace({text}, {q(pattern)}, {q(to)}, 'g')"
+        return text
+    t = sub(t, "[«“‘„]|`+", r" \0 ")
+    t = sub(t, '^"', "``")
+    t = sub(t, "``", r" \0 ")
+    t = sub(t, r"""([ (\[{<])("|'')""", r"\1 `` ")
+    t = sub(t, f"'({w}){end}", "'\x01\\1\\2", 2)
+    t = sub(t, "'\x01([mtsdn])", r"'\1")
+    t = sub(t, "\x01", " ")
+    t = sub(t, r"""([^.])(\.)([\])}>"'»”’]*)( |$)""", r"\1 \2 \3 \4", 2)
+    t = sub(t, r"([:,])([^\p{Nd}])", r" \1 \2")
+    t = sub(t, "[:,]$", r" \0 ")
+    t = sub(t, r"\.\.+", r" \0 ")
+    t = sub(t, "[;@#$%&]", r" \0 ")
+    t = sub(t, "[?!]", r" \0 ")
+    t = sub(t, "([^'])' ", r"\1 ' ")
+    t = sub(t, r"[*]", r" \0 ")
+    t = sub(t, r"[\]\[(){}<>]", r" \0 ")
+    t = sub(t, "--", r" \0 ")
+    t = f"(' ' || {t} || ' ')"
+    t = sub(t, "[»”’]", r" \0 ")
+    t = sub(t, "''", r" \0 ")
+    t = sub(t, '"', " '' ")
+    t = sub(t, "([^' ])('[smd]|') ", r"\1 \2 ")
+    t = sub(t, "([^' ])('ll|'re|'ve|n't) ", r"\1 \2 ")
+    for a, b in (("can", "not"), ("d", "'ye"), ("gim", "me"), ("gon", "na"), ("got", "ta"), ("lem", "me"), ("more", "'n"), ("wan", "na")):
+        t = sub(t, f"([^{WORD}])({a})({b}){end}", r"\1 \2 \3 \4", 2)
+    t = sub(t, f" ('t)(is|was){end}", r" \1 \2 \3", 2)
+    return f"coalesce(list_filter(string_split({t}, ' '), lambda w: w <> ''), [])"
+
+
 def drop_stop(list_sql: str, stop: str = STOP) -> str:
     return f"list_filter({list_sql}, lambda w: NOT list_contains({stop}, w))"
 
@@ -83,7 +126,7 @@ LANG = dict(bottom_p=0.5, full_k=1, keep_p=0.6, seed=42, remove_stopwords=False)
 def corpus_ctes(source: str = "lang", remove_punctuation: bool = True,
                 remove_stopwords: bool = False) -> list[tuple[str, str]]:
     label = "lang" if source == "lang" else "source"
-    tok = tokenize(clean("sentence")) if remove_punctuation else tokenize_keep_punct("sentence")
+    tok = tokenize(clean("sentence")) if remove_punctuation else tokenize_treebank("sentence")
     if remove_stopwords:
         tok = drop_stop(tok)
     return [

@@ -22,6 +22,12 @@ def corpus_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("text").alias("sentence"), F.col("lang").alias("label"))
 
 
+def corpus_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as a corpus labelled by source (20 classes)."""
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("text").alias("sentence"), F.col("source").alias("label"))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``embeddings`` with DOUBLE components."""
     return table(spark, sf_dir, "embeddings").select(
