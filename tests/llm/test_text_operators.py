@@ -108,6 +108,52 @@ def test_an_article_of_short_lines_is_not_lost_to_a_long_block():
         assert got.startswith("\n".join(verse))
 
 
+def test_wrappers_around_an_article_are_kept():
+    body = "Running text of the story, long enough to count as content of the page."
+    story = f"<h1>Head</h1><p>{body}</p><p>More. {body}</p>"
+    want = f"Head\n{body}\nMore. {body}"
+    for a, b in [('<form id="aspnetForm"><article>', "</article></form>"), ('<form id="aspnetForm"><div>', "</div></form>"),
+                 ('<div class="content has-sidebar"><article>', "</article></div>"), ('<div id="page" class="header-fixed"><main>', "</main></div>"),
+                 ('<div class="ad-free story">', "</div>"), ('<div class="nav-open no-menu"><div>', "</div></div>"),
+                 ('<div class="sidebar"><main>', "</main></div>")]:
+        page = f'<body><nav>Menu of things</nav>{a}{story}{b}<div class="side-bar widget">Aside things</div><footer>Foot</footer></body>'
+        assert html_text.main_text(page) == want, a
+    for a, b in [('<div class="user-comments"><article>', "</article></div>"), ('<div class="cookie-banner">', "</div>"),
+                 ('<div class="sponsored-7f">', "</div>"), ("<form>", "</form>"), ('<div id="comments">', "</div>")]:
+        page = f"<body><article>{story}</article>{a}Join the list, write to us, and more words of that kind.{b}</body>"
+        assert html_text.main_text(page) == want, a
+    long = "<div class='comments'>" + "<p>A reader says a great deal here.</p>" * 99 + "</div>"
+    assert html_text.main_text(f"<body><div>{story}</div>{long}</body>") == want
+
+
+def test_inline_elements_lose_no_text():
+    p = ("<p>Energy is <math><mi>E</mi></math> here, <label>a label</label> and a <button>key</button>, not <script>x</script> a script, "
+         "with words enough.</p>")
+    want = "Energy is E here, a label and a key, not a script, with words enough."
+    assert html_text.main_text(f"<body><article>{p}</article></body>") == want
+    assert html_text.main_text(f"<body><form><article>{p}</article></form></body>") == "Energy is E here, and a , not a script, with words enough."
+    assert html_text.main_text("<body><article><p>Words of the text.</p><button>Share</button><label>Mail</label></article></body>") == "Words of the text."
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    start = time.time()
+    n = 50_000
+    assert html_text.main_text("<body>" + "<div>" * n + "Deep text" + "</div>" * n) == "Deep text"
+    assert html_text.main_text("<article>" * n + "Deep text" + "</p></i>" * n) == "Deep text"
+    assert html_text.main_text("<p>" + "<span>" * n + "Deep" + "<div></x>" * n + "text") == "Deep\ntext"
+    assert html_text.main_text("<div class='has-sidebar'>" * n + "Deep text" + "<main>and more") == "and more"
+    assert time.time() - start < 8
+
+
+def test_smoothing_against_a_plain_sum():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 5, 40):
+        x = rng.random(n)
+        for i, got in enumerate(html_text.smooth(x, 1.0)):
+            w = [np.exp(-(i - j) ** 2 / 2) if abs(i - j) <= 3 else 0 for j in range(n)]
+            assert got == pytest.approx(np.dot(w, x) / np.sum(w))
+
+
 def test_pages_with_nulls(spark):
     df = spark.createDataFrame([(1, None, None, 1), (1, None, None, 1), (None, "u", PAGE, 2)],
                                "page_id bigint, url string, html string, text int")
