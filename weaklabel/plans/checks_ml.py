@@ -13,6 +13,7 @@ from ..operators import embeddings as em
 from ..operators import mixture as mx
 from ..operators import naming as nm
 from ..operators import similarity as sim
+from ..operators.cbow import train_cbow
 from ..sources import fixtures as fx
 from . import sqlparts as S
 from .checks_eval import F1_BODY, F1_CTES, NEW_BODY, NEW_CTES
@@ -48,6 +49,69 @@ def train_word_vectors(spark, sf_dir):
     return wv.select("term", "n_occ", F.size("vector").alias("n_dims"))
 
 
+CBOW_SHARD, CBOW_RATE = 20_000, 0.001
+SYMBOL = "CASE WHEN length(t) <= 2 THEN 'a' WHEN length(t) <= 4 THEN 'b' WHEN length(t) <= 7 THEN 'c' ELSE 'd' END"
+
+
+def cbow_round(k: int) -> list[tuple[str, str]]:
+    """Words ``v{k}(term, dim, x)`` and nodes ``y{k}(node, dim, x)`` to those of
+    the next round: one batch a shard, then the mean over the shards."""
+    return [
+        (f"h{k}", f"""SELECT tri.*, d.dim, (coalesce(p.x, 0) + coalesce(q.x, 0)) / (CASE WHEN p.x IS NULL OR q.x IS NULL THEN 1 ELSE 2 END) AS h
+            FROM tri CROSS JOIN (SELECT DISTINCT dim FROM v{k}) d LEFT JOIN v{k} p ON p.term = prev AND p.dim = d.dim
+            LEFT JOIN v{k} q ON q.term = next AND q.dim = d.dim"""),
+        (f"g{k}", f"""SELECT h.id, p.node, (1 - any_value(p.bit) - 1 / (1 + exp(-sum(h.h * y.x)))) * {CBOW_RATE} AS g
+            FROM h{k} h JOIN paths p ON p.term = h.center JOIN y{k} y ON y.node = p.node AND y.dim = h.dim GROUP BY h.id, p.node"""),
+        (f"ys{k}", f"SELECT h.shard, g.node, h.dim, sum(h.n * g.g * h.h) AS d FROM h{k} h JOIN g{k} g USING (id) GROUP BY ALL"),
+        (f"y{k + 1}", f"SELECT y.node, y.dim, any_value(y.x) + avg(s.d) AS x FROM y{k} y JOIN ys{k} s ON s.node = y.node AND s.dim = y.dim GROUP BY y.node, y.dim"),
+        (f"e{k}", f"SELECT g.id, y.dim, sum(g.g * y.x) AS e FROM g{k} g JOIN y{k} y USING (node) GROUP BY g.id, y.dim"),
+        (f"vs{k}", f"""SELECT shard, term, dim, sum(n * e) AS d FROM (SELECT id, shard, n, prev AS term FROM tri UNION ALL
+            SELECT id, shard, n, next FROM tri) JOIN e{k} USING (id) WHERE term IS NOT NULL GROUP BY ALL"""),
+        (f"v{k + 1}", f"SELECT v.term, v.dim, any_value(v.x) + avg(s.d) AS x FROM v{k} v JOIN vs{k} s ON s.term = v.term AND s.dim = v.dim GROUP BY v.term, v.dim"),
+    ]
+
+
+_CBOW_SQL = S.with_(S.corpus_ctes("lang") + [
+    ("tok", f"""SELECT doc_id, pos, pos // 10000 AS part, {SYMBOL} AS term FROM (
+        SELECT doc_id, unnest(tokens) AS t, generate_subscripts(tokens, 1) - 1 AS pos FROM prepared)"""),
+    ("occ", "SELECT term, count(*) AS n_occ, row_number() OVER (ORDER BY count(*) DESC, term) AS r FROM tok GROUP BY term"),
+    ("tree", """SELECT CASE WHEN sum(n_occ) FILTER (r > 2) < sum(n_occ) FILTER (r = 1) THEN 'deep' ELSE 'flat' END AS kind FROM occ"""),
+    ("paths", """SELECT term, node, bit FROM occ JOIN (VALUES ('deep', 1, 1, 0), ('deep', 2, 1, 1), ('deep', 2, 3, 0), ('deep', 3, 1, 1),
+        ('deep', 3, 3, 1), ('deep', 3, 7, 0), ('deep', 4, 1, 1), ('deep', 4, 3, 1), ('deep', 4, 7, 1), ('flat', 1, 1, 0), ('flat', 1, 2, 0),
+        ('flat', 2, 1, 0), ('flat', 2, 2, 1), ('flat', 3, 1, 1), ('flat', 3, 3, 0), ('flat', 4, 1, 1), ('flat', 4, 3, 1)) AS b(kind, r, node, bit)
+        USING (r) JOIN tree USING (kind)"""),
+    ("near", """SELECT doc_id, part, term AS center, lag(term) OVER w AS prev, lead(term) OVER w AS next FROM tok
+        WINDOW w AS (PARTITION BY doc_id, part ORDER BY pos)"""),
+    ("tri", f"""SELECT row_number() OVER () AS id, * FROM (SELECT {S.hash32(42, "(CAST(doc_id AS VARCHAR) || '-' || CAST(part AS VARCHAR))")}
+        % greatest(1, (SELECT (sum(n_occ) + {CBOW_SHARD - 1}) // {CBOW_SHARD} FROM occ)) AS shard, center, prev, next, count(*) AS n
+        FROM near WHERE prev IS NOT NULL OR next IS NOT NULL GROUP BY ALL)"""),
+    ("v0", f"SELECT term, unnest({S.hash_vector(chr(39) + '42-' + chr(39) + ' || term', 4)}) / 4 AS x, unnest(range(4)) AS dim FROM occ"),
+    ("y0", "SELECT DISTINCT node, dim, 0.0 AS x FROM paths CROSS JOIN (SELECT DISTINCT dim FROM v0)"),
+    *cbow_round(0), *cbow_round(1),
+], f"SELECT term, n_occ, CAST(dim AS INTEGER) AS dim, {S.e6('x')} AS x_e6 FROM v2 JOIN occ USING (term)")
+
+
+@register("cbow_steps", _CBOW_SQL)
+def cbow_steps(spark, sf_dir):
+    """Two rounds of the bag-of-words trainer over all texts, one batch a
+    shard, on a vocabulary of four symbols (words by their length)."""
+    def symbol(w):
+        return (F.when(F.length(w) <= 2, "a").when(F.length(w) <= 4, "b").when(F.length(w) <= 7, "c").otherwise("d"))
+    docs = lang_prepared(spark, sf_dir).select("doc_id", F.transform("tokens", symbol).alias("tokens"))
+    v = train_cbow(docs, vector_size=4, window=1, min_count=1, alpha=CBOW_RATE, min_alpha=CBOW_RATE, epochs=2,
+                   shard_tokens=CBOW_SHARD, batch=1 << 40)
+    return v.select("term", "n_occ", F.posexplode("vector").alias("dim", "x")).select("term", "n_occ", "dim", e6("x").alias("x_e6"))
+
+
+@register("cbow_vectors", S.with_(S.corpus_ctes("lang"), """SELECT term, count(*) AS n_occ, CAST(16 AS INTEGER) AS n_dims
+    FROM (SELECT unnest(tokens) AS term FROM prepared) GROUP BY term HAVING count(*) >= 2"""))
+def cbow_vectors(spark, sf_dir):
+    """The bag-of-words trainer on the corpus; the words it learned, their
+    counts and the dimension of their vectors."""
+    v = train_cbow(lang_prepared(spark, sf_dir), vector_size=16, window=3, min_count=2, epochs=1)
+    return v.select("term", "n_occ", F.size("vector").alias("n_dims"))
+
+
 @register("contextual_vectors", S.with_(S.corpus_ctes("lang") + [
     ("w", "SELECT unnest(tokens) AS term, generate_subscripts(tokens, 1) - 1 AS pos FROM prepared"),
     ("c", "SELECT term, CASE WHEN pos < 510 THEN pos ELSE 255 + (pos - 510) % 255 END AS start FROM w"),

@@ -17,6 +17,7 @@ from ..operators import metrics as mt
 from ..operators import naming as nm
 from ..operators import similarity as sim
 from ..operators import terms as tm
+from ..operators.cbow import train_cbow
 from ..operators.preprocess import prepare_corpus
 from ..session import cut_lineage, keep
 from ..sources.corpus import assert_unique_ids, corpus_statistics
@@ -52,7 +53,8 @@ def word_vectors_for(split: DataFrame, cfg: dict, word_vectors: DataFrame | None
     if word_vectors is not None:
         return word_vectors
     if cfg["vectors"] == "word2vec":
-        return em.train_word_vectors(split, **cfg.get("w2v", {}))
+        train = em.train_word_vectors if cfg.get("skip_gram") else train_cbow
+        return train(split, **cfg.get("w2v", {}))
     if cfg["vectors"] == "contextual":
         if encode is None or pieces_of is None or dim is None:
             raise ValueError("contextual vectors need pieces_of, encode and dim")
