@@ -61,3 +61,20 @@ def test_snowball_samples():
 def test_stem_tokens_udf(spark):
     df = spark.createDataFrame([(1, "cats running happily", "a")], "doc_id bigint, sentence string, label string")
     assert prepare_corpus(df, stem=True).first().tokens == ["cat", "run", "happili"]
+
+
+def test_lemmatize_by_rules(spark):
+    from weaklabel.operators.preprocess import lemma_table, lemmatize_rules, prepare_corpus
+    docs = spark.createDataFrame([(1, ["dogs", "churches", "geese", "wolves", "glasses", "bus", "women", "ponies", "xyzs", "dogs"]), (2, []), (3, None)],
+                                 "doc_id bigint, tokens array<string>")
+    words = spark.createDataFrame([(w,) for w in "dog church goose wolf glass bus woman pony bu geese axe ax".split()] + [(None,)], "lemma string")
+    odd = spark.createDataFrame([("geese", "goose"), ("oxen", "ox"), (None, "x"), ("axes", "axe"), ("axes", "ax")], "token string, lemma string")
+    got = {r.doc_id: r.tokens for r in lemmatize_rules(docs, words, odd).collect()}
+    assert got[1] == ["dog", "church", "geese", "wolf", "glass", "bu", "woman", "pony", "xyzs", "dog"]
+    assert not got[2] and not got[3]
+    # An exception keeps to its own forms, unknown ones leave the word; further rounds only where nothing was known.
+    t = spark.createDataFrame([("oxen",), ("axes",), ("dogss",), ("running",)], "token string")
+    assert {r.token: r.lemma for r in lemma_table(t, words, odd).collect()} == {"axes": "ax", "dogss": "dog"}
+    assert {r.token: r.lemma for r in lemma_table(t, spark.createDataFrame([("runn",)], "lemma string"), pos="v").collect()} == {"running": "runn"}
+    corpus = spark.createDataFrame([(1, "Two dogs!", "a")], "doc_id bigint, sentence string, label string")
+    assert prepare_corpus(corpus, lemmatize=True, dictionary=words).first().tokens[-1] == "dog"

@@ -9,16 +9,19 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.stopwords import DEFAULT_STOPWORDS
+from ..session import cut_lineage
 
 
 def prepare_corpus(corpus: DataFrame, remove_punctuation: bool = True,
                    remove_stopwords: bool = True, stem: bool = False,
                    lemmatize: bool = False, stopwords=None, stemmer=None,
-                   lemmas: DataFrame | None = None) -> DataFrame:
+                   lemmas: DataFrame | None = None, dictionary: DataFrame | None = None,
+                   exceptions: DataFrame | None = None) -> DataFrame:
     """``(doc_id, sentence, label)`` -> ``(doc_id, label, tokens)``.
 
     ``stemmer`` is a ``str -> str`` function (default: the built-in
-    Snowball English stemmer); ``lemmas`` a ``(token, lemma)`` table."""
+    Snowball English stemmer); ``lemmas`` a ``(token, lemma)`` table, or
+    ``dictionary(lemma)`` and ``exceptions(token, lemma)`` for the rules."""
     text = F.col("sentence")
     if remove_punctuation:
         tokens = tx.tokenize(tx.clean_text(text))
@@ -31,9 +34,9 @@ def prepare_corpus(corpus: DataFrame, remove_punctuation: bool = True,
         from .stemming import stem_tokens
         out = out.withColumn("tokens", stem_tokens(F.col("tokens"), stemmer))
     if lemmatize:
-        if lemmas is None:
-            raise ValueError("lemmatize=True needs a (token, lemma) table")
-        out = lemmatize_tokens(out, lemmas)
+        if lemmas is None and dictionary is None:
+            raise ValueError("lemmatize=True needs a (token, lemma) table or a dictionary of lemmas")
+        out = lemmatize_tokens(out, lemmas) if lemmas is not None else lemmatize_rules(out, dictionary, exceptions)
     return out
 
 
@@ -68,6 +71,66 @@ def lemmatize_tokens(docs: DataFrame, lemmas: DataFrame, max_chars: int = MAX_LE
                                               F.array().cast("array<string>")).alias("tokens")))
 
 
+# The published detachment rules of the dictionary lemmatizer, by part of speech, in order.
+DETACHMENTS = {
+    "n": [("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y")],
+    "v": [("s", ""), ("ies", "y"), ("es", "e"), ("es", ""), ("ed", "e"), ("ed", ""), ("ing", "e"), ("ing", "")],
+    "a": [("er", ""), ("est", ""), ("er", "e"), ("est", "e")],
+    "r": [],
+}
+#: Times the rules are applied to a word's own results before it is left as it is.
+DETACH_ROUNDS = 4
+
+
+def detached(word, pos: str):
+    """The words that the rules make of ``word``, in the rules' order."""
+    one = [F.when(word.endswith(end), F.concat(word.substr(F.lit(1), F.length(word) - len(end)), F.lit(to)))
+           for end, to in DETACHMENTS[pos]]
+    return F.filter(F.array(*one), lambda w: w.isNotNull()) if one else F.array().cast("array<string>")
+
+
+def lemma_table(tokens: DataFrame, dictionary: DataFrame, exceptions: DataFrame | None = None, pos: str = "n",
+                rounds: int = DETACH_ROUNDS) -> DataFrame:
+    """T5 by rules: ``(token, lemma)`` of the distinct ``tokens(token)`` whose
+    lemma is another word. ``dictionary(lemma)`` lists the known lemmas,
+    ``exceptions(token, lemma)`` irregular forms.
+
+    A listed exception takes its own lemmas; any other token itself and what
+    the detachment rules make of it, and only where none of these is known what
+    the rules make of that, up to ``rounds`` times. Of the known candidates of
+    the first such step the shortest wins, the earlier one in ties; a token
+    without one stays. Candidates are made in the row and joined once with the
+    dictionary."""
+    known = dictionary.select(F.col("lemma").alias("form")).where("form is not null").distinct()
+    words = tokens.select("token").where("token is not null").distinct()
+
+    def listed(forms, step: int):
+        return F.transform(forms, lambda w, i: F.struct(F.lit(step).alias("step"), i.alias("place"), w.alias("form")))
+    steps, forms = [F.array(F.struct(F.lit(0).alias("step"), F.lit(-1).alias("place"), F.col("token").alias("form")))], F.array("token")
+    for r in range(rounds):
+        forms = F.flatten(F.transform(forms, lambda w: detached(w, pos)))
+        steps.append(listed(forms, max(0, r)))
+    regular = words
+    odd = None
+    if exceptions is not None:
+        own = exceptions.where("token is not null and lemma is not null").select("token", F.col("lemma").alias("form"))
+        regular = words.join(own, "token", "left_anti")
+        odd = (own.join(words, "token", "left_semi").select("token", F.lit(0).alias("step"), F.lit(0).alias("place"), "form")
+               .union(words.join(own, "token", "left_semi").select("token", F.lit(0), F.lit(-1), F.col("token"))))
+    made = regular.select("token", F.inline(F.concat(*steps)))
+    made = made if odd is None else made.union(odd)
+    best = made.join(known, "form").groupBy("token").agg(
+        F.min(F.struct("step", F.length("form").alias("size"), "place", "form")).alias("best"))
+    return best.select("token", F.col("best.form").alias("lemma")).where("lemma <> token")
+
+
+def lemmatize_rules(docs: DataFrame, dictionary: DataFrame, exceptions: DataFrame | None = None, pos: str = "n",
+                    rounds: int = DETACH_ROUNDS) -> DataFrame:
+    """T5: every token replaced by its lemma by rules and dictionary."""
+    tokens = docs.select(F.explode("tokens").alias("token"))
+    return lemmatize_tokens(docs, cut_lineage(lemma_table(tokens, dictionary, exceptions, pos, rounds), "lemmas"))
+
+
 def plural_lemmas(docs: DataFrame) -> DataFrame:
     """A lemma table derived from the corpus itself: a token ending in 's'
     whose stem without the 's' is also a token maps to that stem. Stands in

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.stopwords import DEFAULT_STOPWORDS
 from ..operators import labels as lb
-from ..operators.preprocess import lemmatize_tokens, plural_lemmas, prepare_corpus
+from ..operators.preprocess import lemmatize_rules, lemmatize_tokens, plural_lemmas, prepare_corpus
 from ..sources import corpus as src
 from ..sources import fixtures as fx
 from . import sqlparts as S
@@ -57,6 +57,38 @@ def tokenize_treebank(spark, sf_dir):
                     F.array_join("tokens", " ").alias("tokens"))
 
 
+def _noun_forms(w: str) -> str:
+    """What the published noun rules make of a word, in order."""
+    rules = "s: ses:s ves:f xes:x zes:z ches:ch shes:sh men:man ies:y".split()
+    cases = [f"CASE WHEN ends_with({w}, '{a}') THEN left({w}, length({w}) - {len(a)}) || '{b}' END" for a, b in (r.split(":") for r in rules)]
+    return f"list_filter([{', '.join(cases)}], lambda z: z IS NOT NULL)"
+
+
+# The check's dictionary: tokens of even length; its exceptions: tokens of seven letters are lemmatized to their first four.
+@register("lemmatize_rules", S.with_(CORPUS + [
+    ("voc", "SELECT DISTINCT token FROM (SELECT unnest(tokens) AS token FROM prepared)"),
+    ("dict", "SELECT token AS form FROM voc WHERE length(token) % 2 = 0"),
+    ("f1", f"SELECT token, {_noun_forms('token')} AS f FROM voc WHERE length(token) <> 7"),
+    ("f2", f"SELECT token, f, flatten(list_transform(f, lambda y: {_noun_forms('y')})) AS g FROM f1"),
+    ("cand", """SELECT token, 0 AS step, -1 AS place, token AS form FROM voc
+        UNION ALL SELECT token, 0, generate_subscripts(f, 1) - 1, unnest(f) FROM f2
+        UNION ALL SELECT token, 1, generate_subscripts(g, 1) - 1, unnest(g) FROM f2
+        UNION ALL SELECT token, 0, 0, left(token, 4) FROM voc WHERE length(token) = 7"""),
+    ("lem", """SELECT token, form FROM cand JOIN dict USING (form)
+        QUALIFY row_number() OVER (PARTITION BY token ORDER BY step, length(form), place) = 1"""),
+    ("w", "SELECT doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM prepared"),
+], """SELECT p.doc_id, coalesce(string_agg(coalesce(form, token), ' ' ORDER BY pos), '') AS tokens
+      FROM prepared p LEFT JOIN w USING (doc_id) LEFT JOIN lem USING (token) GROUP BY p.doc_id"""))
+def lemmatize_by_rules(spark, sf_dir):
+    """T5 by detachment rules, exceptions and a given dictionary."""
+    docs = lang_prepared(spark, sf_dir)
+    voc = docs.select(F.explode("tokens").alias("token")).distinct()
+    known = voc.where(F.length("token") % 2 == 0).select(F.col("token").alias("lemma"))
+    odd = voc.where(F.length("token") == 7).select("token", F.left("token", F.lit(4)).alias("lemma"))
+    out = lemmatize_rules(docs, known, odd, rounds=2)
+    return out.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+
+
 @register("remove_stopwords", "SELECT doc_id, len(t) AS n_tokens, array_to_string(t, ' ') AS tokens FROM "
           "(SELECT doc_id, " + S.drop_stop(S.tokenize(S.clean("text"))) + " AS t FROM documents)")
 def remove_stopwords(spark, sf_dir):
