@@ -2,11 +2,13 @@
 
 Generated names come from a caller-supplied function (the reference calls a
 chat model); it runs inside ``mapInPandas`` on Arrow batches with a bounded
-retry, so it is shipped once per task and never sees the whole table."""
+retry, so it is shipped once per task and never sees the whole table. Answers
+can be kept by prompt, so that lost tasks and later runs do not ask again."""
 
 from __future__ import annotations
 
 import time
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,6 +20,7 @@ from ..functions import text as tx
 # the reference joins them.
 DOC_PROMPT = "Generate a general topic for the following document. No header needed."
 LABEL_PROMPT_1 = "Use one generic topic word to describe the following list of topics."
+LABEL_PROMPT_2 = "Example labels: "
 LABEL_PROMPT_3 = "The label should be with similar granuality of, but different from the examples."
 LABEL_PROMPT_4 = "Your answer should limit to one single word."
 
@@ -31,7 +34,7 @@ def label_prompt_head(existing: DataFrame):
     """The cluster prompt's fixed part with the existing labels (sorted,
     joined by ', '), as a scalar column."""
     labels = existing.select(F.array_join(F.array_sort(F.collect_list("label")), ", ")).scalar()
-    return F.concat(F.lit(LABEL_PROMPT_1), F.lit("Example labels: "), labels, F.lit("."),
+    return F.concat(F.lit(LABEL_PROMPT_1), F.lit(LABEL_PROMPT_2), labels, F.lit("."),
                     F.lit(LABEL_PROMPT_3), F.lit(LABEL_PROMPT_4))
 
 
@@ -45,39 +48,81 @@ def cluster_prompts(topics: DataFrame, existing: DataFrame) -> DataFrame:
     return g.select("cluster", F.concat(label_prompt_head(existing), listing).alias("prompt"))
 
 
+def _answer_store(path: str):
+    """(read, write) of answers by prompt digest in a shared folder, one small
+    file each, moved into place when whole. Any URI that Arrow can open."""
+    import pyarrow.fs as pafs
+    if path.startswith("file:/") and not path.startswith("file:///"):
+        path = "file://" + path.removeprefix("file:")
+    store, root = pafs.FileSystem.from_uri(path)
+    store.create_dir(root, recursive=True)
+
+    def read(digest: str) -> str | None:
+        name = f"{root}/{digest}"
+        if store.get_file_info(name).type != pafs.FileType.File:
+            return None
+        with store.open_input_stream(name) as f:
+            return f.read().decode()
+
+    def write(digest: str, answer: str) -> None:
+        part = f"{root}/{digest}.{uuid.uuid4().hex}.part"
+        with store.open_output_stream(part) as f:
+            f.write(answer.encode())
+        store.move(part, f"{root}/{digest}")
+    return read, write
+
+
 def complete(prompts: DataFrame, generate, key_cols, retries: int = 5, base_delay: float = 1.0,
              retry_on: tuple = (ConnectionError, TimeoutError), batch_size: int = 16,
-             tasks: int | None = None) -> DataFrame:
+             tasks: int | None = None, answers: str | None = None, calls_per_second: float | None = None) -> DataFrame:
     """``generate(list[str]) -> list[str]`` over ``prompt`` with
     exponential backoff on ``retry_on``, in ``tasks`` tasks (default: the
     cluster's parallelism); the answer is cleaned (T9). Adds ``completion``.
-    A call that does not give one answer a prompt is an error."""
+    A call that does not give one answer a prompt is an error.
+
+    With ``answers``, a folder that driver and executors share, each answer is
+    kept there under its prompt's digest as soon as it is given, and looked up
+    before a call: a task that is lost and repeated, and a later run, ask no
+    answered prompt again, and equal prompts are asked once. The tasks
+    together make at most ``calls_per_second`` calls."""
     tasks = tasks or prompts.sparkSession.sparkContext.defaultParallelism
-    schema_cols = [(c, dict(prompts.dtypes)[c]) for c in key_cols]
+    pause = tasks / calls_per_second if calls_per_second else 0.0
+
+    def asked(chunk: list[str]) -> list[str]:
+        for attempt in range(retries + 1):
+            try:
+                out = list(generate(chunk))
+                break
+            except retry_on:
+                if attempt == retries:
+                    raise
+                time.sleep(base_delay * (2 ** attempt))
+        if len(out) != len(chunk):
+            raise ValueError(f"{len(out)} answers for {len(chunk)} prompts")
+        return out
 
     def run(batches):
+        read, write = _answer_store(answers) if answers else (lambda d: None, lambda d, a: None)
+        free_at = 0.0
         for pdf in batches:
-            out = []
-            prompts_l = pdf["prompt"].tolist()
-            for i in range(0, len(prompts_l), batch_size):
-                chunk = prompts_l[i:i + batch_size]
-                for attempt in range(retries + 1):
-                    try:
-                        answers = list(generate(chunk))
-                        break
-                    except retry_on:
-                        if attempt == retries:
-                            raise
-                        time.sleep(base_delay * (2 ** attempt))
-                if len(answers) != len(chunk):
-                    raise ValueError(f"{len(answers)} answers for {len(chunk)} prompts")
-                out.extend(answers)
-            res = pdf[[c for c, _ in schema_cols]].copy()
-            res["completion"] = pd.Series(out, dtype="object").values
-            yield res
-    schema = ", ".join(f"{c} {t}" for c, t in schema_cols) + ", completion string"
-    raw = prompts.select(*key_cols, "prompt").repartition(tasks).mapInPandas(run, schema)
-    return raw.withColumn("completion", tx.clean_label(F.col("completion")))
+            digests, texts = pdf["digest"].tolist(), pdf["prompt"].tolist()
+            out: dict[str, str] = {}
+            for i in range(0, len(texts), batch_size):
+                here = range(i, min(i + batch_size, len(texts)))
+                out.update({digests[k]: a for k in here if (a := read(digests[k])) is not None})
+                open_ = [k for k in here if digests[k] not in out]
+                if not open_:
+                    continue
+                time.sleep(max(0.0, free_at - time.monotonic()))
+                free_at = time.monotonic() + pause
+                for k, a in zip(open_, asked([texts[k] for k in open_]), strict=True):
+                    write(digests[k], a)
+                    out[digests[k]] = a
+            yield pd.DataFrame({"digest": digests, "completion": [out[d] for d in digests]})
+    keyed = prompts.select(*key_cols, F.sha2(F.col("prompt").cast("binary"), 256).alias("digest"), "prompt")
+    distinct = keyed.select("digest", "prompt").dropDuplicates(["digest"]).where("prompt is not null")
+    given = distinct.repartition(tasks, "digest").sortWithinPartitions("digest").mapInPandas(run, "digest string, completion string")
+    return keyed.join(given, "digest", "left").select(*key_cols, tx.clean_label(F.col("completion")).alias("completion"))
 
 
 def generate_cluster_labels(samples: DataFrame, docs: DataFrame, existing: DataFrame, generate,

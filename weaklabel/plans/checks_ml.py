@@ -4,6 +4,8 @@ caller's models are functions that SQL can repeat."""
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from ..operators import mixture as mx
 from ..operators import naming as nm
 from ..operators import similarity as sim
 from ..operators.cbow import train_cbow
+from ..session import checkpoint_dir
 from ..sources import fixtures as fx
 from . import sqlparts as S
 from .checks_eval import F1_BODY, F1_CTES, NEW_BODY, NEW_CTES
@@ -39,6 +42,11 @@ def last_word(prompts: list[str]) -> list[str]:
     return [f"\"{p.split()[-1]}\"!" for p in prompts]
 
 
+def refused(prompts: list[str]) -> list[str]:
+    """A generator that must not be called."""
+    raise AssertionError(f"{len(prompts)} prompts asked again")
+
+
 @register("train_word_vectors", S.with_(S.corpus_ctes("lang"), """SELECT term, count(*) AS n_occ,
     CAST(16 AS INTEGER) AS n_dims FROM (SELECT unnest(tokens) AS term FROM prepared) GROUP BY term"""))
 def train_word_vectors(spark, sf_dir):
@@ -276,6 +284,19 @@ def label_with_callable(spark, sf_dir):
     return nm.generate_cluster_labels(samples, unc, c["existing"], last_word)
 
 
+@register("answers_are_kept", f"""SELECT doc_id, array_to_string(regexp_extract_all(regexp_extract({S.q(nm.DOC_PROMPT)} || trim(text), '([^ \t\n\r]+)$', 1), '[^!-/:-@\\[-`{{-~]'), '') AS topic,
+    0 AS asked_again FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) WHERE trim(text) <> ''""")
+def answers_are_kept(spark, sf_dir):
+    """Every document's prompt answered and kept by its digest; the second
+    pass, whose generator refuses, gives the same answers from the store."""
+    docs = fx.table(spark, sf_dir, "documents").where(F.trim("text") != "").select("doc_id", F.trim("text").alias("text"))
+    store = f"{checkpoint_dir(spark).rstrip('/')}/answers-{uuid.uuid4().hex}"
+    prompts = nm.doc_prompts(docs)
+    nm.complete(prompts, last_word, ["doc_id"], answers=store).write.format("noop").mode("overwrite").save()
+    return nm.complete(prompts, refused, ["doc_id"], answers=store).select(
+        "doc_id", F.col("completion").alias("topic"), F.lit(0).alias("asked_again"))
+
+
 @register("stem_vocabulary")
 def stem_vocabulary(spark, sf_dir):
     """T4: the Snowball English stemmer over the corpus vocabulary."""
@@ -302,6 +323,17 @@ def end_to_end_predictions(spark, sf_dir):
     return _run(spark, sf_dir)["predictions"].select("doc_id", "label", "prediction", "is_confident", "text")
 
 
+@register("rerun_reuses", S.with_(RUN, """SELECT doc_id, truth AS label, prediction, is_confident, 0 AS stages_written
+    FROM preds"""))
+def rerun_reuses(spark, sf_dir):
+    """The second of two runs over one store; it computes no stage."""
+    from .runner import run_model
+    wv, store = lang_chain(spark, sf_dir)["word_vectors"], f"{checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    for _ in range(2):
+        out = run_model(fx.corpus_lang(spark, sf_dir), "test", threshold=THRESHOLD, stemmer=drop_final_s, word_vectors=wv, store=store)
+    return out["predictions"].select("doc_id", "label", "prediction", "is_confident", F.lit(len(out["written"])).alias("stages_written"))
+
+
 @register("end_to_end_f1", S.with_(RUN + F1_CTES, F1_BODY))
 def end_to_end_f1(spark, sf_dir):
     return _run(spark, sf_dir)["f1_existing"]

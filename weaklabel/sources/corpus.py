@@ -10,6 +10,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Give a scan at least ``min_partitions`` (default: the cluster's
     parallelism) tasks. A large input already has more splits than that and
@@ -156,6 +159,52 @@ def cached_stage(spark: SparkSession, root: str, name: str, config: dict, comput
     return spark.read.parquet(path), fp
 
 
+def input_digest(df: DataFrame) -> str:
+    """Id of what ``df`` reads: its files with lengths and times of change, and
+    its plan; a table without files is digested by its rows (one aggregate)."""
+    spark = df.sparkSession
+    files = []
+    for name in sorted(df.inputFiles()):
+        fs, p = _hadoop_fs(spark, name)
+        status = fs.getFileStatus(p)
+        files.append([name, status.getLen(), status.getModificationTime()])
+    if files:
+        return fingerprint({"files": files, "plan": df._jdf.queryExecution().analyzed().canonicalized().toString()})
+    n, h = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(30,0)"))).first()
+    return fingerprint({"rows": n, "hash": str(h), "schema": df.schema.json()})
+
+
+def settings_of(config: dict) -> dict:
+    """``config`` with functions by name and tables by their input, so that
+    its fingerprint is the same in every session."""
+    return {k: f"{v.__module__}.{v.__qualname__}" if callable(v) else input_digest(v) if isinstance(v, DataFrame) else v
+            for k, v in config.items()}
+
+
+class Stages:
+    """S4 across a run: each stage's table is kept under ``root`` by the
+    fingerprint of its settings and of the stages it reads, from the input's
+    digest on, and is read back if it is there; so a changed setting or input
+    reruns what hangs on it and nothing else. Without a root stages are lineage
+    cuts of this run. A function counts as changed with its name only.
+    ``written`` lists the stages that this run computed."""
+
+    def __init__(self, spark: SparkSession, root: str | None, source: DataFrame):
+        self.spark, self.root = spark, root
+        self.ids = {"source": input_digest(source)} if root else {}
+        self.written: list[str] = []
+
+    def __call__(self, name: str, inputs: list[str], config: dict, compute) -> DataFrame:
+        def noted():
+            self.written.append(name)
+            return compute()
+        if not self.root:
+            return cut_lineage(noted(), name)
+        upstream = "-".join(self.ids[i] for i in inputs)
+        df, self.ids[name] = cached_stage(self.spark, self.root, name, settings_of(config), noted, upstream)
+        return df
+
+
 def write_split(split_corpus: DataFrame, path: str) -> None:
     """The processed corpus as one table partitioned by part, so a
     reader of one part scans only that part's files."""
