@@ -154,6 +154,26 @@ def test_pivot_index_in_a_hot_group(spark, monkeypatch, n_pivots):
     assert near.sum() > 500_000 and (links <= near.sum(1)).all() and links.sum() >= 0.95 * near.sum()
 
 
+def test_pivot_index_in_a_narrow_cone(spark):
+    rng = np.random.default_rng(3)
+
+    def directions(n):
+        g = rng.normal(size=(n, 64))
+        return g / np.linalg.norm(g, axis=1, keepdims=True)
+    x = directions(1) + 0.25 * directions(1200)              # any two have a cosine of about 0.94
+    x = np.concatenate([x, x + 0.18 * directions(1200)]).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, 0, v) for i, v in enumerate(x.tolist())], "vec_id bigint, label int, embedding array<float>")
+    coded = pivots.usable(df)
+    chosen = pivots.choose_pivots(coded, 128)[64]
+    assert len(chosen) >= 64
+    got = {r.vec_id: r for r in pivots.near_vectors(df).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.98
+    np.fill_diagonal(near, False)
+    links = np.array([got[i].n_links for i in range(len(x))])
+    assert near.sum() > 2000 and (links <= near.sum(1)).all() and links.sum() >= 0.95 * near.sum()
+
+
 def test_spaced_pivots():
     rng = np.random.default_rng(7)
     x = rng.normal(size=(16_384, 64))

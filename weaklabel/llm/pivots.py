@@ -38,8 +38,9 @@ COSINE = 0.98
 DEPTH = 12
 SHARED = 5
 MIN_PIVOTS, MAX_PIVOTS = 128, 4_096
-#: Pivots have a cosine below this to each other. Rounds in which they are looked for, and the range of the hash that orders them.
+#: Pivots have a cosine below this to each other, or a higher one where vectors lie close; 1 less it is at least TIGHTEST. Rounds in which they are looked for, and the range of the hash that orders them.
 SPACING = 0.9
+TIGHTEST = 0.003
 ROUNDS = 8
 RANGE = 1 << 40
 TILE = 1_024
@@ -74,40 +75,53 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 def choose_pivots(reps: DataFrame, n: int) -> dict[int, np.ndarray]:
     """Up to ``n`` vectors of each length, taken in hash order if their cosine
-    to all taken before is below ``SPACING``, as rows of a matrix, by vector
+    to all taken before is below a spacing, as rows of a matrix, by vector
     length. So a dense group, whatever its share, supplies a few pivots, and
     the other pivots of its members' lists lie far from all of them alike.
-    About ``n`` vectors of a length are collected in a round."""
+
+    Where all vectors lie close together (a narrow cone) hardly any are that
+    far apart: a length that finds less than half of its pivots tries again
+    with half the spacing, down to ``TIGHTEST``. About ``n`` vectors of a
+    length are collected in a round."""
     place = F.pmod(F.xxhash64("key"), F.lit(RANGE))
     size = {r["dim"]: r["count"] for r in reps.groupBy("dim").count().collect()}
-    out = {d: np.empty((0, d)) for d in size}
-    at = dict.fromkeys(size, 0)
-    for _ in range(ROUNDS):
-        short = {d: (at[d], min(RANGE, at[d] + -(-RANGE * n // size[d]))) for d in size if len(out[d]) < n and at[d] < RANGE}
-        if not short:
-            break
-        mine = F.lit(False)
-        for d, (low, high) in short.items():
-            mine |= (F.col("dim") == d) & (place >= low) & (place < high)
-            at[d] = high
-        found: dict[int, list] = {}
-        for r in sorted(reps.where(mine).select("dim", "label", "key", "unit", place.alias("place")).collect(),
-                        key=lambda r: (r["place"], r["key"], r["label"])):
-            found.setdefault(r["dim"], []).append(np.frombuffer(r["unit"]))
-        for d, units in found.items():
-            out[d] = spaced(out[d], np.stack(units), n)
+    out: dict[int, np.ndarray] = {}
+    gap = dict.fromkeys(size, 1 - SPACING)
+    open_ = set(size)
+    while open_:
+        got = {d: np.empty((0, d)) for d in open_}
+        at = dict.fromkeys(open_, 0)
+        for _ in range(ROUNDS):
+            short = {d: (at[d], min(RANGE, at[d] + -(-RANGE * n // size[d]))) for d in open_ if len(got[d]) < n and at[d] < RANGE}
+            if not short:
+                break
+            mine = F.lit(False)
+            for d, (low, high) in short.items():
+                mine |= (F.col("dim") == d) & (place >= low) & (place < high)
+                at[d] = high
+            found: dict[int, list] = {}
+            for r in sorted(reps.where(mine).select("dim", "label", "key", "unit", place.alias("place")).collect(),
+                            key=lambda r: (r["place"], r["key"], r["label"])):
+                found.setdefault(r["dim"], []).append(np.frombuffer(r["unit"]))
+            for d, units in found.items():
+                got[d] = spaced(got[d], np.stack(units), n, 1 - gap[d])
+        for d in sorted(open_):
+            out[d] = got[d] if d not in out or len(got[d]) > len(out[d]) else out[d]
+            gap[d] /= 2
+        open_ = {d for d in open_ if 2 * len(out[d]) < min(n, size[d]) and gap[d] >= TIGHTEST}
     return out
 
 
-def spaced(taken: np.ndarray, units: np.ndarray, n: int) -> np.ndarray:
-    """``taken``, and of ``units`` in order those apart from all before, up to ``n`` in all."""
+def spaced(taken: np.ndarray, units: np.ndarray, n: int, spacing: float = SPACING) -> np.ndarray:
+    """``taken``, and of ``units`` in order those whose cosine to all before
+    is below ``spacing``, up to ``n`` in all."""
     for a in range(0, len(units), 256):
         part = units[a:a + 256]
         if len(taken):
-            part = part[(part @ taken.T).max(1) < SPACING]
+            part = part[(part @ taken.T).max(1) < spacing]
         cosines, fresh = part @ part.T, []
         for i in range(len(part)):
-            if not fresh or cosines[i, fresh].max() < SPACING:
+            if not fresh or cosines[i, fresh].max() < spacing:
                 fresh.append(i)
         taken = np.concatenate([taken, part[fresh]])
         if len(taken) >= n:
