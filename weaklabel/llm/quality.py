@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, texts_of
 
-#: Bounds of the labelled sample the model is fitted on: rows a class, and characters of each row.
+#: Bounds of the labelled sample the model is fitted on: rows a class, and characters of each row (a window from any place).
 TRAIN_ROWS = 4500
 TRAIN_CHARS = 12_000
 DICT_BYTES = 112_640
@@ -111,7 +111,7 @@ def fit(labelled: DataFrame, docs: DataFrame, rows: int = TRAIN_ROWS, chars: int
 
     The sample is bounded: the ``rows`` ids of each class that come first in
     hash order (chosen on the label table alone), ``chars`` characters of
-    each. Only that sample is collected. The curve is weighted to the
+    each, from a place chosen by hash. Only that sample is collected. The curve is weighted to the
     classes' true sizes."""
     labelled = labelled.where("doc_id is not null and label in (0, 1)").select("doc_id", "label")
     sizes = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -121,8 +121,11 @@ def fit(labelled: DataFrame, docs: DataFrame, rows: int = TRAIN_ROWS, chars: int
     for y in (0, 1):
         part = labelled.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         chosen = part if chosen is None else chosen.union(part)
+    text = F.coalesce("text", F.lit(""))
+    spare = F.greatest(F.length(text) - chars, F.lit(0))
+    start = (F.pmod(F.xxhash64("doc_id", F.lit("window")), spare + 1) + 1).cast("int")
     got = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")   # at most 2 * rows ids
-           .select("doc_id", "label", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text")).collect())
+           .select("doc_id", "label", text.substr(start, F.lit(chars)).alias("text")).collect())
     by: dict[int, dict[str, int]] = {0: {}, 1: {}}
     for r in sorted(got, key=lambda r: (r["doc_id"], r["text"])):
         by[r["label"]].setdefault(r["text"], r["doc_id"])      # copies count once
