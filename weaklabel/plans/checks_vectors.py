@@ -11,6 +11,7 @@ from ..functions import vectors as vx
 from ..operators import embeddings as em
 from ..operators import similarity as sim
 from ..operators.clusters import cluster_samples as _cluster_samples
+from ..operators.pieces import chunk_pieces, word_pieces
 from ..session import checkpoint_dir
 from ..sources import corpus as src
 from ..sources import fixtures as fx
@@ -175,6 +176,51 @@ def chunk_tokens(spark, sf_dir):
     return _chunks(lang_prepared(spark, sf_dir))
 
 
+# The check's vocabulary: beginnings of one to three letters and pairs at the third place that are frequent, and single
+# letters inside words but for q, so that words have several pieces and some have none.
+_PIECE_SQL = S.with_(S.corpus_ctes("lang") + [
+    ("occ", "SELECT token, count(*) AS n FROM (SELECT unnest(tokens) AS token FROM prepared) GROUP BY token"),
+    ("pieces", """SELECT piece FROM (SELECT left(token, k) AS piece, n FROM occ, (VALUES (1), (2), (3)) AS l(k) WHERE length(token) >= k)
+        GROUP BY piece HAVING sum(n) >= 20
+        UNION SELECT '##' || substr(token, 3, 2) FROM occ WHERE length(token) >= 4 GROUP BY substr(token, 3, 2) HAVING sum(n) >= 20
+        UNION SELECT DISTINCT '##' || c FROM (SELECT unnest(string_split(token, '')) AS c FROM occ) WHERE c NOT IN ('q', '')"""),
+    ("walk", """WITH RECURSIVE s(token, place, n) AS (
+        SELECT token, 0, 0 FROM occ WHERE length(token) <= 100
+        UNION ALL
+        SELECT token, place + max(k), n + 1 FROM s, (VALUES (1), (2), (3)) AS l(k)
+        JOIN pieces ON piece = CASE WHEN place = 0 THEN '' ELSE '##' END || substr(token, place + 1, k)
+        WHERE place + k <= length(token) GROUP BY token, place, n)
+        SELECT token, n FROM s WHERE place = length(token)"""),
+    ("w", """SELECT doc_id, pos, coalesce(walk.n, 1) AS n, sum(coalesce(walk.n, 1)) OVER (PARTITION BY doc_id ORDER BY pos) AS e
+        FROM (SELECT doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) - 1 AS pos FROM prepared) LEFT JOIN walk USING (token)"""),
+    ("cuts", """WITH RECURSIVE c(doc_id, chunk, origin, since) AS (
+        SELECT DISTINCT doc_id, 0, 0::HUGEINT, -1 FROM w
+        UNION ALL
+        SELECT c.doc_id, chunk + 1, greatest(origin, arg_min(e - n, pos) - 255), min(pos) FROM c JOIN w ON w.doc_id = c.doc_id
+        WHERE pos > since AND e - origin > 510 GROUP BY c.doc_id, chunk, origin)
+        SELECT * FROM c"""),
+    ("placed", "SELECT w.doc_id, w.pos, chunk, e - origin AS fin FROM w ASOF JOIN cuts ON w.doc_id = cuts.doc_id AND w.pos >= cuts.since"),
+], """SELECT doc_id, chunk, count(*) AS n_words, CAST(min(pos) AS INTEGER) AS first_pos, CAST(max(pos) AS INTEGER) AS last_pos,
+      CAST(max(fin) AS INTEGER) AS max_end FROM placed GROUP BY doc_id, chunk""")
+
+
+@register("chunk_word_pieces", _PIECE_SQL)
+def chunk_word_pieces(spark, sf_dir):
+    """E8 with words of several pieces, from a vocabulary table."""
+    docs = lang_prepared(spark, sf_dir)
+    occ = docs.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    starts = occ.select(F.explode(F.array(*(F.when(F.length("token") >= k, F.left("token", F.lit(k))) for k in (1, 2, 3)))).alias("piece"), "n")
+    pairs = occ.where(F.length("token") >= 4).select(F.concat(F.lit("##"), F.substring("token", 3, 2)).alias("piece"), "n")
+    frequent = starts.where("piece is not null").union(pairs).groupBy("piece").agg(F.sum("n").alias("n")).where("n >= 20").select("piece")
+    letters = occ.select(F.explode(F.regexp_extract_all("token", F.lit("(?s)."), F.lit(0))).alias("c")).select(
+        F.concat(F.lit("##"), "c").alias("piece"))
+    pieces = frequent.union(letters.where("piece <> '##q'")).union(spark.createDataFrame([("[UNK]",)], "piece string")).distinct()
+    vocabulary = pieces.select("piece", F.xxhash64("piece").alias("id"))
+    w = chunk_pieces(docs, word_pieces(vocabulary))
+    return (w.groupBy("doc_id", "chunk").agg(F.count(F.lit(1)).alias("n_words"), F.min("pos").alias("first_pos"),
+                                             F.max("pos").alias("last_pos"), F.max("end").alias("max_end")))
+
+
 @register("reload_chunks", _CHUNK_SQL)
 def reload_chunks(spark, sf_dir):
     """The chunk table as a stage's output, asked for twice: the second
