@@ -23,3 +23,21 @@ def test_pca_is_centred(spark):
     vals = [r.vector for r in proj.collect()]
     for d in range(2):
         assert abs(sum(x[d] for x in vals) / len(vals)) < 1e-9
+
+
+def test_subspace_pca_equals_the_exact_one(spark, monkeypatch):
+    import numpy as np
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 60)) * np.geomspace(5, 0.1, 60) @ np.linalg.qr(rng.normal(size=(60, 60)))[0] + 3
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(999, None)], "doc_id bigint, vector array<double>").repartition(3)
+    values, vectors = np.linalg.eigh(np.cov(x.T))
+    fit = cl.subspace_pca(v, 8)
+    assert np.abs(fit.variance - values[::-1][:8]).max() < 1e-6 * values[-1]
+    assert np.allclose(np.abs((fit.components * vectors[:, ::-1][:, :8]).sum(0)), 1, atol=1e-4)
+    full = cl.subspace_pca(v, 60)
+    assert np.allclose(full.variance, values[::-1])
+    monkeypatch.setattr(cl, "MAX_COVARIANCE", 10)
+    model, proj = cl.pca_fit_transform(v, 8)
+    got = {r.doc_id: r.vector for r in proj.collect()}
+    assert isinstance(model, cl.Projection) and got[999] is None
+    assert np.allclose([got[i] for i in range(400)], (x - x.mean(0)) @ model.components)

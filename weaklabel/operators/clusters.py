@@ -6,6 +6,8 @@ checkpoint folder), since they make many passes over it."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
@@ -96,9 +98,59 @@ def cluster_samples(probs: DataFrame, k: int = 25, seed: int = 42, id_col: str =
             .select("cluster", id_col, "rank", F.col("p").alias("prob")))
 
 
+#: Dimensions up to which the covariance is made whole on the driver.
+MAX_COVARIANCE = 2_048
+
+
+@dataclass(frozen=True)
+class Projection:
+    """Mean, components (columns) and the variance each explains."""
+    mean: np.ndarray
+    components: np.ndarray
+    variance: np.ndarray
+
+
+def subspace_pca(df: DataFrame, k: int, vec: str = "vector", oversample: int = 10, seed: int = 0,
+                 max_scans: int = 200, tol: float = 1e-9) -> Projection:
+    """U5 without a covariance: a random subspace of ``k + oversample``
+    directions is multiplied by the centred data and its transpose, one scan a
+    round, and made orthonormal, until the explained variances change by less
+    than ``tol`` of the greatest. Only dimensions x directions numbers are ever
+    in one place; a subspace as wide as the data is exact after one scan.
+    Components point so that their largest entry is positive."""
+    rows = mx.numbered(df, vec)
+    if rows.isEmpty():
+        raise ValueError("no vectors to fit")
+    mean = mx.mean_vector(rows)
+    n, dim = rows.count(), len(mean)
+    k = min(k, dim)
+    wide = min(dim, k + oversample)
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, wide)))[0]
+    was = None
+    for _ in range(max_scans):
+        now = rows.sparkSession.sparkContext.broadcast(q)
+
+        def statistics(x, total, now=now):
+            for s in mx.blocks(len(x), dim):
+                y = x[s] - mean
+                total[0] += (y @ now.value).T @ y
+        got = mx.sums(rows, statistics, (1, wide, dim))
+        z = np.array([got[0, c] for c in range(wide)]).T / max(1, n - 1)
+        values, turn = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
+        values, components = values[::-1][:k], (q @ turn[:, ::-1])[:, :k]
+        if wide == dim or (was is not None and np.abs(values - was).max() <= tol * max(values[0], 1e-300)):
+            break
+        was, q = values, np.linalg.qr(z)[0]
+    signs = np.sign(components[np.abs(components).argmax(0), np.arange(k)])
+    return Projection(mean, components * np.where(signs == 0, 1, signs), np.maximum(values, 0))
+
+
 def pca_fit(df: DataFrame, k: int, vec: str = "vector"):
-    """Centred PCA (MLlib's PCA alone does not subtract the mean when
+    """Beyond ``MAX_COVARIANCE`` dimensions by ``subspace_pca``, else
+    centred PCA (MLlib's PCA alone does not subtract the mean when
     projecting; a mean-only StandardScaler does). Returns the fitted model."""
+    if (df.select(F.max(F.size(vec))).first()[0] or 0) > MAX_COVARIANCE:
+        return subspace_pca(df, k, vec)
     data = cut_lineage(_features(df, vec).select("_features"))
     pipe = Pipeline(stages=[
         StandardScaler(withMean=True, withStd=False, inputCol="_features", outputCol="_centred"),
@@ -111,6 +163,18 @@ def pca_project(model, df: DataFrame, vec: str = "vector", out: str = "vector")
     """Project a table of vectors (documents or classes) with a
     fitted model; NULL vectors stay NULL."""
     keep = [c for c in df.columns if c not in (vec, out)]
+    if isinstance(model, Projection):
+        shared = df.sparkSession.sparkContext.broadcast(model)
+
+        @F.pandas_udf("array<double>")
+        def projected(v: pd.Series) -> pd.Series:
+            ok = v.notna()
+            res = pd.Series([None] * len(v), index=v.index, dtype=object)
+            if ok.any():
+                y = (np.stack(v[ok].to_numpy()).astype(float) - shared.value.mean) @ shared.value.components
+                res[ok] = pd.Series(list(y), index=v.index[ok])
+            return res
+        return df.select(*keep, projected(F.col(vec).cast("array<double>")).alias(out))
     proj = (model.transform(_features(df, vec))
             .select(*keep, vector_to_array("_pca").alias(out)))
     missing = df.where(F.col(vec).isNull()).select(*keep, F.lit(None).cast("array<double>").alias(out))

@@ -246,6 +246,18 @@ def pca_norms(spark, sf_dir):
     return proj.select("vec_id", e6(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)).alias("norm2_e6"))
 
 
+@register("pca_variance", f"""WITH e AS (SELECT embedding[1]::DOUBLE AS u, embedding[2]::DOUBLE AS v FROM embeddings),
+    c AS (SELECT var_samp(u) AS a, covar_samp(u, v) AS b, var_samp(v) AS d FROM e),
+    l AS (SELECT (a + d) / 2 AS m, sqrt((a - d) * (a - d) / 4 + b * b) AS r FROM c)
+    SELECT 0 AS component, {S.e6('m + r')} AS variance_e6 FROM l UNION ALL SELECT 1, {S.e6('m - r')} FROM l""")
+def pca_variance(spark, sf_dir):
+    """U5 by subspace rounds: the variances of the first two dimensions' components."""
+    v = fx.vectors(spark, sf_dir).select("vec_id", F.slice("vector", 1, 2).alias("vector"))
+    fit = cl.subspace_pca(v, 2)
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(fit.variance)], "component int, x double").select(
+        "component", e6("x").alias("variance_e6"))
+
+
 @register("projection_2d")
 def projection_2d(spark, sf_dir):
     """V10 (data part): unconfident documents in 2-D (centred PCA), with the
