@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from weaklabel.functions import text as tx
 from weaklabel.functions.stopwords import SPARK_ENGLISH
 from weaklabel.operators.preprocess import prepare_corpus
-from weaklabel.operators.stemming import snowball_english
+from plain_snowball import snowball_english
 
 
 def test_stopwords_equal_spark_list(spark):

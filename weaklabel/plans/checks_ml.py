@@ -22,6 +22,7 @@ from . import sqlparts as S
 from .checks_eval import F1_BODY, F1_CTES, NEW_BODY, NEW_CTES
 from .common import MIN_COUNT, SEED_K, THRESHOLD, VEC_DIM, drop_final_s, e6, lang_chain, lang_prepared
 from .registry import register
+from .stem_sql import STEM_BODY, stem_ctes
 
 P = S.LANG
 SPLIT = S.corpus_ctes("lang") + S.split_ctes(P["bottom_p"], P["full_k"], P["keep_p"], P["seed"])
@@ -309,7 +310,8 @@ def answers_are_kept(spark, sf_dir):
         "doc_id", F.col("completion").alias("topic"), F.lit(0).alias("asked_again"))
 
 
-@register("stem_vocabulary")
+@register("stem_vocabulary", S.with_(S.corpus_ctes("lang") + [
+    ("voc", "SELECT DISTINCT term FROM (SELECT unnest(tokens) AS term FROM prepared)"), *stem_ctes()], STEM_BODY))
 def stem_vocabulary(spark, sf_dir):
     """T4: the Snowball English stemmer over the corpus vocabulary."""
     from ..operators.stemming import stem_column
