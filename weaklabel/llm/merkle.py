@@ -130,7 +130,10 @@ def segments(blocks: DataFrame, height: int, step: int) -> DataFrame:
 
 
 def jump(rows: DataFrame, above: DataFrame) -> DataFrame:
-    """``rows`` whose paths go on with those of the ancestors they reach."""
+    """``rows`` whose paths go on with those of the ancestors they reach. Rows
+    that have arrived get a place of their own, which no ancestor has: they all
+    stand at one node, and it must not become a hot key."""
+    rows = rows.withColumn("at", F.when(F.col("reach") >= F.col("depth"), -1 - F.col("pos")).otherwise(F.col("at")))
     a = above.select("key", F.col("height").alias("reach"), F.col("pos").alias("at"), F.col("reach").alias("reach_"),
                      F.col("at").alias("at_"), F.col("path").alias("path_"))
     joined = rows.join(a, ["key", "reach", "at"], "left")
