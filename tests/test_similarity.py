@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,3 +50,24 @@ def test_classify_blocks_equal_single(spark):
     key = lambda rows: sorted((r.doc_id, r["rank"], r.class_idx) for r in rows)
     assert key(t1) == key(t2)
     assert all(-1.0 - 1e-9 <= r.sim <= 1.0 + 1e-9 for r in t1)
+
+
+def test_tops_keep_the_order_of_a_stable_sort():
+    rng = np.random.default_rng(4)
+    for n, k in ((5, 8), (9, 8), (5000, 8), (5000, 1), (5000, 3)):
+        x, m = rng.integers(-2, 3, (40, 3)).astype(float), rng.integers(-2, 3, (n, 3)).astype(float)
+        best, where = sim._tops(x, m, k)
+        order = np.argsort(-(x @ m.T), axis=1, kind="stable")[:, :k]
+        assert (where == order).all() and (best == np.take_along_axis(x @ m.T, order, axis=1)).all()
+
+
+def test_a_table_of_one_block_of_bytes_is_many_tasks(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, vector array<double>")
+    out = sim.self_topk(df, 2)
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.argsort(-(u @ u.T), axis=1, kind="stable")[:, :2]
+    got = {(r.vec_id, r.rank): r.neighbour for r in out.collect()}
+    assert len(got) == 6000 and all(got[i, k + 1] == want[i, k] for i in range(3000) for k in range(2))

@@ -74,17 +74,43 @@ def _tops(x: np.ndarray, m: np.ndarray, k: int):
     k = min(k, len(m))
     best = np.full((len(x), k), -np.inf)
     where = np.zeros((len(x), k), dtype="int64")
+    odd = not (np.isfinite(x).all() and np.isfinite(m).all())
     for i in range(0, len(x), TILE):
         for j in range(0, len(m), TILE):
-            sims = np.concatenate([best[i:i + TILE], x[i:i + TILE] @ m[j:j + TILE].T], axis=1)
-            cols = np.concatenate([where[i:i + TILE],
-                                   np.broadcast_to(np.arange(j, j + sims.shape[1] - k), (len(sims), sims.shape[1] - k))], axis=1)
-            order = sims.argmax(axis=1)[:, None] if k == 1 else np.argsort(-sims, axis=1, kind="stable")[:, :k]
-            best[i:i + TILE] = np.take_along_axis(sims, order, axis=1)
-            where[i:i + TILE] = np.take_along_axis(cols, order, axis=1)
+            sims = x[i:i + TILE] @ m[j:j + TILE].T
+            if odd and k > 1:
+                sims[np.isnan(sims)] = -np.inf
+            _merge(best[i:i + TILE], where[i:i + TILE], sims, j, k)
     return best, where
 
 
+def _merge(best: np.ndarray, where: np.ndarray, sims: np.ndarray, first: int, k: int) -> None:
+    """Take into ``best`` (rows falling) and ``where`` what beats it in a tile
+    whose first column is ``first``, above all columns so far. Only similarities
+    over a row's ``k``-th are sorted."""
+    if k == 1:
+        col = sims.argmax(axis=1)
+        top = sims[np.arange(len(sims)), col]
+        better = ~(best[:, 0] >= top) & ~np.isnan(best[:, 0])
+        best[better, 0], where[better, 0] = top[better], col[better] + first
+        return
+    if np.isinf(best[:, -1]).any() and sims.shape[1] > k:    # so far fewer than k: the tile's own k-th is a bound
+        r, c = np.nonzero(sims >= np.partition(sims, -k, axis=1)[:, -k, None])
+    else:
+        r, c = np.nonzero(sims > best[:, -1, None])
+    if not len(r):
+        return
+    rows = np.unique(r)
+    at = np.concatenate([np.repeat(rows, k), r])
+    sim = np.concatenate([best[rows].ravel(), sims[r, c]])
+    col = np.concatenate([where[rows].ravel(), c + first])
+    order = np.lexsort((col, -sim, at))
+    at, sim, col = at[order], sim[order], col[order]
+    starts = np.searchsorted(at, rows)
+    take = starts[:, None] + np.arange(k)
+    best[rows], where[rows] = sim[take], col[take]
+
+
 def _best_udf(bc):
     @F.pandas_udf("max_sim double, class_idx int")
     def best(v: pd.Series) -> pd.DataFrame:
@@ -153,8 +179,11 @@ def cosine_topk(docs: DataFrame, classes: DataFrame, k: int = 8, vec: str = "vec
                     (-F.col("_t.neg_sim")).alias("sim")))
 
 
-#: Bytes of one block of vectors; a task of ``self_topk`` holds two.
+#: Bytes and rows of one block of vectors; a task of ``self_topk`` holds two.
 BLOCK_BYTES = 64 << 20
+BLOCK_ROWS = 16_384
+#: Rows of a block that is not cut further to give every core a pair of blocks.
+LEAST_ROWS = 1_024
 
 
 def self_topk(df: DataFrame, k: int = 8, vec: str = "vector", id_col: str = "vec_id",
@@ -164,8 +193,8 @@ def self_topk(df: DataFrame, k: int = 8, vec: str = "vector", id_col: str = "vec
     the smaller id. Rows without a vector are left out, a zero vector is
     similar to nothing (0).
 
-    Rows are dealt to blocks of bounded size, and each pair of blocks is
-    multiplied once, tile by tile, for the rows of both. A pair of blocks
+    Rows are dealt to blocks of bounded size, enough of them that the pairs of
+    blocks employ every core, and each pair is multiplied once, tile by tile, for the rows of both. A pair of blocks
     hands on ``k`` neighbours a row and no pairs; the best ``k`` of all blocks
     are found by a ranking that Spark limits per task before the shuffle.
     Nothing is collected but a count and the dimension, so the table may be of
@@ -173,7 +202,8 @@ def self_topk(df: DataFrame, k: int = 8, vec: str = "vector", id_col: str = "vec
     rows = cut_lineage(df.where(F.col(vec).isNotNull()).select(
         F.monotonically_increasing_id().alias("nr"), F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("x")), "self-rows")
     n, dim = rows.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
-    parts = max(1, -(-n * 8 * max(dim or 1, 1) // block_bytes))
+    spread = min(-(-n // LEAST_ROWS), int((8 * df.sparkSession.sparkContext.defaultParallelism) ** 0.5) + 1)
+    parts = max(1, -(-n * 8 * max(dim or 1, 1) // block_bytes), -(-n // BLOCK_ROWS), spread)
     block = F.pmod(F.xxhash64("nr"), F.lit(parts)).cast("int")
     dealt = (rows.select(block.alias("b"), "id", "x", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("o"))
              .select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "id", "x"))
@@ -199,7 +229,8 @@ def self_topk(df: DataFrame, k: int = 8, vec: str = "vector", id_col: str = "vec
         names = group.column("id").combine_chunks()
         return pa.table({"id": names.take(pa.array(at)), "neighbour": names.take(pa.array(to)),
                          "sim": pa.array(np.concatenate(sims or [np.empty(0)]))})
-    found = dealt.groupBy("i", "j").applyInArrow(tops, f"id {id_type}, neighbour {id_type}, sim double")
+    pairs = dealt.repartition(parts * (parts + 1) // 2, "i", "j")      # as many tasks as pairs, however few their bytes
+    found = pairs.groupBy("i", "j").applyInArrow(tops, f"id {id_type}, neighbour {id_type}, sim double")
     order = Window.partitionBy("id").orderBy(F.desc("sim"), F.asc("neighbour"))
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select(F.col("id").alias(id_col), "rank", "neighbour", "sim"))
