@@ -63,3 +63,27 @@ def test_word2vec_takes_whole_documents(spark, monkeypatch):
     assert embeddings.train_word_vectors(docs, vector_size=2, epochs=1, num_partitions=1).count() == 2
     assert embeddings.train_word_vectors(docs, vector_size=2, epochs=1, num_partitions=1, max_sentence=50).count() == 2
     assert seen == [1200, 50]
+
+
+def test_static_vectors_of_known_length_are_hashed_not_sorted(spark):
+    rows = [(f"w{i % 300}", [float(i), i / 7]) for i in range(3000)] + [("none", None)]
+    occ = spark.createDataFrame(rows, "term string, vector array<double>")
+    by_place, plain = em.static_vectors(occ, 5, 2), em.static_vectors(occ, 5)
+    assert "ObjectHashAggregate" not in by_place._jdf.queryExecution().executedPlan().toString()
+    want = {r.term: r for r in plain.collect()}
+    got = by_place.collect()
+    assert len(got) == 300 == len(want)
+    assert all(r.n_occ == want[r.term].n_occ and r.vector == pytest.approx(want[r.term].vector) for r in got)
+    with pytest.raises(Exception, match="has not 3 numbers"):
+        em.static_vectors(occ, 5, 3).collect()
+
+
+def test_doc_vectors_look_terms_up_without_an_object_a_term(spark, monkeypatch):
+    kept = []
+    real = spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: kept.append(x) or real(x))
+    wv = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 3.0])], "term string, vector array<double>")
+    docs = spark.createDataFrame([(1, ["a", None, "b", "x", "a"]), (2, []), (3, None), (4, ["x"])], "doc_id bigint, tokens array<string>")
+    got = dict(em.doc_vectors(docs, wv).collect())
+    assert got[1] == pytest.approx([2 / 3, 1.0]) and got[2] is got[3] is got[4] is None
+    assert not any(isinstance(part, dict) for value in kept if isinstance(value, tuple) for part in value)

@@ -130,7 +130,7 @@ def contextual_vectors(spark, sf_dir):
     """Every document cut into overlapping chunks and encoded,
     then the static vector per word (>= 5 uses)."""
     occ = em.contextual_vectors(lang_prepared(spark, sf_dir), first_letter, place_and_id, 2)
-    return em.static_vectors(occ, 5).select("term", "n_occ", e6(F.col("vector")[0]).alias("place_e6"),
+    return em.static_vectors(occ, 5, 2).select("term", "n_occ", e6(F.col("vector")[0]).alias("place_e6"),
                                             e6(F.col("vector")[1]).alias("id_e6"))
 
 

@@ -126,7 +126,7 @@ _STATIC_SQL = S.with_(S.corpus_ctes("lang") + [
 def static_vectors(spark, sf_dir):
     """E11/E14/E15 over per-occurrence vectors that SQL can repeat (the
     word's hash vector, varied by position mod 3)."""
-    st = em.static_vectors(_hash_occurrences(spark, sf_dir), 5)
+    st = em.static_vectors(_hash_occurrences(spark, sf_dir), 5, VEC_DIM)
     return (st.select("term", "n_occ", e6(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)).alias("sum_e6"),
                       e6(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)).alias("sumsq_e6")))
 
@@ -159,7 +159,7 @@ _OCC = S.corpus_ctes("lang") + [
 ], f"SELECT term, CAST(sum(n) AS BIGINT) AS n_occ, {S.e6('sum(n * x)')} AS sum_e6 FROM v GROUP BY term"))
 def token_vector_sums(spark, sf_dir):
     """Count and vector sum of every word's occurrences."""
-    got = em.collect_vocab(_hash_occurrences(spark, sf_dir))
+    got = em.collect_vocab(_hash_occurrences(spark, sf_dir), VEC_DIM)
     return got.select("term", "n_occ", e6(F.aggregate("vector_sum", F.lit(0.0), lambda a, x: a + x)).alias("sum_e6"))
 
 

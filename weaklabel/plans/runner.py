@@ -57,7 +57,7 @@ def word_vectors_for(split: DataFrame, cfg: dict, word_vectors: DataFrame | None
         if encode is None or pieces_of is None or dim is None:
             raise ValueError("contextual vectors need pieces_of, encode and dim")
         occ = em.contextual_vectors(split, pieces_of, encode, dim)
-        return em.static_vectors(em.strip_terms(occ), cfg.get("min_occurrence", 5))
+        return em.static_vectors(em.strip_terms(occ), cfg.get("min_occurrence", 5), dim)
     raise ValueError(f"unknown vectors {cfg['vectors']!r}")
 
 
