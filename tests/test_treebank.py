@@ -49,3 +49,23 @@ def test_treebank(spark):
         assert got[i] == published(t), t
     for i, want in enumerate(EXAMPLES.values()):
         assert " ".join(got[i]) == want
+
+
+def test_rules_that_look_back_equal_those_that_take_the_character_before(spark):
+    import random
+
+    before = [("([«“‘„]|`+)", " $1 "), (r"""([^.])(\.)([\])}>"'»”’]*)(?= |$)""", "$1 $2 $3 "), ("([^'])' ", "$1 ' "),
+              ("([^' ])('[smd]|') ", "$1 $2 "), ("([^' ])('ll|'re|'ve|n't) ", "$1 $2 ")]
+    now = [r for r in tx.TREEBANK_RULES + tx.TREEBANK_ENDINGS]
+    heads = [["«“‘„", "`+"], [r"(\.)(?<="], [r"'(?<!\G"], ["'[smd]"], ["'ll|'re"]]
+    rng = random.Random(7)
+    bits = list("abn .'\")«`“’") + ["' ", "' ' ", "n't ", "'s ", "'ll ", ". ", ".' "]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 16)))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id int, t string")
+    for (pattern, to), marks in zip(before, heads, strict=True):
+        new = F.col("t")
+        found = [r for r in now if any(m in r[0] for m in marks)]
+        assert found and all(p != pattern for p, _ in found)
+        for p, made in found:
+            new = F.regexp_replace(new, p, made)
+        assert df.where(~new.eqNullSafe(F.regexp_replace("t", pattern, to))).count() == 0, pattern
