@@ -55,3 +55,11 @@ def test_cluster_names_both_modes(spark, mini_corpus, nan_first):
 def test_empty_cluster_list_named_by_id(spark):
     d = spark.createDataFrame([(1, ["a"], 7)], "doc_id bigint, tokens array<string>, cluster int")
     assert tm.cluster_names(d, "cluster").first().name == "cluster_7"
+
+
+def test_doc_term_counts_sort_without_a_comparing_function(spark):
+    docs = spark.createDataFrame([(1, "x", ["b", "a", "b"]), (2, "y", []), (3, "y", None)], "doc_id bigint, label string, terms array<string>")
+    out = tm.doc_term_counts(docs)
+    assert {(r.doc_id, r.term, r.n) for r in out.collect()} == {(1, "a", 1), (1, "b", 2)}
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "sort_array" in plan and "array_sort" not in plan

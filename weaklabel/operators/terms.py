@@ -39,7 +39,7 @@ def doc_term_counts(docs_terms: DataFrame) -> DataFrame:
         return F.transform(z["at"], lambda a, k: F.struct(
             F.get(z["t"], a).alias("term"),
             (F.coalesce(F.get(z["at"], k + 1), F.size(z["t"])) - a).cast("bigint").alias("n")))
-    counts = let(F.array_sort("terms"), lambda t: let(F.struct(t.alias("t"), starts(t).alias("at")), runs))
+    counts = let(F.sort_array("terms"), lambda t: let(F.struct(t.alias("t"), starts(t).alias("at")), runs))
     return docs_terms.select("doc_id", "label", F.inline(counts))
 
 
