@@ -113,3 +113,30 @@ def test_never_learns_from_held_out_rows(spark):
 def test_query(spark):
     got = queries.queries()["op11_toxicity"](spark, "/root/testdata/sf0.001")
     assert got.columns == ["doc_id", "held_out", "score", "predicted"] and got.where("score is null").count() == 0
+
+
+def test_learns_from_every_row_and_word(spark, monkeypatch):
+    """Rows in shards, each beyond its first words: an insult that stands only
+    at the end of long texts is learned, from all rows that have it."""
+    monkeypatch.setattr(toxicity, "ALONE_ROWS", 1_000)
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 1_000)
+    rng = random.Random(8)
+    rows = []
+    for i in range(3_000):
+        w = sentence(rng, "en", 5_000 if i % 100 == 0 else 60)
+        rows.append((i, " ".join([*w, *(["gromlin", "vexard"] if i % 4 == 0 else [])]), "en", None))
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(3_000)], "doc_id bigint, label int")
+    kept = toxicity.hashed_rows(labels, docs).collect()
+    assert sorted(len(r.words) // 4 for r in kept) == sorted(len(r[1].split()) for r in rows)
+    model = toxicity.fit(labels, docs)
+    tail = " ".join(sentence(rng, "en", 5_000))
+    low, high = model.scores([tail, tail + " gromlin vexard"])
+    assert low < toxicity.THRESHOLD <= high
+
+
+def test_copies_count_once(spark):
+    docs = spark.createDataFrame([(1, "a b", None, None), (2, "a b", None, None), (3, "c", None, None), (4, None, None, None)], SCHEMA)
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (2, 0), (4, 0)], "doc_id bigint, label int")
+    got = toxicity.hashed_rows(labels, docs).collect()
+    assert sorted((r.label, len(r.words) // 4) for r in got) == [(0, 0), (0, 1), (0, 2), (1, 2)]

@@ -1,4 +1,4 @@
-"""Toxicity: a convolutional text classifier, trained in numpy.
+"""Toxicity: a convolutional text classifier, trained in numpy by shards.
 
 A text's words (runs of letters and digits, lower-cased) are hashed into
 ``BUCKETS`` buckets; the buckets that training has seen in ``MIN_TEXTS`` texts
@@ -13,6 +13,12 @@ all texts together; the score is moved so that a language's threshold stands
 at ``THRESHOLD``. The language is read off the text by its function words, so
 the table's other columns are never read by a score.
 
+All labelled rows are learned from, with whole texts. They are dealt to shards;
+a task trains on its shard from the same start, and what the shards learned is
+averaged, one pass after the other. Word counts, curves and thresholds come from
+sums over all labelled rows, so the driver holds the networks (a row for each of
+at most ``MAX_WORDS`` buckets) and counts by language and logit, no rows.
+
 Scoring is map-only and takes whole texts: long ones are cut between words and
 their largest responses are merged.
 
@@ -34,17 +40,25 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import mean_by_place
+from ..session import cut_lineage
 from .common import map_batches, texts_of
 
-#: Bounds of the labelled sample: rows a class, and words of each (a run from any place of a longer text).
-TRAIN_ROWS = 5_000
-TRAIN_WORDS = 4_096
+#: Labelled rows below which one task learns alone, and rows of a shard beyond that.
+ALONE_ROWS = 10_000
+SHARD_ROWS = 5_000
+#: Ids of labelled rows that are broadcast; more are joined.
+MAX_IDS = 1_000_000
 BUCKETS = 1 << 24
 MIN_TEXTS = 3
+#: Buckets with an embedding; of more, those whose share of texts of label 1 is furthest from that of all texts.
+MAX_WORDS = 1 << 17
 SIZE = 16
 WIDTHS = (1, 2, 3)
 FILTERS = 16
+#: Passes over few rows; with many, fewer, but two at least, as long as rows x passes exceed ``VISITS``.
 EPOCHS = 6
+VISITS = 60_000
 BATCH = 64
 RATE = 0.01
 #: Pull of all parameters to zero; share of words left out of a text each time it is trained on.
@@ -57,6 +71,8 @@ THRESHOLD = 0.7
 #: Characters and words handled at a time.
 PIECE = 1 << 20
 BLOCK = 1 << 15
+#: Logits are counted in steps of this size up to this distance from zero.
+STEP, FAR = 1 / 256, 32
 
 # Frequent function words, by language.
 FUNCTION_WORDS = {
@@ -162,10 +178,9 @@ class Network:
         return float(self.pooled(rows) @ self.out + self.out_bias)
 
 
-def blank(texts: list[np.ndarray], rng: np.random.Generator) -> Network:
-    """A network before training, with a row for each bucket of enough texts."""
-    seen, count = np.unique(np.concatenate([np.unique(t) for t in texts] or [np.empty(0, np.int32)]), return_counts=True)
-    buckets = seen[count >= MIN_TEXTS]
+def blank(buckets: np.ndarray, seed: int = 0) -> Network:
+    """A network before training, with a row for each of the sorted ``buckets``."""
+    rng = np.random.default_rng(seed)
     embedding = rng.normal(0, 0.02, (len(buckets) + 1, SIZE)).astype(np.float32)
     embedding[0] = 0
     filters = [rng.normal(0, (2 / (w * SIZE)) ** 0.5, (w * SIZE, FILTERS)).astype(np.float32) for w in WIDTHS]
@@ -174,68 +189,87 @@ def blank(texts: list[np.ndarray], rng: np.random.Generator) -> Network:
 
 
 class Adam:
-    """Adam with decay on one array, in place."""
+    """Adam with decay on one array, in place, or on some of its rows: the
+    others keep their averages."""
 
     def __init__(self, x: np.ndarray):
         self.x, self.m, self.v, self.t = x, np.zeros_like(x), np.zeros_like(x), 0
 
-    def step(self, grad: np.ndarray) -> None:
+    def step(self, grad: np.ndarray, at=slice(None)) -> None:
         self.t += 1
-        self.m += 0.1 * (grad - self.m)
-        self.v += 0.001 * (grad * grad - self.v)
+        self.m[at] += 0.1 * (grad - self.m[at])
+        self.v[at] += 0.001 * (grad * grad - self.v[at])
         rate = RATE * (1 - 0.999 ** self.t) ** 0.5 / (1 - 0.9 ** self.t)
-        self.x -= rate * self.m / (np.sqrt(self.v) + 1e-8) + RATE * DECAY * self.x
-
-
-def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> Network:
-    """A network trained on hashed texts: stochastic gradients of the log
-    loss, each through the one place where a filter responds most."""
-    rng = np.random.default_rng(seed)
-    net = blank(texts, rng)
-    rows = [net.rows(t) for t in texts]
-    bias = np.zeros(1, np.float32)
-    params = [net.embedding, *net.filters, *net.bias, net.out, bias]
-    steps = [Adam(p) for p in params]
-    pad = max(WIDTHS)
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(texts))
-        for a in range(0, len(order), BATCH):
-            some = order[a:a + BATCH]
-            lengths = np.array([len(rows[i]) + pad for i in some])
-            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            flat = np.zeros(lengths.sum() + pad, np.int64)
-            for s, i in zip(starts, some, strict=True):
-                flat[s:s + len(rows[i])] = np.where(rng.random(len(rows[i])) < DROP, 0, rows[i])
-            x = net.embedding[flat]
-            n = lengths.sum()
-            wide, where, pooled = [], [], []
-            for w, f, b in zip(WIDTHS, net.filters, net.bias, strict=True):
-                y = sum(x[k:k + n] @ f[k * SIZE:(k + 1) * SIZE] for k in range(w)) + b
-                top = np.stack([s + y[s:s + m - pad + 1].argmax(0) for s, m in zip(starts, lengths, strict=True)])
-                where.append(top)
-                wide.append(w)
-                pooled.append(np.take_along_axis(y, top, 0))
-            z = np.concatenate(pooled, 1)
-            h = np.maximum(z, 0)
-            p = 1 / (1 + np.exp(-np.clip(h @ net.out + bias[0], -30, 30)))
-            d = ((p - labels[some]) / len(some)).astype(np.float32)
-            dh = d[:, None] * net.out * (z > 0)
-            g_embedding = np.zeros_like(net.embedding)
-            g_filters, g_bias = [], []
-            for j, (w, f, top) in enumerate(zip(wide, net.filters, where, strict=True)):
-                dj = dh[:, j * FILTERS:(j + 1) * FILTERS]                    # (texts, filters)
-                g = np.zeros_like(f)
-                for k in range(w):
-                    at = flat[top + k]                                       # (texts, filters)
-                    g[k * SIZE:(k + 1) * SIZE] = np.einsum("tfs,tf->sf", net.embedding[at], dj)
-                    np.add.at(g_embedding, at, dj[:, :, None] * f[k * SIZE:(k + 1) * SIZE].T)
-                g_filters.append(g)
-                g_bias.append(dj.sum(0))
-            g_embedding[0] = 0
-            for s, g in zip(steps, [g_embedding, *g_filters, *g_bias, h.T @ d, np.array([d.sum()], np.float32)], strict=True):
-                s.step(g)
-    net.out_bias = float(bias[0])
-    return net
+        self.x[at] -= rate * self.m[at] / (np.sqrt(self.v[at]) + 1e-8) + RATE * DECAY * self.x[at]
+
+
+class Trainer:
+    """Stochastic gradients of the weighted log loss on a copy of a network,
+    each through the one place where a filter responds most. All filters lie
+    side by side in one array as wide as the widest."""
+
+    def __init__(self, net: Network, seed: int = 0):
+        self.net, self.rng = net, np.random.default_rng(seed)
+        wide = max(WIDTHS) * SIZE
+        self.embedding, self.out, self.out_bias = net.embedding.copy(), net.out.copy(), np.array([net.out_bias], np.float32)
+        self.filters = np.concatenate([np.pad(f, ((0, wide - len(f)), (0, 0))) for f in net.filters], 1)
+        self.used = np.concatenate([np.repeat(np.arange(wide) < w * SIZE, FILTERS).reshape(wide, -1) for w in WIDTHS], 1)
+        self.bias = np.concatenate(net.bias)
+        self.steps = [Adam(x) for x in (self.embedding, self.filters, self.bias, self.out, self.out_bias)]
+        self.touched = np.zeros(len(self.embedding), bool)
+
+    def loudest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every filter's largest response over a text's embedding rows, and
+        the rows it hears there, (filters, widest)."""
+        pad, lanes = max(WIDTHS), np.arange(len(self.bias))
+        rows = np.concatenate([rows, np.zeros(pad, np.int64)])
+        best, where = np.full(len(lanes), -np.inf, np.float32), np.zeros(len(lanes), np.int64)
+        for a in range(0, len(rows) - pad + 1, BLOCK):
+            x = self.embedding[rows[a:a + BLOCK + pad - 1]]
+            y = np.concatenate([x[k:len(x) - pad + 1 + k] for k in range(pad)], 1) @ self.filters
+            top = y.argmax(0)
+            better = y[top, lanes] > best
+            best[better], where[better] = y[top, lanes][better], top[better] + a
+        return best + self.bias, rows[where[:, None] + np.arange(pad)]
+
+    def learn(self, texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> None:
+        """One step on embedding rows of texts; a share of the words is left out."""
+        heard = [self.loudest(np.where(self.rng.random(len(r)) < DROP, 0, r)) for r in texts]
+        z, at = np.stack([h[0] for h in heard]), np.stack([h[1] for h in heard])       # (texts, filters), (.., widest)
+        h = np.maximum(z, 0)
+        p = 1 / (1 + np.exp(-np.clip(h @ self.out + self.out_bias[0], -30, 30)))
+        d = (weights * (p - labels) / len(texts)).astype(np.float32)
+        dz = d[:, None] * self.out * (z > 0)
+        x = self.embedding[at].reshape(*z.shape, -1)
+        g_filters = np.einsum("tfs,tf->sf", x, dz) * self.used
+        g_words = (dz[:, :, None] * self.filters.T).reshape(-1, SIZE)
+        rows, inverse = np.unique(at.ravel(), return_inverse=True)
+        g_rows = np.zeros((len(rows), SIZE), np.float32)
+        np.add.at(g_rows, inverse, g_words)
+        some = rows > 0                                                                # row 0 stays zero
+        self.touched[rows[some]] = True
+        self.steps[0].step(g_rows[some], rows[some])
+        for s, g in zip(self.steps[1:], (g_filters, dz.sum(0), h.T @ d, np.array([d.sum()], np.float32)), strict=True):
+            s.step(g)
+
+    def parameters(self) -> np.ndarray:
+        """All but the embeddings, as rows of ``SIZE`` numbers."""
+        flat = np.concatenate([self.filters.ravel(), self.bias, self.out, self.out_bias])
+        return np.pad(flat, (0, -len(flat) % SIZE)).reshape(-1, SIZE)
+
+
+def with_parameters(net: Network, rows: np.ndarray, embeddings: np.ndarray, dense: np.ndarray) -> Network:
+    """``net`` with new embeddings in some rows and what ``parameters`` gave."""
+    out = Network(net.buckets, net.embedding.copy(), [], [], net.out)
+    out.embedding[rows] = embeddings
+    wide, n = max(WIDTHS) * SIZE, FILTERS * len(WIDTHS)
+    filters, bias, out.out, rest = np.split(dense.ravel().astype(np.float32), np.cumsum([wide * n, n, n]))
+    filters = filters.reshape(wide, n)
+    for i, w in enumerate(WIDTHS):
+        out.filters.append(np.ascontiguousarray(filters[:w * SIZE, i * FILTERS:(i + 1) * FILTERS]))
+        out.bias.append(bias[i * FILTERS:(i + 1) * FILTERS])
+    out.out_bias = float(rest[0])
+    return out
 
 
 #: The function words' buckets, and for each the languages that have it.
@@ -274,7 +308,8 @@ class Model:
 
 def curve(logit: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Weighted logistic regression on one feature, rising (Newton, slight ridge)."""
-    mean, scale = float(logit.mean()), float(logit.std()) or 1.0
+    mean = float(np.average(logit, weights=weight))
+    scale = float(np.average((logit - mean) ** 2, weights=weight)) ** 0.5 or 1.0
     z = np.stack([(logit - mean) / scale, np.ones_like(logit)], 1)
     ridge = np.diag([1e-2, 1e-6]) * weight.sum()
     t = np.zeros(2)
@@ -308,63 +343,157 @@ def calibrated(logit: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tupl
     return a, float(np.log(THRESHOLD / (1 - THRESHOLD))) - a * threshold(logit, label, weight)
 
 
-def sample(labelled: DataFrame, docs: DataFrame, rows: int, words: int) -> list[tuple[int, list[np.ndarray], str]]:
-    """(label, words, language) of the rows learned from: of each class the
-    ``rows`` ids that come first in hash order, chosen on the label table
-    alone; words are hashed in the tasks."""
-    chosen = None
-    for y in (0, 1):
-        part = labelled.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-        chosen = part if chosen is None else chosen.union(part)
-    mine = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")       # at most 2 * rows ids
+def hashed_rows(labelled: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(label, fold, lang, words)`` of every labelled row, its whole text's
+    words hashed; written, since every pass reads it. Copies count once."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.withColumn("digest", F.md5("text"))
+    once = (texts.select("doc_id", "digest").join(labelled, "doc_id").groupBy("label", "digest")
+            .agg(F.min("doc_id").alias("doc_id")))
+    once = cut_lineage(once, "labelled")
+    if once.count() <= MAX_IDS:
+        once = F.broadcast(once)
+    mine = texts.join(once, ["doc_id", "digest"]).select(
+        "label", F.pmod(F.xxhash64("digest"), F.lit(FOLDS)).cast("int").alias("fold"), "text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw, lang = [], []
-        for d, w in zip(batch.column("doc_id").to_pylist(), runs(texts_of(batch)), strict=True):
-            lang.append(language(w))
-            w = np.concatenate(w)
-            over = len(w) - words
-            start = xxhash.xxh64_intdigest(str(d)) % (over + 1) if over > 0 else 0
-            raw.append(w[start:start + words].astype(np.int32).tobytes())
-        return pa.record_batch([batch.column("doc_id"), batch.column("label"), pa.array(raw, pa.binary()), pa.array(lang, pa.string())],
-                               names=["doc_id", "label", "words", "lang"])
-    got = map_batches(mine, run, "doc_id bigint, label int, words binary, lang string").collect()
-    seen: dict[tuple, tuple] = {}
-    for r in sorted(got, key=lambda r: (r["doc_id"], r["words"])):
-        seen.setdefault((r["label"], bytes(r["words"])), (r["label"], np.frombuffer(r["words"], np.int32), r["lang"]))
-    return list(seen.values())                       # copies count once
-
-
-def fit(labelled: DataFrame, docs: DataFrame, rows: int = TRAIN_ROWS, words: int = TRAIN_WORDS) -> Model:
-    """Fit on ``labelled(doc_id, label)`` with the texts of ``docs``, on a
-    sample bounded by ``rows`` a class and ``words`` of each text."""
+        for words in runs(texts_of(batch)):
+            lang.append(language(words))
+            raw.append(np.concatenate(words).astype(np.int32).tobytes())
+        return pa.record_batch([batch.column("label"), batch.column("fold"), pa.array(lang, pa.string()), pa.array(raw, pa.binary())],
+                               names=["label", "fold", "lang", "words"])
+    return cut_lineage(map_batches(mine, run, "label int, fold int, lang string, words binary"), "hashed")
+
+
+def vocabulary(rows: DataFrame, sizes: dict[int, int]) -> np.ndarray:
+    """The sorted buckets that ``MIN_TEXTS`` of all texts have, at most ``MAX_WORDS``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros((2, BUCKETS), np.int32)
+        for b in batches:
+            for y, w in zip(b.column("label").to_pylist(), b.column("words").to_pylist(), strict=True):
+                count[y, np.unique(np.frombuffer(w, np.int32))] += 1
+        some = np.flatnonzero(count.any(0))
+        yield pa.record_batch([pa.array(some, pa.int64()), pa.array(count[0, some], pa.int64()), pa.array(count[1, some], pa.int64())],
+                              names=["bucket", "n0", "n1"])
+    n = F.col("n0") + F.col("n1")
+    share = sizes[1] / (sizes[0] + sizes[1])
+    found = (rows.select("label", "words").mapInArrow(run, "bucket bigint, n0 bigint, n1 bigint")
+             .groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(n >= MIN_TEXTS)
+             .orderBy(F.desc((F.col("n1") - n * share) ** 2 / n), "bucket").limit(MAX_WORDS))
+    return np.sort(found.select("bucket").toArrow().column("bucket").to_numpy())
+
+
+def trained(rows: DataFrame, nets: list[Network], weights: dict[int, float], shards: int, epochs: int, seed: int) -> list[Network]:
+    """The networks after a pass over all rows: network k of the first
+    ``FOLDS`` learns from the rows of the other folds, a further one from all.
+    Each shard starts from the same networks; parameters are averaged over
+    shards, an embedding over those that learned it. With one shard its rows
+    are read ``epochs`` times."""
+    shared = rows.sparkSession.sparkContext.broadcast(nets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = shared.value
+        trainers = [Trainer(n, seed + k) for k, n in enumerate(start)]
+        waiting: list[list] = [[] for _ in start]
+
+        def flush(k: int) -> None:
+            if waiting[k]:
+                texts, labels = zip(*waiting[k], strict=True)
+                y = np.array(labels)
+                trainers[k].learn(list(texts), y, np.array([weights[v] for v in labels]))
+                waiting[k] = []
+
+        def take(fold: int, label: int, row: np.ndarray) -> None:
+            for k in range(len(start)):
+                if k != fold:
+                    waiting[k].append((row, label))
+                    if len(waiting[k]) == BATCH:
+                        flush(k)
+
+        def given() -> Iterator[tuple]:
+            for b in batches:
+                for y, f, w in zip(b.column("label").to_pylist(), b.column("fold").to_pylist(), b.column("words").to_pylist(), strict=True):
+                    yield f, y, start[0].rows(np.frombuffer(w, np.int32))
+        if epochs > 1:                                                                # few rows, at most ALONE_ROWS
+            own, order = list(given()), np.random.default_rng(seed)
+            for _ in range(epochs):
+                for i in order.permutation(len(own)):
+                    take(*own[i])
+                for k in range(len(start)):
+                    flush(k)
+        else:
+            for one in given():
+                take(*one)
+            for k in range(len(start)):
+                flush(k)
+        for k, t in enumerate(trainers):
+            at, dense = np.flatnonzero(t.touched), t.parameters()
+            every = np.concatenate([at, -1 - np.arange(len(dense))])
+            x = np.concatenate([t.embedding[at], dense])
+            for a in range(0, len(every), BLOCK):
+                part = x[a:a + BLOCK]
+                yield pa.record_batch([pa.array(np.full(len(part), k), pa.int32()), pa.array(every[a:a + BLOCK], pa.int64()),
+                                       pa.FixedSizeListArray.from_arrays(pa.array(part.ravel(), pa.float32()), SIZE).cast(pa.list_(pa.float32()))],
+                                      names=["net", "row", "vector"])
+    learned = rows.select("label", "fold", "words").coalesce(shards).mapInArrow(run, "net int, row bigint, vector array<float>")
+    mean = mean_by_place(learned, ["net", "row"], SIZE).select("net", "row", F.col("vector").cast("array<float>").alias("vector")).toArrow()
+    net, row = mean.column("net").to_numpy(), mean.column("row").to_numpy()
+    vector = mean.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, SIZE)
+    out = []
+    for k, n in enumerate(nets):
+        words, dense = (net == k) & (row >= 0), (net == k) & (row < 0)
+        out.append(with_parameters(n, row[words], vector[words], vector[dense][np.argsort(-row[dense])]))
+    return out
+
+
+def crossed(rows: DataFrame, nets: list[Network]) -> list:
+    """``(lang, label, step, n)``: logits of all rows, each by the network that
+    did not learn from it, counted by language and label in steps of ``STEP``."""
+    shared = rows.sparkSession.sparkContext.broadcast(nets)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        got = [shared.value[f].logit([np.frombuffer(w, np.int32)]) for f, w in
+               zip(batch.column("fold").to_pylist(), batch.column("words").to_pylist(), strict=True)]
+        step = np.rint(np.clip(got, -FAR, FAR) / STEP)
+        return pa.record_batch([batch.column("lang"), batch.column("label"), pa.array(step, pa.int32())], names=["lang", "label", "step"])
+    return (map_batches(rows, run, "lang string, label int, step int").groupBy("lang", "label", "step")
+            .agg(F.count(F.lit(1)).alias("n")).orderBy("lang", "label", "step").collect())
+
+
+def fit(labelled: DataFrame, docs: DataFrame) -> Model:
+    """Fit on all of ``labelled(doc_id, label)`` with the whole texts of ``docs``."""
     labelled = (labelled.where("doc_id is not null and label in (0, 1)")
                 .select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("label").cast("int").alias("label")))
-    sizes = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    got = sample(labelled, docs, rows, words) if len(sizes) == 2 else []
-    label = np.array([y for y, _, _ in got], float)
-    texts = [w for _, w, _ in got]
-    lang = np.array([x for _, _, x in got])
-    if min((label == 0).sum(), (label == 1).sum()) < FOLDS:
+    rows = hashed_rows(labelled, docs)
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if min(sizes.get(0, 0), sizes.get(1, 0)) < FOLDS:
         return Model()
-    fold = np.arange(len(texts)) % FOLDS
-    logit = np.zeros(len(texts))
-    for k in range(FOLDS):
-        net = train([t for t, f in zip(texts, fold, strict=True) if f != k], label[fold != k], k)
-        logit[fold == k] = [net.logit([t]) for t, f in zip(texts, fold, strict=True) if f == k]
-    weight = np.where(label == 1, sizes[1] / (label == 1).sum(), sizes[0] / (label == 0).sum())
-    weight *= len(label) / weight.sum()
+    n = sum(sizes.values())
+    weights = {y: n / (2 * sizes[y]) for y in sizes}
+    buckets = vocabulary(rows, sizes)
+    nets = [blank(buckets, k) for k in range(FOLDS + 1)]
+    passes = min(EPOCHS, max(2, -(-VISITS // n)))
+    if n <= ALONE_ROWS:
+        nets = trained(rows, nets, weights, 1, passes, 0)
+    else:
+        shards = min(rows.sparkSession.sparkContext.defaultParallelism, n // SHARD_ROWS)
+        for i in range(passes):
+            nets = trained(rows, nets, weights, shards, 1, i * len(nets))
+    counts = crossed(rows, nets[:FOLDS])
+    lang = np.array([r["lang"] for r in counts])
+    logit, label, weight = np.array([(r["step"] * STEP, r["label"], r["n"]) for r in counts], float).T
     curves = {"": calibrated(logit, label, weight)}
     for name in sorted(set(lang.tolist()) - {""}):
         m = lang == name
-        if min((label[m] == 0).sum(), (label[m] == 1).sum()) >= LANGUAGE_ROWS:
+        if min(weight[m & (label == 0)].sum(), weight[m & (label == 1)].sum()) >= LANGUAGE_ROWS:
             curves[name] = calibrated(logit[m], label[m], weight[m])
-    return Model(train(texts, label, FOLDS), curves)
+    return Model(nets[FOLDS], curves)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, score, predicted)`` of every row; map-only, whole texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)      # at most a row for each bucket of the sample
+    shared = docs.sparkSession.sparkContext.broadcast(model)      # at most MAX_WORDS rows of SIZE numbers
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         s = shared.value.scores(texts_of(batch))
