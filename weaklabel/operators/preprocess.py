@@ -3,7 +3,9 @@ stopwords, stem, lemmatize. Map-only except the optional lemma join."""
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,12 +54,16 @@ def lemmatize_tokens(docs: DataFrame, lemmas: DataFrame, max_chars: int = MAX_LE
     joined to it with their position and put back in order per document."""
     lemmas = lemmas.where(F.col("token").isNotNull() & F.col("lemma").isNotNull()).select("token", "lemma")
     if (lemmas.agg(F.sum(F.length("token") + F.length("lemma") + 100)).first()[0] or 0) <= max_chars:
-        shared = docs.sparkSession.sparkContext.broadcast({r["token"]: r["lemma"] for r in lemmas.collect()})
-
-        @F.pandas_udf("array<string>")
-        def looked_up(lists: pd.Series) -> pd.Series:
-            get = shared.value.get
-            return lists.map(lambda ws: [] if ws is None else [get(w, w) for w in ws])
+        table = lemmas.toArrow().combine_chunks()
+        # of a token listed twice the last lemma holds
+        last = {w: i for i, w in enumerate(table.column("token").to_pylist())}
+        shared = docs.sparkSession.sparkContext.broadcast(tuple(
+            table.column(c).take(pa.array(last.values(), pa.int64())).combine_chunks() for c in ("token", "lemma")))
+
+        @F.arrow_udf("array<string>")
+        def looked_up(lists: pa.Array) -> pa.Array:
+            return pa.concat_arrays([looked_up_terms(lists.slice(a, SLICE), *shared.value)
+                                     for a in range(0, max(1, len(lists)), SLICE)])
         return docs.withColumn("tokens", looked_up("tokens")).select(*docs.drop("tokens").columns, "tokens")
     lem = lemmas.select(F.col("token").alias("_tok"), F.col("lemma").alias("_lemma"))
     exploded = docs.select("doc_id", F.posexplode("tokens").alias("_pos", "_tok"))
@@ -71,6 +77,20 @@ def lemmatize_tokens(docs: DataFrame, lemmas: DataFrame, max_chars: int = MAX_LE
                                               F.array().cast("array<string>")).alias("tokens")))
 
 
+#: Documents whose tokens are looked up at a time.
+SLICE = 1_024
+
+
+def looked_up_terms(lists: pa.Array, tokens: pa.Array, lemmas: pa.Array) -> pa.Array:
+    """``lists`` of words with the lemmas of those among ``tokens``, null lists
+    as empty ones. Words stay in Arrow's buffers: no object a word."""
+    words = lists.flatten()
+    at = pc.index_in(words, value_set=tokens, skip_nulls=True)
+    found = pc.if_else(pc.is_valid(at), lemmas.cast(words.type).take(at), words)
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
+
+
 # The published detachment rules of the dictionary lemmatizer, by part of speech, in order.
 DETACHMENTS = {
     "n": [("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y")],
