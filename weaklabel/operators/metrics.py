@@ -105,7 +105,7 @@ def label_term_frequencies(rows: DataFrame, side: str, top: int = 200, stopwords
     from ..functions.stopwords import DEFAULT_STOPWORDS
     from pyspark.sql import Window
     stop = DEFAULT_STOPWORDS if stopwords is None else stopwords
-    terms = rows.select("label", F.explode(tx.analyzer_terms(F.col("tokens"), stop)).alias("term"))
+    terms = rows.select("label", F.explode_outer(tx.analyzer_terms(F.col("tokens"), stop)).alias("term")).where(F.col("term").isNotNull())
     counts = terms.groupBy("label", "term").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("label").orderBy(F.desc("n"), F.asc("term"))
     return (counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)

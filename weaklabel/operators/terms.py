@@ -63,7 +63,7 @@ def class_tfidf(docs_terms: DataFrame) -> DataFrame:
     row is L2-normalised. Returns ``(label, term, tf, df, score)``."""
     classes = docs_terms.select("label").distinct()
     n_classes = classes.select(F.count(F.lit(1))).scalar()
-    tf = (docs_terms.select("label", F.explode("terms").alias("term"))
+    tf = (docs_terms.select("label", F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
           .groupBy("label", "term").agg(F.count(F.lit(1)).alias("tf")))
     by_term = Window.partitionBy("term")
     w = (tf.withColumn("df", F.count(F.lit(1)).over(by_term))
@@ -83,13 +83,13 @@ def li_ctfidf(docs_terms: DataFrame, nan_first: bool = False) -> DataFrame:
     terms are dropped; ``nan_first=True`` keeps them (NaN sorts first)."""
     sizes = docs_terms.groupBy("label").agg(F.count(F.lit(1)).alias("class_size"))
     n_docs = docs_terms.select(F.count(F.lit(1))).scalar()
-    # Occurrences and documents are counted inside the row and summed by
-    # (label, term) at once: no shuffle by document.
-    marks = F.concat(F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("occ"), F.lit(0).alias("doc"))),
-                     F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("occ"), F.lit(1).alias("doc"))))
-    pair = (docs_terms.select("label", F.explode_outer(marks).alias("_m")).where(F.col("_m").isNotNull())
-            .groupBy("label", F.col("_m.term").alias("term"))
-            .agg(F.sum("_m.doc").alias("n_docs_with"), F.sum("_m.occ").alias("occ")))
+    # Occurrences and documents are marked inside the row (all terms, then the
+    # distinct ones) and summed by (label, term) at once: no shuffle by document.
+    marks = F.concat("terms", F.array_distinct("terms"))
+    is_occ = F.col("_at") < F.col("_n")
+    pair = (docs_terms.select("label", F.size("terms").alias("_n"), F.posexplode_outer(marks).alias("_at", "term"))
+            .where(F.col("term").isNotNull()).groupBy("label", "term")
+            .agg(F.sum(F.when(is_occ, 0).otherwise(1)).alias("n_docs_with"), F.sum(F.when(is_occ, 1).otherwise(0)).alias("occ")))
     pair = pair.withColumn("total_occ", F.sum("occ").over(Window.partitionBy("term")))
     s = (pair.join(sizes, "label")
          .withColumn("li", F.col("n_docs_with") / F.col("class_size"))
