@@ -240,7 +240,7 @@ def test_anchors_take_rows_without_id(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"create view {t} as select * from read_parquet('/root/testdata/sf0.001/{t}.parquet')")
     got = entry.queries()[name](spark, "/root/testdata/sf0.001")
     want = con.execute(f"select {', '.join(got.columns)} from ({queries.ORACLES[name]})").fetchall()
