@@ -438,6 +438,7 @@ def trained(rows: DataFrame, nets: list[Network], weights: dict[int, float], sha
                                       names=["net", "row", "vector"])
     learned = rows.select("label", "fold", "words").coalesce(shards).mapInArrow(run, "net int, row bigint, vector array<float>")
     mean = mean_by_place(learned, ["net", "row"], SIZE).select("net", "row", F.col("vector").cast("array<float>").alias("vector")).toArrow()
+    shared.destroy()                                 # else each pass leaves its networks on the disks
     net, row = mean.column("net").to_numpy(), mean.column("row").to_numpy()
     vector = mean.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, SIZE)
     out = []
@@ -457,8 +458,10 @@ def crossed(rows: DataFrame, nets: list[Network]) -> list:
                zip(batch.column("fold").to_pylist(), batch.column("words").to_pylist(), strict=True)]
         step = np.rint(np.clip(got, -FAR, FAR) / STEP)
         return pa.record_batch([batch.column("lang"), batch.column("label"), pa.array(step, pa.int32())], names=["lang", "label", "step"])
-    return (map_batches(rows, run, "lang string, label int, step int").groupBy("lang", "label", "step")
-            .agg(F.count(F.lit(1)).alias("n")).orderBy("lang", "label", "step").collect())
+    counts = (map_batches(rows, run, "lang string, label int, step int").groupBy("lang", "label", "step")
+              .agg(F.count(F.lit(1)).alias("n")).orderBy("lang", "label", "step").collect())
+    shared.destroy()
+    return counts
 
 
 def fit(labelled: DataFrame, docs: DataFrame) -> Model:
