@@ -19,6 +19,7 @@ from ..operators import similarity as sim
 from ..operators import terms as tm
 from ..operators.cbow import train_cbow
 from ..operators.preprocess import prepare_corpus
+from ..session import cut_lineage
 from ..sources.corpus import Stages, assert_unique_ids, corpus_statistics
 
 PRESETS = {
@@ -46,10 +47,10 @@ def prepare(corpus: DataFrame, cfg: dict) -> DataFrame:
     return lb.label_split(prepared, cfg["bottom_p"], cfg["full_k"], cfg["keep_p"], cfg["seed"])
 
 
-def word_vectors_for(split: DataFrame, cfg: dict, word_vectors: DataFrame | None = None,
+def word_vectors_for(split: DataFrame, cfg: dict, word_vectors=None,
                      pieces_of=None, encode=None, dim: int | None = None) -> DataFrame:
     if word_vectors is not None:
-        return word_vectors
+        return word_vectors(split) if callable(word_vectors) else word_vectors
     if cfg["vectors"] == "word2vec":
         train = em.train_word_vectors if cfg.get("skip_gram") else train_cbow
         return train(split, **cfg.get("w2v", {}))
@@ -57,16 +58,18 @@ def word_vectors_for(split: DataFrame, cfg: dict, word_vectors: DataFrame | None
         if encode is None or pieces_of is None or dim is None:
             raise ValueError("contextual vectors need pieces_of, encode and dim")
         occ = em.contextual_vectors(split, pieces_of, encode, dim)
-        return em.static_vectors(em.strip_terms(occ), cfg.get("min_occurrence", 5), dim)
+        # words are added up as they stand, so that a word is stripped once and not at every occurrence
+        return em.static_vectors(em.strip_terms(em.collect_vocab(occ, dim)), cfg.get("min_occurrence", 5), dim)
     raise ValueError(f"unknown vectors {cfg['vectors']!r}")
 
 
 def run_model(corpus: DataFrame, preset: str | dict = "baseline", threshold: float = 0.1,
-              word_vectors: DataFrame | None = None, pieces_of=None, encode=None, dim: int | None = None,
+              word_vectors=None, pieces_of=None, encode=None, dim: int | None = None,
               generate=None, store: str | None = None, **overrides) -> dict[str, DataFrame]:
     """P1-P3. ``corpus(doc_id, sentence, label)``. Returns the intermediate
     and final tables: split, seeds, vectors, scored, clusters, names,
-    predictions, and the two score tables.
+    predictions, and the two score tables. ``word_vectors`` is a table or a
+    function that makes one of the split corpus, whose tokens are written.
 
     With ``store``, a shared folder, every stage is kept there and a later run
     on the same input with the same settings reads it back (S4); ``written``
@@ -97,6 +100,7 @@ def run_model(corpus: DataFrame, preset: str | dict = "baseline", threshold: flo
         if not made:
             pair = em.doc_vectors(split, wv, oov=cfg.get("oov", "skip")), em.class_vectors(seeds, wv, existing)
             if cfg.get("pca_dim"):
+                pair = cut_lineage(pair[0], "plain-doc-vectors"), pair[1]      # read by the fit and the projection
                 model = cl.pca_fit(pair[0], cfg["pca_dim"])      # fitted on labelled + unlabelled documents
                 pair = [cl.pca_project(model, t) for t in pair]
             made.extend(pair)
