@@ -24,6 +24,8 @@ from ..session import cut_lineage
 
 #: Bytes of one batch's distances or densities.
 WORK_BYTES = 32 << 20
+#: Bytes of a block that is passed over several times.
+CACHE_BYTES = 4 << 20
 
 
 def numbered(df: DataFrame, vec: str = "vector") -> DataFrame:
@@ -39,9 +41,9 @@ def matrix(batch: pa.RecordBatch, col: str = "x") -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
-def blocks(n: int, width: int):
+def blocks(n: int, width: int, work: int = WORK_BYTES):
     """Slices of ``n`` rows whose work of ``width`` numbers a row stays bounded."""
-    step = max(1, WORK_BYTES // (8 * max(1, width)))
+    step = max(1, work // (8 * max(1, width)))
     return (slice(a, a + step) for a in range(0, n, step))
 
 
@@ -137,8 +139,9 @@ def lloyd(rows: DataFrame, starts: np.ndarray, max_iter: int = 300, tol: float =
                     own = d.argmin(1)
                     total[r, :, 0] += np.bincount(own, minlength=k)
                     total[r, :, 1] += np.bincount(own, d[np.arange(len(part)), own], minlength=k)
-                    np.add.at(total[r, :, 2:2 + dim], own, part)
-                    np.add.at(total[r, :, 2 + dim:], own, part * part)
+                    place = (own[:, None] * dim + np.arange(dim)).ravel()
+                    total[r, :, 2:2 + dim] += np.bincount(place, part.ravel(), k * dim).reshape(k, dim)
+                    total[r, :, 2 + dim:] += np.bincount(place, (part * part).ravel(), k * dim).reshape(k, dim)
         got = sums(rows, statistics, (restarts, k, 2 + 2 * dim))
         s = np.array([[got[r, c] for c in range(k)] for r in range(restarts)])
         if limit is None:
@@ -250,6 +253,32 @@ def hard_start(rows: DataFrame, centres: np.ndarray, shift: np.ndarray, floor: f
     return [maximised(np.array([got[r, c] for c in range(k)]), dim, floor) for r in range(restarts)]
 
 
+def stacked_mixtures(mixtures: list[Mixture]):
+    """Constants (restarts, components), factors side by side (dimensions,
+    restarts * components * dimensions) and the means multiplied by them."""
+    dim = mixtures[0].means.shape[1]
+    f = np.stack([m.factors for m in mixtures])
+    diagonal = np.log(np.diagonal(f, axis1=2, axis2=3)).sum(2)
+    constant = np.log([m.weights for m in mixtures]) + diagonal - 0.5 * dim * np.log(2 * np.pi)
+    means = np.einsum("rcd,rcde->rce", np.stack([m.means for m in mixtures]), f)
+    return constant, f.transpose(2, 0, 1, 3).reshape(dim, -1), means.ravel()
+
+
+def expected_of_all(x: np.ndarray, constant: np.ndarray, factors: np.ndarray, means: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``Mixture.expected`` of all restarts: (restarts, components, rows) and
+    the sums of log-likelihoods. One multiplication serves all components, and
+    rows come last, so that sums over the short axes run along them."""
+    y = factors.T @ x.T
+    y -= means[:, None]
+    y *= y
+    joint = constant[:, :, None] - 0.5 * y.reshape(*constant.shape, -1, len(x)).sum(2)
+    top = joint.max(1, keepdims=True)
+    p = np.exp(joint - top)
+    total = p.sum(1, keepdims=True)
+    p /= total
+    return p, (np.log(total) + top).sum((1, 2))
+
+
 def fit_mixtures(rows: DataFrame, starts: list[Mixture], shift: np.ndarray, max_iter: int = 100, tol: float = 1e-3,
                  floor: float = 1e-6) -> tuple[list[Mixture], np.ndarray]:
     """(mixtures, mean log-likelihood) of every restart by expectation
@@ -266,12 +295,19 @@ def fit_mixtures(rows: DataFrame, starts: list[Mixture], shift: np.ndarray, max_
 
         def statistics(x, total, now=now):
             mix, live = now.value
-            for s in blocks(len(x), k + dim):
+            live = np.flatnonzero(live)
+            every = stacked_mixtures([mix[r] for r in live])
+            for s in blocks(len(x), (len(live) * k + dim) * dim, CACHE_BYTES):
                 part = x[s] - shift
-                for r in np.flatnonzero(live):
-                    p, ll = mix[r].expected(part)
-                    weighted_statistics(part, p, total[r])
-                    total[r, 0, -1] += ll
+                p, ll = expected_of_all(part, *every)
+                # all components' sums and products by one multiplication each
+                flat = p.reshape(-1, len(part))
+                got = np.empty((len(flat), 1 + dim + dim * dim))
+                got[:, 0] = flat.sum(1)
+                got[:, 1:1 + dim] = flat @ part
+                got[:, 1 + dim:] = flat @ (part[:, :, None] * part[:, None, :]).reshape(len(part), -1)
+                total[live, :, :-1] += got.reshape(len(live), k, -1)
+                total[live, 0, -1] += ll
         got = sums(rows, statistics, (restarts, k, 2 + dim + dim * dim))
         for r in np.flatnonzero(open_):
             s = np.array([got[r, c] for c in range(k)])

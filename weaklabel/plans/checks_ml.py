@@ -380,13 +380,13 @@ def _decided(out):
 @register("end_to_end_baseline", S.with_(BASE + S.vector_ctes(VEC_DIM, MIN_COUNT, 10, THRESHOLD), KNOWN))
 def end_to_end_baseline(spark, sf_dir):
     """The baseline preset with a mixture of 5 fitted to the unconfident
-    documents, and a supplied vector table."""
-    from ..operators.preprocess import prepare_corpus
+    documents, and a supplied vector table, made of the tokens of the split."""
     from .runner import run_model
-    corpus = fx.corpus_source(spark, sf_dir)
-    vocab = em.min_count_vocab(prepare_corpus(corpus), MIN_COUNT)
-    return _decided(run_model(corpus, "baseline", threshold=THRESHOLD, stemmer=drop_final_s,
-                              word_vectors=fx.hash_word_vectors(vocab, VEC_DIM)))
+
+    def supplied(split):
+        return fx.hash_word_vectors(em.min_count_vocab(split, MIN_COUNT), VEC_DIM)
+    return _decided(run_model(fx.corpus_source(spark, sf_dir), "baseline", threshold=THRESHOLD, stemmer=drop_final_s,
+                              word_vectors=supplied))
 
 
 FINAL_THRESHOLD = 0.9
