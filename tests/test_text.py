@@ -78,3 +78,15 @@ def test_lemmatize_by_rules(spark):
     assert {r.token: r.lemma for r in lemma_table(t, spark.createDataFrame([("runn",)], "lemma string"), pos="v").collect()} == {"running": "runn"}
     corpus = spark.createDataFrame([(1, "Two dogs!", "a")], "doc_id bigint, sentence string, label string")
     assert prepare_corpus(corpus, lemmatize=True, dictionary=words).first().tokens[-1] == "dog"
+
+
+def test_packed_words_come_back_and_are_shuffled_as_text(spark):
+    from weaklabel.functions import text as tx
+    rows = [(1, ["a", "bb", ""]), (2, []), (3, [""]), (4, None), (5, ["x", None]), (6, ["l\nf", "y"]), (7, ["p q", "\\n", ""]), (None, ["z"]), (1, ["c"])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, tokens array<string>")
+    other = spark.createDataFrame([(i, i * 10) for i in range(1, 7)], "doc_id bigint, v int")
+    for how in ("inner", "left"):
+        got = tx.packed_join(docs, other, how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, docs.join(other, "doc_id", how).collect()))
+    assert docs.select(tx.packed("tokens").alias("p")).where("p.text is not null and p.words is not null").count() == 0
+    assert docs.select(tx.packed("tokens").alias("p")).where("p.text is not null").count() == 5

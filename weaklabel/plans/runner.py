@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import clusters as cl
 from ..operators import embeddings as em
 from ..operators import labels as lb
@@ -113,8 +114,9 @@ def run_model(corpus: DataFrame, preset: str | dict = "baseline", threshold: flo
     unl = split.where(F.col("split") == "unlabeled").select("doc_id", "label", "tokens")
     scored = stage("scored", ["doc_vectors", "class_vectors", "existing"], {"threshold": threshold}, lambda: sim.confidence_split(
         sim.classify(docs.join(unl.select("doc_id"), "doc_id"), classes), threshold))
-    judged = unl.join(scored.select("doc_id", "vector", "max_sim", "class_idx", "best_label", "is_confident"),
-                      "doc_id", "left").fillna(False, ["is_confident"])
+    # texts are shuffled as strings, which take a part of the disk that lists of words take
+    judged = tx.packed_join(unl, scored.select("doc_id", "vector", "max_sim", "class_idx", "best_label", "is_confident"),
+                            "left").fillna(False, ["is_confident"])
     unconf = judged.where(~F.col("is_confident"))
     with_vectors = unconf.select("doc_id", "vector")
     clustered = stage("clusters", ["scored"], {"n_clusters": cfg["n_clusters"]}, lambda: cl.gmm(with_vectors, cfg["n_clusters"]))
